@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan, url_filters
+from . import bpe, packing, quality_rules, secret_scan, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op10_url_filters": url_filters.op10_url_filters,
     }
