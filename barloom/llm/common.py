@@ -37,3 +37,9 @@ def words(text):
 def wide(spark: SparkSession) -> int:
     """Partitions for a shuffle of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Arrow batches of few rows from here on in this session, as a row may hold a long text or two."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark

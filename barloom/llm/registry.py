@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality_rules, secret_scan, url_filters
+from . import bpe, near_dedup, packing, quality_rules, secret_scan, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op10_url_filters": url_filters.op10_url_filters,
