@@ -60,7 +60,7 @@ def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> n
     large = _pass(t, small, seeds, True)
     down = [[p[::-1] for p in reversed(b)] for b in large]
     less = _pass(t, small, down, False)
-    less[0] = less[0] or [np.array([len(t) - 1])]  # the end itself has no right neighbour that would induce it
+    less[0] = less[0] or [np.array([len(t) - 1], lms.dtype)]  # the end itself has no right neighbour that would induce it
     parts = [p for c in range(sigma) for p in (*large[c], *(q[::-1] for q in reversed(less[c])))]
     return np.concatenate(parts)
 
@@ -110,7 +110,7 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
         return np.arange(n)
     t = np.append(data.astype("int16") + 1, np.int16(0))
     small = classified(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype("int32" if n < 2**31 - 2 else "int64")
     sa = _induced(t, small, lms, 257)
     order = sa[np.isin(sa, lms, assume_unique=True)] if len(lms) else lms
     if len(lms) > 1:
