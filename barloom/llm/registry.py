@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
+from . import bpe, embedding_dedup, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_url_filters": url_filters.op10_url_filters,
     }
 
