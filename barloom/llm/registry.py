@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
+from . import bpe, embedding_dedup, html_extract, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+        "op3_html_extract": html_extract.op3_html_extract,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
