@@ -301,5 +301,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("c").alias("class_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the near-duplicates of a smaller id."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

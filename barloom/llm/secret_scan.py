@@ -36,6 +36,7 @@ WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[
 ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b", re.A)
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIXED = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
+MASK = "[secret]"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
 
@@ -63,25 +64,39 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted(out)
 
 
-def _scan(batches):
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            text = text or ""
-            base = base_spans(text)
-            said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
-            n = [sum(k == x for _, k, _ in base) for x in range(3)]
-            weak = weak_spans(text, base)
-            rows.append((doc_id, *n, hashlib.sha256(said.encode()).hexdigest(), [{"kind": k, "start": s, "stop": e} for s, k, e in sorted(base + weak)]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "parts"]).astype({"doc_id": "Int64"})
+FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, parts array<struct<kind:int,start:long,stop:long>>"
 
 
-SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, parts array<struct<kind:int,start:long,stop:long>>"
+def _scan(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        text = text or ""
+        base = base_spans(text)
+        said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
+        n = [sum(k == x for _, k, _ in base) for x in range(3)]
+        parts = [{"kind": k, "start": s, "stop": e} for s, k, e in sorted(base + weak_spans(text, base))]
+        rows.append((*n, hashlib.sha256(said.encode()).hexdigest(), parts))
+    return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "parts"])
 
 
-def secret_scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked, one row per input row."""
-    scanned = docs.select("doc_id", "text").mapInPandas(_scan, SCANNED).withColumn("row", F.monotonically_increasing_id())
+def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, said in zip(texts, spans):
+        if said:
+            at, parts = 0, []
+            for _, a, b in (x.split(":") for x in said.split(",")):
+                if int(b) > at:
+                    if int(a) >= at:
+                        parts += [text[at : int(a)], MASK]
+                    at = int(b)
+            text = "".join([*parts, text[at:]])
+        out.append(text)
+    return pd.Series(out, dtype=object)
+
+
+def secret_scan(docs: DataFrame, reach: int = REACH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, n_assign, n_access, n_hex, base_sha256, spans, n_linked, one row per input row."""
+    scanned = docs.select(F.struct(*keep).alias("doc"), F.pandas_udf(_scan, FOUND)("text").alias("found")).select("doc", "found.*").withColumn("row", F.monotonically_increasing_id())
     scanned = written(scanned)  # the texts are scanned once, though the join reads the parts twice
     parts = scanned.select("row", F.explode("parts").alias("p")).select("row", "p.*").withColumn("block", F.expr(f"start div {reach}"))
     role = F.expr("case when kind in (1, 3) then 'id' when kind in (0, 4) then 'secret' end")
@@ -102,7 +117,15 @@ def secret_scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     every = F.concat(F.filter("parts", lambda p: p["kind"] < 3), F.col("linked"))
     every = F.array_sort(F.transform(every, lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["stop"].alias("stop"))))
     text = F.array_join(F.transform(every, lambda p: F.concat_ws(":", F.element_at(names, p["kind"] + 1), p["start"], p["stop"])), ",")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), F.size("linked").cast("long").alias("n_linked"))
+    found = ("n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), F.size("linked").cast("long").alias("n_linked"))
+    return out.select(*[F.col("doc")[c].alias(c) for c in keep], *found)
+
+
+def masked_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """``docs`` with every span of its texts replaced by a mark; overlapping spans share one. Null text stays null."""
+    own = docs.select(F.struct("*").alias("all"), "text")
+    out = secret_scan(own, reach, ("all",)).select("all.*", F.col("spans").alias("__spans"))
+    return out.withColumn("text", F.pandas_udf(_masked, "string")("text", "__spans")).drop("__spans")
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ class _Texts:
 ASKED = "shard long, batch long, hashes binary, two binary"
 ANSWER = "batch long, kind int, shard long, blob binary"
 SENT = "shard long, batch long, size binary, least binary, bytes binary"
-CUT = "key binary, d long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
+CUT = "key binary, d long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
 def _table(schema: str, rows: list) -> pa.Table:
@@ -307,7 +307,7 @@ def _rank(length: int):
     return rank
 
 
-def _cut(length: int, shards: int, far: int, with_bytes: bool):
+def _cut(length: int, shards: int, far: int, with_text: bool):
     def cut(key, left, right):
         texts = _Texts(left)
         c = _Contexts(texts, right, length, shards, far)
@@ -334,14 +334,15 @@ def _cut(length: int, shards: int, far: int, with_bytes: bool):
             g = gone[a:b]
             kept = texts.data[a:b][~g].tobytes()
             spans = int((g[1:] & ~g[:-1]).sum()) + int(len(g) > 0 and g[0])
-            rows.append((texts.keys[i], int(texts.d[i]), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+            rows.append((texts.keys[i], int(texts.d[i]), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
         return _table(CUT, rows)
 
     return cut
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
-    """All columns of ``docs`` but text, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes), one row per input row."""
+def repeated_passages(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+    """All columns of ``docs`` but text, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, without
+    the rest of a character that was cut), one row per input row."""
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -355,23 +356,31 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, with_bytes: bool =
     sent = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_send(length, shards, far), SENT)
     ranked = sent.groupBy("shard").applyInArrow(_rank(length), ANSWER)
     both = answers.unionByName(ranked)
-    of_text = dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(_cut(length, shards, far, with_bytes), CUT)
-    of_text = of_text.toDF("__key", "__least", "__removed", "__spans", "__sha", "__bytes")
+    of_text = dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(_cut(length, shards, far, with_text), CUT)
+    of_text = of_text.toDF("__key", "__least", "__removed", "__spans", "__sha", "__text")
     size = F.octet_length(text).cast("long")
     rows = keyed.withColumn("n_bytes", size).drop("text").join(of_text, "__key", "left")
     whole = (F.col("__d") > F.col("__least")) & (F.col("n_bytes") >= length)
-    kept = F.when(whole, F.lit(b"")).otherwise(F.col("__bytes"))
+    kept = F.when(whole, F.lit("")).otherwise(F.col("__text"))
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     out = rows.withColumns(
         {
             "n_removed": F.when(whole, F.col("n_bytes")).otherwise(F.col("__removed")),
             "n_spans": F.when(whole, F.lit(1)).otherwise(F.col("__spans")).cast("long"),
             "kept_sha256": F.when(whole, empty).otherwise(F.col("__sha")),
-            "kept_bytes": kept,
+            "kept_text": kept,
         }
     )
     own_columns = [c for c in docs.columns if c != "text"]
-    return out.select(*own_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if with_bytes else []))
+    return out.select(*own_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with their texts as kept; rows of whose text nothing is left go, rows that had none stay."""
+    own = docs.select(F.struct("*").alias("all"), "doc_id", "text")
+    out = repeated_passages(own, length, with_text=True).filter("n_removed = 0 or kept_text != ''")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return out.select("all.*", "n_removed", "kept_text").withColumn("text", text).drop("n_removed", "kept_text")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -270,42 +270,49 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     return [(r.text, int(r.toxic)) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
-SCORED = "doc_id long, score double, n_units long"
+def score_of(model: Model | None):
+    """A column function: struct (score, n_units) of a text column."""
+
+    @F.pandas_udf("score double, n_units long")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        rows: list[tuple[float, int]] = []
+        run: list[list[str]] = []
+        size = 0
+
+        def flush():
+            model.learn(set().union(*run))
+            rows.extend((model.score(us), len(us)) for us in run)
+            run.clear()
+
+        for text in texts:
+            us = units(text or "")
+            if model is None:
+                rows.append((0.0, len(us)))
+                continue
+            run.append(us)
+            size += len(us)
+            if size > 60_000:
+                flush()
+                size = 0
+        if run:
+            flush()
+        return pd.DataFrame(rows, columns=["score", "n_units"])
 
+    return score
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_units, one row per input row."""
+
+def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, held_out, score, predicted, n_units, one row per input row."""
     model = train(training_rows(train_docs if train_docs is not None else docs, labels))
+    out = docs.select(F.struct(*keep).alias("doc"), held_out_of(F.col("doc_id")).alias("held_out"), score_of(model)("text").alias("s"))
+    predicted = (F.col("s.score") >= 0.5).cast("int").alias("predicted")
+    return out.select(*[F.col("doc")[c].alias(c) for c in keep], "held_out", "s.score", predicted, "s.n_units")
 
-    def score(batches):
-        for pdf in batches:
-            rows: list[tuple[float, int]] = []
-            run: list[list[str]] = []
-            size = 0
-
-            def flush():
-                model.learn(set().union(*run))
-                rows.extend((model.score(us), len(us)) for us in run)
-                run.clear()
-
-            for text in pdf["text"]:
-                us = units(text or "")
-                if model is None:
-                    rows.append((0.0, len(us)))
-                    continue
-                run.append(us)
-                size += len(us)
-                if size > 60_000:
-                    flush()
-                    size = 0
-            if run:
-                flush()
-            out = pd.DataFrame(rows, columns=["score", "n_units"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
 
-    out = docs.select("doc_id", "text").mapInPandas(score, SCORED)
-    return out.select("doc_id", held_out_of(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_units")
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows predicted toxic."""
+    out = toxicity(docs.select(F.struct("*").alias("all"), "doc_id", "text"), labels, keep=("all",))
+    return out.filter("predicted = 0").select("all.*")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
