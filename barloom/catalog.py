@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .functions import features, predicates
-from .operators import bars, states
+from .operators import audit, bars, states, stats, trades
 
-MODULES = (bars, features, predicates, states)
+MODULES = (bars, features, predicates, states, trades, stats, audit)
 
 
 def queries() -> dict:
