@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import BASE, ORDERED
+from ..functions.features import BASE, ordered
 from ..sources.tapes import ticks
 from .bars import h1_of
 from .stats import RET, daily_returns
@@ -25,7 +25,7 @@ def tape_faults(tape: DataFrame) -> DataFrame:
 
 def gaps(bars: DataFrame) -> DataFrame:
     """Holes between bars: symbol, from the end of one bar to the start of the next, hours."""
-    d = bars.withColumn("gap_start", F.lag("available").over(ORDERED)).filter(F.col("bucket") > F.col("gap_start"))
+    d = bars.withColumn("gap_start", F.lag("available").over(ordered())).filter(F.col("bucket") > F.col("gap_start"))
     return d.select("symbol", "gap_start", F.col("bucket").alias("gap_end"), F.expr("cast(timestampdiff(hour, gap_start, bucket) as long)").alias("hours"))
 
 
@@ -53,13 +53,13 @@ def audit_frozen(spark, sf_dir: str) -> DataFrame:
     """Runs of hours in which nothing but one price traded."""
     flat = F.when((F.col("high") == F.col("low")), 1).otherwise(0)
     d = h1_of(spark, sf_dir).withColumn("flat", flat)
-    d = d.withColumn("run", F.sum(1 - F.col("flat")).over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("run", F.sum(1 - F.col("flat")).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     return d.filter("flat = 1").groupBy("symbol", "run").agg(F.min("bar_idx").alias("start"), F.count("*").alias("length")).drop("run")
 
 
 def audit_spikes(spark, sf_dir: str) -> DataFrame:
     """Hourly moves of more than so many deviations, and whether most of it came back on the next bar."""
-    d = h1_of(spark, sf_dir).withColumn("move", F.log(F.col("close") / F.lag("close").over(ORDERED))).withColumn("back", F.lead("move").over(ORDERED))
+    d = h1_of(spark, sf_dir).withColumn("move", F.log(F.col("close") / F.lag("close").over(ordered()))).withColumn("back", F.lead("move").over(ordered()))
     d = d.withColumn("sd", F.stddev_pop("move").over(Window.partitionBy("symbol")))
     return d.filter(F.abs("move") > SIGMAS * F.col("sd")).select("symbol", "bar_idx", F.round("move", 6).alias("move"), F.coalesce(F.col("move") * F.col("back") < -0.5 * F.col("move") ** 2, F.lit(False)).alias("reverts"))
 
@@ -67,7 +67,7 @@ def audit_spikes(spark, sf_dir: str) -> DataFrame:
 def audit_wicks(spark, sf_dir: str) -> DataFrame:
     """Isolated highs: far above the bar's own body and above both neighbours' highs; missing neighbours don't count."""
     d = h1_of(spark, sf_dir)
-    near = F.greatest(F.lag("high").over(ORDERED), F.lead("high").over(ORDERED))
+    near = F.greatest(F.lag("high").over(ordered()), F.lead("high").over(ordered()))
     d = d.withColumn("near", near)
     return d.filter((F.col("high") / F.greatest("open", "close") - 1 > 0.5) & (F.col("high") / F.col("near") - 1 > 0.2)).select("symbol", "bar_idx", F.round("high", 6).alias("high"))
 

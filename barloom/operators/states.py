@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import ATR_SQL, BASE, ORDERED, ema_sql, full, with_atr, with_recurrences
+from ..functions.features import ATR_SQL, BASE, ordered, ema_sql, full, with_atr, with_recurrences
 from .bars import aligned, frame_bars, h1_of, m15_of
 
 #: The ribbon's periods, thresholds and windows.
@@ -19,7 +19,7 @@ QUERY_WINDOW = 100
 def _side(x, enter, stay, up: bool):
     """Whether the level is on: decided by the last value that isn't in between; a missing value decides for off."""
     inside, on = ((x >= stay) & (x < enter), x >= enter) if up else ((x <= stay) & (x > enter), x <= enter)
-    w = ORDERED.rowsBetween(Window.unboundedPreceding, 0)
+    w = ordered().rowsBetween(Window.unboundedPreceding, 0)
     return F.coalesce(F.last(F.when(F.coalesce(inside, F.lit(False)), None).otherwise(F.coalesce(on, F.lit(False))), ignorenulls=True).over(w), F.lit(False))
 
 
@@ -30,7 +30,7 @@ def hysteresis(x, enter_hi, stay_hi, enter_lo, stay_lo, hi=1, mid=0, lo=-1):
 
 def rank_in_window(x: str, n: int):
     """Average rank of the current value among the last n + 1, as a share; null until there are so many."""
-    w = ORDERED.rowsBetween(-n, 0)
+    w = ordered().rowsBetween(-n, 0)
     values = F.collect_list(x).over(w)
     less, same = F.size(F.filter(values, lambda v: v < F.col(x))), F.size(F.filter(values, lambda v: v == F.col(x)))
     return F.when((F.count(x).over(w) == n + 1) & F.col(x).isNotNull(), (less + (same + 1) / 2) / (n + 1))
@@ -43,7 +43,7 @@ def descriptors(bars: DataFrame, window: int = PERCENTILE_WINDOW) -> DataFrame:
     score = sum((F.signum(a - b) for a, b in zip(e, e[1:])), F.lit(0.0))
     d = d.withColumn("score", score)
     d = d.withColumn("width", F.when(e[-1].isNotNull(), F.try_divide(F.greatest(*e) - F.least(*e), F.col("atr"))))
-    d = d.withColumn("slope", F.try_divide(F.col(f"ema_{SLOPE_EMA}") - F.lag(f"ema_{SLOPE_EMA}", SLOPE_LAG).over(ORDERED), F.col("atr")))
+    d = d.withColumn("slope", F.try_divide(F.col(f"ema_{SLOPE_EMA}") - F.lag(f"ema_{SLOPE_EMA}", SLOPE_LAG).over(ordered()), F.col("atr")))
     d = d.withColumn("pct", rank_in_window("width", window))
     d = d.withColumns(
         {
@@ -67,8 +67,8 @@ def combined(h1: DataFrame, h4: DataFrame, h8: DataFrame, d1: DataFrame) -> Data
 
 def spells(d: DataFrame, state: str = "state") -> DataFrame:
     """Runs of equal states: symbol, state, start, length. Nulls end a run and form none."""
-    changed = F.when(F.col(state).eqNullSafe(F.lag(state).over(ORDERED)) & (F.row_number().over(ORDERED) > 1), 0).otherwise(1)
-    d = d.withColumn("run", F.sum(changed).over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.when(F.col(state).eqNullSafe(F.lag(state).over(ordered())) & (F.row_number().over(ordered()) > 1), 0).otherwise(1)
+    d = d.withColumn("run", F.sum(changed).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     return d.filter(F.col(state).isNotNull()).groupBy("symbol", "run").agg(F.first(state).alias("state"), F.min("bar_idx").alias("start"), F.count("*").alias("length")).drop("run")
 
 
@@ -81,7 +81,7 @@ def described(runs: DataFrame) -> DataFrame:
 
 def transitions(d: DataFrame, state: str = "state") -> DataFrame:
     """Per symbol: how often a state follows another on the next bar, and its share of the first one's bars."""
-    n = d.withColumn("after", F.lead(state).over(ORDERED)).filter(F.col(state).isNotNull() & F.col("after").isNotNull())
+    n = d.withColumn("after", F.lead(state).over(ordered())).filter(F.col(state).isNotNull() & F.col("after").isNotNull())
     n = n.groupBy("symbol", F.col(state).alias("before"), "after").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("symbol", "before")))
 
@@ -96,14 +96,14 @@ def states_descriptors(spark, sf_dir: str) -> DataFrame:
 
 def states_hysteresis(spark, sf_dir: str) -> DataFrame:
     d = h1_of(spark, sf_dir)
-    x = F.col("close") - F.lag("close").over(ORDERED)
+    x = F.col("close") - F.lag("close").over(ordered())
     return d.withColumn("x", x).select("symbol", "bar_idx", hysteresis(F.col("x"), 6.0, 2.0, -6.0, -2.0).alias("level"))
 
 
 def _trend(spark, sf_dir: str) -> DataFrame:
     """A short state for the run queries: the side of the close against its last 20 bars, with memory."""
     d = h1_of(spark, sf_dir)
-    x = F.col("close") - full(F.avg("close").over(ORDERED.rowsBetween(-19, 0)), 20)
+    x = F.col("close") - full(F.avg("close").over(ordered().rowsBetween(-19, 0)), 20)
     return d.withColumn("x", x).withColumn("state", hysteresis(F.col("x"), 20.0, 2.0, -20.0, -2.0))
 
 
@@ -126,7 +126,7 @@ def states_combined(spark, sf_dir: str) -> DataFrame:
 
     def levels(frame: str) -> DataFrame:
         b = frame_bars(m15, frame)
-        x = F.col("close") - full(F.avg("close").over(ORDERED.rowsBetween(-2, 0)), 3)
+        x = F.col("close") - full(F.avg("close").over(ordered().rowsBetween(-2, 0)), 3)
         b = b.withColumn("x", x).withColumn("complete", F.col("n_m15") > 0)
         return b.withColumns({"order_level": hysteresis(F.col("x"), 15.0, 1.0, -15.0, -1.0), "slope_level": hysteresis(F.col("x"), 5.0, 1.0, -5.0, -1.0)})
 

@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import BASE, ORDERED
+from ..functions.features import BASE, ordered
 from ..sources.tapes import daily_trades
 from .bars import h1_of
 
@@ -65,7 +65,7 @@ def participation_ratio(d: DataFrame, key: str = "day", name: str = "symbol", x:
 
 def forward_net(bars: DataFrame, direction, hold: int, cost: float) -> DataFrame:
     """Net move from the next open to the close ``hold`` bars on, in the direction; null where there is none."""
-    move = direction * (F.lead("close", hold).over(ORDERED) - F.lead("open", 1).over(ORDERED)) - cost
+    move = direction * (F.lead("close", hold).over(ordered()) - F.lead("open", 1).over(ordered())) - cost
     return bars.withColumn("net", F.when(direction != 0, move))
 
 
@@ -103,7 +103,7 @@ def stats_effective(spark, sf_dir: str) -> DataFrame:
 
 def stats_forward_net(spark, sf_dir: str) -> DataFrame:
     b = h1_of(spark, sf_dir)
-    side = F.signum(F.col("close") - F.lag("close").over(ORDERED))
+    side = F.signum(F.col("close") - F.lag("close").over(ordered()))
     out = None
     for hold in (1, 4, 12):
         d = forward_net(b, side, hold, 0.1).groupBy("symbol").agg(F.lit(hold).alias("hold"), F.count("net").alias("n"), F.round(F.avg("net"), 6).alias("mean_net"), F.round(F.expr("percentile(net, 0.95)"), 6).alias("p95"))
