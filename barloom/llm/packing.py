@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import chunks, encoder
+from .bpe import rank_ids
 from .common import table, written
 
 CAPACITY, SHARD_PIECES, END = 2048, 4000, np.zeros(1, "<u4").tobytes()
@@ -33,16 +33,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     """A row per piece of each text's ids, the end id included."""
 
     def cut(batches):
-        enc = encoder(path, "byte")
         for pdf in batches:
-            rows, at = [], iter(pdf["doc_id"])
-            for run in chunks(pdf["text"]):
-                for (ids, _), doc_id in zip(enc.encode(run), at):
-                    ids += END
-                    n = len(ids) // 4
-                    stop = (n - 1) % capacity + 1
-                    bounds = [0, *range(stop, n + 1, capacity)]
-                    rows += [(doc_id, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+            rows = []
+            for text, doc_id in zip(pdf["text"], pdf["doc_id"]):
+                ids = rank_ids(path, text or "") + END
+                n = len(ids) // 4
+                stop = (n - 1) % capacity + 1
+                bounds = [0, *range(stop, n + 1, capacity)]
+                rows += [(doc_id, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
@@ -116,7 +114,7 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, shard
     pieces = written(token_pieces(docs, path, capacity))  # texts are tokenised once; the number of shards needs a count
     shards = max(1, -(-pieces.count() // shard_pieces))
 
-    def shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def shard(key, pdf):
         seq, off = pack(pdf["length"].to_numpy(), capacity)
         pdf["doc_id"] = pdf["doc_id"].astype("Int64")
         return pdf.drop(columns="shard").assign(sequence_id=key[0] * (1 << 32) + seq, offset=off)
