@@ -13,8 +13,9 @@ alone. These units (and copies with one inserted
 letter) are the positive examples, frequent units and the machine's own worst mistakes on label 0 the negative ones.
 Landmarks are picked from both by pivoted Cholesky, an L2-regularised squared-hinge machine is fitted on the Nystroem
 features, and because the kernel is linear in its explicit three-letter features, the machine folds into one table of
-32^3 weights, sent with the tasks. Last, a logistic curve maps a document's largest unit value and its number of
-positive units to the score.
+32^3 weights, sent with the tasks. Last, a logistic regression maps what a document's units amount to (its three largest
+values, how many units lie above each of ``LEVELS``, and how many units there are, so that a long text isn't worse for
+its length) to the score.
 
 Defined cases: null or empty text has the score of a text without units; null doc_id is not held out and never
 labelled; repeated rows give repeated results; several labels of one id count as 1 if any is 1; without labels of both
@@ -37,6 +38,7 @@ from .common import table
 
 MAX_TRAIN, MAX_TRAIN_CHARS, LANDMARKS = 2000, 20_000, 256
 WINDOW, STRIDE, SPAN, DECAY, LETTERS = 12, 4, 5, 0.6, 32
+LEVELS = (-0.4, 0.0, 0.3, 0.6, 0.9)
 MEMO = 150_000
 #: Digits and signs that stand in for letters.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -106,9 +108,9 @@ def kernel_features(rows: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Folded weights, intercept and the logistic curve over (largest value, log of the number of positive units)."""
+    """Folded weights, intercept and the logistic regression over ``summary``."""
 
-    def __init__(self, weights: np.ndarray, bias: float, curve: tuple[float, float, float]):
+    def __init__(self, weights: np.ndarray, bias: float, curve: np.ndarray):
         self.weights, self.bias, self.curve = weights, bias, curve
         self.memo: dict[str, float] = {}
 
@@ -139,14 +141,15 @@ class Model:
             new = list(us)
         self.memo.update(zip(new, self.values(new).tolist()))
 
-    def summary(self, us: list[str]) -> tuple[float, float]:
-        v = [self.memo[u] for u in us]
-        return (max(v), math.log1p(sum(x > 0 for x in v))) if v else (-2.0, 0.0)
+    def summary(self, us: list[str]) -> np.ndarray:
+        """What a document's distinct units amount to; the first entry is 1."""
+        v = np.sort(np.array([self.memo[u] for u in dict.fromkeys(us)] + [-2.0] * 3).clip(-2, 2))[::-1]
+        n = math.log1p(len(v) - 3)
+        above = np.log1p([(v > x).sum() for x in LEVELS])
+        return np.array([1.0, *v[:3], *above, n, *(above * n)])
 
     def score(self, us: list[str]) -> float:
-        a, b, c = self.curve
-        top, many = self.summary(us)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * max(-2.0, min(2.0, top)) + c * many))))
+        return float(1 / (1 + np.exp(-np.clip(self.summary(us) @ self.curve, -30, 30))))
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -198,13 +201,15 @@ def _first_guess(docs: list[tuple[list[str], int]], most: int = 500) -> list[str
     return best
 
 
-def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | None:
-    """Fits the model on (text, label) rows; None without examples of both labels."""
+def train(rows: list[tuple[str, int]], share: float | None = None, landmarks: int = LANDMARKS) -> Model | None:
+    """Fits the model on (text, label) rows; None without examples of both labels. share: of label 1 among all labels."""
     docs = [(units(t), y) for t, y in rows]
     n1, n0 = sum(y for _, y in docs), sum(1 - y for _, y in docs)
     pos = Counter(_first_guess(docs)) if n1 and n0 else None
     if not pos:
         return None
+    share = n1 / (n0 + n1) if share is None else min(0.9, max(0.02, share))
+    prior = (1 - share, share)
     foul = Counter(u for us, y in docs if y for u in set(us))
     clean = Counter(u for us, y in docs if not y for u in set(us))
     neutral = [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
@@ -224,7 +229,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | No
         y = np.array([1.0] * len(good) + [-1.0] * len(neg))
         x = np.concatenate([kernel_features(ex[i : i + 256]) @ fold for i in range(0, len(ex), 256)])
         w, bias = _machine(x, y)
-        model = Model(fold @ w.astype("float32"), float(bias), (0.0, 1.0, 0.0))
+        model = Model(fold @ w.astype("float32"), float(bias), np.zeros(1))
         if rest:
             v = model.window_values(rest) + model.bias
             hard = np.argsort(-v, kind="stable")[:600]
@@ -241,16 +246,18 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model | No
     x, y = [], []
     for us, label in docs:
         model.learn(set(us))
-        x.append((1.0, *model.summary(us)))
+        x.append(model.summary(us))
         y.append(label)
     x, y = np.array(x), np.array(y, float)
-    x[:, 1] = x[:, 1].clip(-2, 2)
-    b, weight = np.zeros(3), np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
-    for _ in range(50):
+    # the labels' own shares, but an example of label 1 counts twice
+    b, weight = np.zeros(x.shape[1]), np.where(y > 0, 2.0, 1.0) * (prior[1] / max(1.0, y.sum()) * y + prior[0] / max(1.0, (1 - y).sum()) * (1 - y)) * len(y)
+    ridge = np.eye(x.shape[1])
+    ridge[0, 0] = 1e-6
+    for _ in range(60):
         p = 1 / (1 + np.exp(-(x @ b).clip(-30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-1 * np.eye(3)
-        b = b + np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-1 * b)
-    model.curve = tuple(float(v) for v in b)
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge
+        b = b + np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge @ b)
+    model.curve = b
     model.memo = {}
     return model
 
@@ -259,15 +266,16 @@ def held_out_of(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> list[tuple[str, int]]:
-    """The bounded sample, read to the driver: both labels' rows with the lowest hash of the id, none held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[list[tuple[str, int]], float | None]:
+    """The bounded sample, read to the driver: both labels' rows with the lowest hash of the id, none held out; and the
+    share of label 1 among all labels that may be learned."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out_of(F.col("doc_id")))
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.char_length("text") <= MAX_TRAIN_CHARS))
     # which ids: a narrow top-k; only their texts are then joined and collected
     ids = known.join(rows.select("doc_id").distinct(), "doc_id").withColumn("h", F.xxhash64("doc_id"))
     picked = ids.filter("toxic = 1").orderBy("h", "doc_id").limit(most).union(ids.filter("toxic = 0").orderBy("h", "doc_id").limit(most))
     got = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    return [(r.text, int(r.toxic)) for r in sorted(got, key=lambda r: r.doc_id)]
+    return [(r.text, int(r.toxic)) for r in sorted(got, key=lambda r: r.doc_id)], known.agg(F.avg("toxic")).first()[0]
 
 
 def score_of(model: Model | None):
@@ -303,7 +311,7 @@ def score_of(model: Model | None):
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, held_out, score, predicted, n_units, one row per input row."""
-    model = train(training_rows(train_docs if train_docs is not None else docs, labels))
+    model = train(*training_rows(train_docs if train_docs is not None else docs, labels))
     out = docs.select(F.struct(*keep).alias("doc"), held_out_of(F.col("doc_id")).alias("held_out"), score_of(model)("text").alias("s"))
     predicted = (F.col("s.score") >= 0.5).cast("int").alias("predicted")
     return out.select(*[F.col("doc")[c].alias(c) for c in keep], "held_out", "s.score", predicted, "s.n_units")
