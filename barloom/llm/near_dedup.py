@@ -9,9 +9,11 @@
 3. First, only a spanning forest of each block's candidates (stars around the smallest class where the estimate is high)
    and one pair from each block to its region's smallest class are confirmed on full shingle sets, so that a group of
    thousands of copies costs pairs in proportion to its size.
-4. Then every candidate pair of a block whose ends are still in different components is confirmed too. In a region of
+4. Then every candidate pair of a block whose ends are still in different components is looked at too. In a region of
    several blocks, the classes outside its largest component also visit its other blocks. So no pair is left out for
-   the size of a group: pairs inside one component can't change the result.
+   the size of a group: pairs inside one component can't change the result. Before these pairs are confirmed on full
+   sets, an exact bound removes those that can't link: with shingles in one order, rare ones first, nothing before the
+   first common shingle of two sets is common.
 
 A pair at the threshold misses all trees with a probability below 2e-5 at depth 3; estimates below ``LEAST`` of the
 minima (four standard deviations under the threshold) aren't confirmed.
@@ -187,25 +189,64 @@ def _grouped(batches, most: int = 200_000):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _pairs_of(spanning: bool, num: int, den: int):
+def _may_link(p: np.ndarray, n: int, q: dict, m: int, num: int, den: int) -> bool:
+    """Whether two sets of sizes n and m can reach the threshold: p holds the first shingles of one in order, q the place
+    of the first shingles of the other."""
+    for i, x in enumerate(p):
+        if (j := q.get(x)) is not None:
+            both = min(n - i, m - j)
+            return den * both >= num * (n + m - both)
+    return False
+
+
+def _pairs_of(step: str, num: int, den: int):
+    """step: ``forest`` for the pairs that span each block, ``nodes`` for the classes (as a and b) of the pairs across
+    components, ``cross`` for these pairs, as far as the first shingles (column ``first``) let them link."""
     least, star = int(LEAST * TREES * DEPTH), int(STAR * TREES * DEPTH)
 
     def pairs(batches):
         for t in _grouped(batches):
             c, n, g = (t.column(x).to_numpy() for x in ("c", "n", "g"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "uint16").reshape(-1, TREES * DEPTH)
-            comp = None if spanning else t.column("comp").to_numpy()
+            comp = None if step == "forest" else t.column("comp").to_numpy()
             left, right, est = _block_pairs(sig, n, g, comp, least, num, den)
-            if spanning:
+            if step == "forest":
                 keep = _forest(left, right, est, c, star)
                 left, right = left[keep], right[keep]
             a, b = np.minimum(c[left], c[right]), np.maximum(c[left], c[right])
             pair = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+            if step == "nodes":
+                one = np.unique(pair)
+                pair = np.stack([one, one], 1)
+            elif step == "cross" and len(pair):
+                row = {x: i for i, x in enumerate(c.tolist())}
+                first = {x: t.column("first")[row[x]].as_py() for x in np.unique(pair).tolist()}
+                place = {x: {s: i for i, s in enumerate(p)} for x, p in first.items()}
+                keep = [_may_link(first[x], int(n[row[x]]), place[y], int(n[row[y]]), num, den) for x, y in pair.tolist()]
+                pair = pair[np.array(keep, bool)]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     return pairs
 
 
+def _shingle_rows(batches):
+    for t in batches:
+        sets, at = shingle_sets(*utf8(t.column("text")))
+        size = np.diff(at)
+        c = np.repeat(t.column("c").to_numpy(), size)
+        for i in range(0, len(sets), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]), pa.array(sets[i : i + 50_000].view("int64"))], names=["c", "s"])
+
+
+def _first_shingles(texts: DataFrame, num: int, den: int) -> DataFrame:
+    """(c, first): of each class the shingles, rare ones first, of which a linked class must have at least one."""
+    rows = texts.select("c", "text").mapInArrow(_shingle_rows, "c long, s long")
+    rare = rows.groupBy("s").agg(F.count("*").alias("df"))
+    order = rows.join(rare, "s").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
+    count = F.expr(f"cast(size(all) - ceil(size(all) * {num} / {den}) + 1 as int)")
+    return order.select("c", F.transform(F.slice("all", 1, count), lambda x: x["s"]).alias("first"))
+
+
 def _ordered(rows: DataFrame, parts: int) -> DataFrame:
     """Blocks together, in the signature order of their tree; ``g`` names the block."""
     rows = rows.withColumn("g", F.xxhash64("tree", "depth", "region", "block"))
@@ -270,7 +311,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     classes = written(classes)
     rows = written(_regions(classes.select("c", "n", "sig")))
 
-    forest = _ordered(rows, parts).select("g", "c", "n", "sig").mapInArrow(_pairs_of(True, num, den), "a long, b long")
+    forest = _ordered(rows, parts).select("g", "c", "n", "sig").mapInArrow(_pairs_of("forest", num, den), "a long, b long")
     split = rows.filter("blocks > 1").groupBy("tree", "depth", "region", "block").agg(F.min("c").alias("head"))
     heads = split.join(split.groupBy("tree", "depth", "region").agg(F.min("head").alias("top")), ["tree", "depth", "region"])
     first = written(forest.union(heads.filter("head > top").select("top", "head")).distinct())
@@ -289,7 +330,13 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     most = wide_rows.groupBy("tree", "depth", "region", "comp").count().groupBy("tree", "depth", "region").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
     guests = wide_rows.join(most, ["tree", "depth", "region"]).filter("comp != major").withColumn("home", F.col("block"))
     guests = guests.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("block != home").select(again.columns)
-    cross = _ordered(again.unionByName(guests), parts).select("g", "c", "n", "sig", "comp").mapInArrow(_pairs_of(False, num, den), "a long, b long")
+    blocks = _ordered(again.unionByName(guests), parts).select("g", "c", "n", "sig", "comp")
+    open_ends = written(blocks.mapInArrow(_pairs_of("nodes", num, den), "a long, b long").select(F.col("a").alias("c")).distinct())
+    first_shingles = written(_first_shingles(texts.join(open_ends, "c"), num, den))
+    again = again.join(first_shingles, "c")
+    guests = guests.join(first_shingles, "c")
+    blocks = _ordered(again.unionByName(guests), parts).select("g", "c", "n", "sig", "comp", "first")
+    cross = blocks.mapInArrow(_pairs_of("cross", num, den), "a long, b long")
     second = cross.distinct().join(first, ["a", "b"], "left_anti")
     more = written(_confirmed(second, texts, num, den))
 
