@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import features, predicates
-from .operators import audit, bars, portfolio, states, stats, trades
+from .operators import audit, bars, portfolio, states, stats, trades, worlds
 from .plans import search
 
-MODULES = (bars, features, predicates, states, trades, stats, audit, portfolio, search)
+MODULES = (bars, features, predicates, states, trades, stats, audit, portfolio, search, worlds)
 
 
 def queries() -> dict:
