@@ -15,8 +15,8 @@
    sets, an exact bound removes those that can't link: with shingles in one order, rare ones first, nothing before the
    first common shingle of two sets is common.
 
-A pair at the threshold misses all trees with a probability below 2e-5 at depth 3; estimates below ``LEAST`` of the
-minima (four standard deviations under the threshold) aren't confirmed.
+A pair at 0.85 misses all trees with a probability below 2e-5 at depth 3, one at 0.8 with 2e-4; estimates more than four
+standard deviations under the threshold aren't confirmed.
 
 Defined cases: null or empty text, or text without words, has the empty set (size 0) and is linked with nothing;
 repeated rows and equal sets are linked; a null doc_id counts as no id: it is linked, but names no component unless
@@ -36,11 +36,12 @@ from .common import small_batches, table, wide, written
 from .components import components
 
 TREES, DEPTH, SHALLOW, REGION = 12, 5, 3, 128
-LEAST, STAR = 0.67, 0.90
+SIGMAS, STAR = 4, 0.05
 CHUNK = 1 << 20
 _BYTE = random_words(11, 256)
 _MINIMA = random_words(23, TREES * DEPTH)
-_PLACE = random_words(37, 8)
+_PLACE = random_words(37, 2)
+_WORD = random_words(41, 64)
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,20 +68,18 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, np.searchsorted(start, off)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each row, one after the other, and their offsets."""
     h, at = word_hashes(data, off)
-    sets, size = [], np.zeros(len(off), "int64")
-    if len(h) >= 3:
-        three = mixed(h[:-2] * _PLACE[2] + h[1:-1] * _PLACE[3] + h[2:] * _PLACE[4])
+    sets, size, n = [], np.zeros(len(off), "int64"), len(h) - words + 1
+    if n > 0:
+        grams = mixed(sum(h[j : n + j] * _WORD[j] for j in range(words)))
     for i in range(len(off) - 1):
         a, b = at[i], at[i + 1]
-        if b - a >= 3:
-            s = np.unique(three[a : b - 2])
-        elif b - a == 2:
-            s = mixed(h[a : a + 1] * _PLACE[5] + h[a + 1 : b] * _PLACE[6])
-        else:
-            s = mixed(h[a:b] * _PLACE[7])
+        if b - a >= words:
+            s = np.unique(grams[a : b - words + 1])
+        else:  # the whole sequence as one; its length goes into the choice of factors
+            s = mixed((h[a:b] * _WORD[32 : 32 + b - a]).sum(keepdims=True) + _WORD[b - a]) if b > a else h[:0]
         sets.append(s)
         size[i + 1] = len(s)
     return (np.concatenate(sets) if sets else np.zeros(0, "uint64")), np.cumsum(size)
@@ -97,29 +96,32 @@ def _signatures(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 SCANNED = "doc_id long, text_hash long, n long, c long, sig binary"
 
 
-def _scan(batches):
-    for batch in batches:
-        data, off = utf8(batch.column("text"))
-        n, c, sig = [], [], []
-        for a, b in runs(off, CHUNK):
-            part, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
-            s, at = shingle_sets(part, cut)
-            size = np.diff(at)
-            total = np.zeros(len(s) + 1, "uint64")
-            np.cumsum(mixed(s ^ _PLACE[0]), out=total[1:])
-            n.append(size)
-            c.append(mixed(total[at[1:]] - total[at[:-1]] + size.astype("uint64")).view("int64"))
-            some = np.flatnonzero(size)
-            rows: list = [None] * (b - a)
-            if len(some):
-                for i, x in zip(some, _signatures(s, np.append(at[some], len(s)))):
-                    rows[i] = x.tobytes()
-            sig += rows
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, "int64")
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(cat(n)), pa.array(cat(c)), pa.array(sig, pa.binary())],
-            names=[x.split()[0] for x in SCANNED.split(", ")],
-        )
+def _scan(words: int):
+    def scan(batches):
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            n, c, sig = [], [], []
+            for a, b in runs(off, CHUNK):
+                part, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                s, at = shingle_sets(part, cut, words)
+                size = np.diff(at)
+                total = np.zeros(len(s) + 1, "uint64")
+                np.cumsum(mixed(s ^ _PLACE[0]), out=total[1:])
+                n.append(size)
+                c.append(mixed(total[at[1:]] - total[at[:-1]] + size.astype("uint64")).view("int64"))
+                some = np.flatnonzero(size)
+                rows: list = [None] * (b - a)
+                if len(some):
+                    for i, x in zip(some, _signatures(s, np.append(at[some], len(s)))):
+                        rows[i] = x.tobytes()
+                sig += rows
+            cat = lambda x: np.concatenate(x) if x else np.zeros(0, "int64")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(cat(n)), pa.array(cat(c)), pa.array(sig, pa.binary())],
+                names=[x.split()[0] for x in SCANNED.split(", ")],
+            )
+
+    return scan
 
 
 def _linkable(n: np.ndarray, other: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -202,7 +204,8 @@ def _may_link(p: np.ndarray, n: int, q: dict, m: int, num: int, den: int) -> boo
 def _pairs_of(step: str, num: int, den: int):
     """step: ``forest`` for the pairs that span each block, ``nodes`` for the classes (as a and b) of the pairs across
     components, ``cross`` for these pairs, as far as the first shingles (column ``first``) let them link."""
-    least, star = int(LEAST * TREES * DEPTH), int(STAR * TREES * DEPTH)
+    minima, limit = TREES * DEPTH, num / den
+    least, star = int(minima * limit - SIGMAS * (minima * limit * (1 - limit)) ** 0.5), int(minima * min(0.95, limit + STAR))
 
     def pairs(batches):
         for t in _grouped(batches):
@@ -229,18 +232,20 @@ def _pairs_of(step: str, num: int, den: int):
     return pairs
 
 
-def _shingle_rows(batches):
-    for t in batches:
-        sets, at = shingle_sets(*utf8(t.column("text")))
-        size = np.diff(at)
-        c = np.repeat(t.column("c").to_numpy(), size)
-        for i in range(0, len(sets), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]), pa.array(sets[i : i + 50_000].view("int64"))], names=["c", "s"])
+def _shingle_rows(words: int):
+    def rows(batches):
+        for t in batches:
+            sets, at = shingle_sets(*utf8(t.column("text")), words)
+            c = np.repeat(t.column("c").to_numpy(), np.diff(at))
+            for i in range(0, len(sets), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]), pa.array(sets[i : i + 50_000].view("int64"))], names=["c", "s"])
+
+    return rows
 
 
-def _first_shingles(texts: DataFrame, num: int, den: int) -> DataFrame:
+def _first_shingles(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(c, first): of each class the shingles, rare ones first, of which a linked class must have at least one."""
-    rows = texts.select("c", "text").mapInArrow(_shingle_rows, "c long, s long")
+    rows = texts.select("c", "text").mapInArrow(_shingle_rows(words), "c long, s long")
     rare = rows.groupBy("s").agg(F.count("*").alias("df"))
     order = rows.join(rare, "s").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
     count = F.expr(f"cast(size(all) - ceil(size(all) * {num} / {den}) + 1 as int)")
@@ -273,7 +278,7 @@ def _regions(classes: DataFrame) -> DataFrame:
     return out
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
 
     def check(batches):
@@ -287,9 +292,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFr
                     if c not in said:
                         if len(said) > 200:
                             said.clear()
-                        said[c] = shingle_sets(*utf8(t.slice(i, 1)))[0]
+                        said[c] = shingle_sets(*utf8(t.slice(i, 1)), words)[0]
                 # the first may have gone when the second came
-                s = said[x] if x in said else shingle_sets(*utf8(ta.slice(i, 1)))[0]
+                s = said[x] if x in said else shingle_sets(*utf8(ta.slice(i, 1)), words)[0]
                 r = said[y]
                 both = len(np.intersect1d(s, r, assume_unique=True))
                 keep.append(den * both >= num * (len(s) + len(r) - both))
@@ -301,12 +306,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id, one row per input row; links at ``num / den`` or more."""
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, class_id, one row per input row; shingles of so many ``words``,
+    links at ``num / den`` or more."""
     parts = wide(small_batches(docs.sparkSession))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
-    scanned = written(own.select("doc_id", "text_hash", "text").mapInArrow(_scan, SCANNED))
+    scanned = written(own.select("doc_id", "text_hash", "text").mapInArrow(_scan(words), SCANNED))
     classes = scanned.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
     classes = written(classes)
     rows = written(_regions(classes.select("c", "n", "sig")))
@@ -320,7 +326,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     need = classes.join(nodes, "c").select("c", F.col("one.doc_id").alias("r_id"), F.col("one.text_hash").alias("text_hash"))
     texts = need.join(own, "text_hash").filter(F.col("r_id").eqNullSafe(F.col("doc_id"))).select("c", "text").groupBy("c").agg(F.first("text").alias("text"))
     texts = written(texts)
-    links = written(_confirmed(first, texts, num, den))
+    links = written(_confirmed(first, texts, words, num, den))
 
     known = components(links)
     comp = F.coalesce("root", "c").alias("comp")
@@ -332,13 +338,13 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     guests = guests.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("block != home").select(again.columns)
     blocks = _ordered(again.unionByName(guests), parts).select("g", "c", "n", "sig", "comp")
     open_ends = written(blocks.mapInArrow(_pairs_of("nodes", num, den), "a long, b long").select(F.col("a").alias("c")).distinct())
-    first_shingles = written(_first_shingles(texts.join(open_ends, "c"), num, den))
+    first_shingles = written(_first_shingles(texts.join(open_ends, "c"), words, num, den))
     again = again.join(first_shingles, "c")
     guests = guests.join(first_shingles, "c")
     blocks = _ordered(again.unionByName(guests), parts).select("g", "c", "n", "sig", "comp", "first")
     cross = blocks.mapInArrow(_pairs_of("cross", num, den), "a long, b long")
     second = cross.distinct().join(first, ["a", "b"], "left_anti")
-    more = written(_confirmed(second, texts, num, den))
+    more = written(_confirmed(second, texts, words, num, den))
 
     joined = components(known.filter("node != root").toDF("a", "b").union(more))
     of_class = scanned.filter("n > 0").select("c").distinct().join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("comp"))
@@ -355,4 +361,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)

@@ -176,10 +176,10 @@ def test_toxicity(spark):
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
-def shingles(text: str) -> frozenset:
+def shingles(text: str, k: int) -> frozenset:
     low = text.translate({c: c + 32 for c in range(65, 91)})
     w = [x for x in re.split("[\x20\x09-\x0d]+", low) if x]
-    return frozenset([tuple(w)] if 0 < len(w) < 3 else zip(w, w[1:], w[2:]))
+    return frozenset([tuple(w)] if 0 < len(w) < k else zip(*[w[j:] for j in range(k)]))
 
 
 def components_by_hand(ids, linked):
@@ -198,11 +198,12 @@ def components_by_hand(ids, linked):
     return {i: find(i) for i in ids}
 
 
-def test_near_duplicates(spark, docs):
-    got = near_dedup.near_duplicates(docs).collect()
+@pytest.mark.parametrize("words, least", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, docs, words, least):
+    got = near_dedup.near_duplicates(docs, words, least).collect()
     assert len(got) == docs.count()
-    sets = {i: shingles(t) for i, t in texts(docs) if i is not None}
-    want = components_by_hand(sorted(sets), lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    sets = {i: shingles(t, words) for i, t in texts(docs) if i is not None}
+    want = components_by_hand(sorted(sets), lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
     for r in got:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
@@ -220,8 +221,8 @@ def test_near_duplicate_groups_beyond_a_block(spark):
             w[r.randrange(160)] = f"w{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, prose(60 + i, 100)) for i in range(50)]
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {i: shingles(t) for i, t in rows}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    sets = {i: shingles(t, 3) for i, t in rows}
     assert got == components_by_hand(sorted(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
 
 
