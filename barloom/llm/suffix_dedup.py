@@ -6,7 +6,7 @@ needn't be sorted for that, only the neighbourhoods of places that occur in two
 1. Deal: each distinct text goes, once per task that read it, to a batch by its hash (map-side combining, so that a
    third of all rows may be copies of one text). Batches hold about ``BATCH`` bytes.
 2. Anchors: of each ``LENGTH``-byte window, the ``GRAM``-byte string with the smallest hash is its anchor, a choice that
-   depends on the window's content only. A batch sends each distinct anchor hash once to the shard of that hash, which
+   depends on the window's content only. Neighbouring windows mostly share it. A batch sends each distinct anchor hash once to the shard of that hash, which
    answers with one bit per hash: does it occur in two documents?
 3. Contexts: around each repeated anchor, the bytes of the windows that have this anchor. A batch sends each distinct
    context once, with the smallest id that has it, to a shard by anchor hash. Equal windows meet there.
@@ -56,31 +56,31 @@ def _least_ahead(x: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, first window, last window) of every anchor of the rows; windows are named by their first byte."""
-    n, width = len(data), length - GRAM + 1
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes at each position; never the smallest or the largest number."""
+    n = len(data)
+    v = eight(np.append(data, np.zeros(8, "uint8")))
+    g = (v[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ ((v[8 : n + 8] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    g = mixed(g)
+    return np.minimum(np.maximum(g, np.uint64(1)), _ALL - np.uint64(1))
+
+
+def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, last window) of every run of windows that have the same anchor; windows are named by their
+    first byte."""
+    n = len(data)
     if not n:
         none = np.zeros(0, "int64")
-        return none, np.zeros(0, "uint64"), none, none
-    v = eight(np.append(data, np.zeros(8, "uint8")))
-    g = mixed((v[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (v[8 : n + 8] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    g = np.minimum(g, _ALL - np.uint64(1)) + np.uint64(1)  # 1 at least: 0 stands for no window
+        return np.zeros(0, "uint64"), none, none
+    g = gram_hashes(data)
     left = np.repeat(off[1:], np.diff(off)) - np.arange(n)
     g[left < GRAM] = _ALL
-    m = _least_ahead(g, width)
-    m[left < length] = 0
-    most = ~_least_ahead(~m[::-1], width)[::-1]  # the largest minimum of the windows that hold the position
-    at = np.flatnonzero((most == g) & (left >= GRAM))
-    h = g[at]
-    # the windows of an anchor are neighbours: walk from it to both ends, all anchors at once
-    first, last = np.full(len(at), -1), np.full(len(at), -1)
-    for k in range(width):
-        w = at - k
-        ok = w >= 0
-        ok[ok] = m[w[ok]] == h[ok]
-        first[ok] = w[ok]
-        last[ok & (last < 0)] = w[ok & (last < 0)]
-    return at, h, first, last
+    m = _least_ahead(g, length - GRAM + 1)
+    m[left < length] = 0  # no window; so no run goes from one text to the next
+    first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+    last = np.r_[first[1:], n] - 1
+    some = m[first] > 0
+    return m[first[some]], first[some], last[some]
 
 
 # blobs --------------------------------------------------------------------------------------------------------------
@@ -151,8 +151,8 @@ class _Texts:
         parts = []
         for a, b in runs(self.off, 1 << 20):
             off = self.off[a : b + 1]
-            at, h, first, last = anchors(self.data[off[0] : off[-1]], off - off[0], length)
-            parts.append((np.searchsorted(off, at + off[0], "right") - 1 + a, h, first + off[0], last + off[0]))
+            h, first, last = anchors(self.data[off[0] : off[-1]], off - off[0], length)
+            parts.append((np.searchsorted(off, first + off[0], "right") - 1 + a, h, first + off[0], last + off[0]))
         if not parts:
             return np.zeros(0, "int64"), np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64")
         return tuple(np.concatenate(x) for x in zip(*parts))
@@ -258,7 +258,7 @@ def _send(length: int, shards: int, far: int):
             one = c.one[a:b]
             size = c.size[one]
             take = np.repeat(c.first[one] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            rows.append((s, key[0].as_py(), _packed(size.astype("uint16")), _packed(texts.d[c.doc[one]]), _packed(texts.data[take])))
+            rows.append((s, key[0].as_py(), _packed(size.astype("uint32")), _packed(texts.d[c.doc[one]]), _packed(texts.data[take])))
         return _table(SENT, rows)
 
     return send
@@ -267,7 +267,7 @@ def _send(length: int, shards: int, far: int):
 def _rank(length: int):
     def rank(key, t):
         """The smallest id of each window of the contexts that each batch sent, as runs (value, length)."""
-        size = [_unpacked(x, "<u2").astype("int64") for x in t.column("size").to_pylist()]
+        size = [_unpacked(x, "<u4").astype("int64") for x in t.column("size").to_pylist()]
         least = [_unpacked(x, "<i8") for x in t.column("least").to_pylist()]
         data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in t.column("bytes").to_pylist())
         all_size, all_least = np.concatenate(size), np.concatenate(least)
@@ -278,20 +278,24 @@ def _rank(length: int):
         of = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(begin.tolist(), end.tolist())), "int64", len(begin))
         best = np.full(len(number), NONE)
         np.minimum.at(best, of, all_least)
-        text = b"".join(number)
         own = np.fromiter(map(len, number), "int64", len(number))
-        data = np.frombuffer(text, "uint8")
-        stop = np.cumsum(own)
-        sa = suffix_array(data, length)
-        same = permuted_repeats(data, sa, length)
-        # a suffix counts as a window if it has enough bytes left in its context
-        ctx = np.repeat(np.arange(len(own)), own)
-        window = np.repeat(stop, own) - np.arange(len(data)) >= length
-        value = np.where(window, best[ctx], NONE)[sa]
-        runs_at = np.flatnonzero(~same)
-        smallest = np.minimum.reduceat(value, runs_at)
-        found = np.empty(len(data), "int64")
-        found[sa] = np.repeat(smallest, np.diff(np.r_[runs_at, len(sa)]))
+        data, stop = np.frombuffer(b"".join(number), "uint8"), np.cumsum(own)
+        found = np.repeat(best, own)
+        # all windows of a context have its anchor, so contexts alone with theirs share no window
+        edge = np.stack([stop - own, stop - own + length - GRAM + 1], 1).ravel()
+        anchor = np.minimum.reduceat(gram_hashes(data), edge)[::2]
+        _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        byte = np.flatnonzero(np.repeat(count[group] > 1, own))
+        if len(byte):
+            text = data[byte]
+            sa = suffix_array(text, length)
+            same = permuted_repeats(text, sa, length)
+            # a suffix counts as a window if it has enough bytes left in its context
+            window = (np.repeat(stop, own) - np.arange(len(data)) >= length)[byte]
+            value = np.where(window, found[byte], NONE)[sa]
+            runs_at = np.flatnonzero(~same)
+            smallest = np.minimum.reduceat(value, runs_at)
+            found[byte[sa]] = np.repeat(smallest, np.diff(np.r_[runs_at, len(sa)]))
         # per batch: the windows of its contexts in order
         start, rows, at = stop - own, [], 0
         for b, s in zip(t.column("batch").to_pylist(), size):

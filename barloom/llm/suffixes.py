@@ -10,9 +10,9 @@ def classified(t: np.ndarray) -> np.ndarray:
     n = len(t)
     small = np.zeros(n, bool)
     small[-1] = True
-    differs = np.flatnonzero(t[:-1] != t[1:])
     # each position takes the answer of the next position whose right neighbour differs
-    nxt = differs[np.searchsorted(differs, np.arange(n - 1))]
+    nxt = np.where(t[:-1] != t[1:], np.arange(n - 1, dtype="int32" if n < 2**31 else "int64"), n)
+    nxt = np.minimum.accumulate(nxt[::-1])[::-1]
     small[:-1] = t[nxt] < t[nxt + 1]
     return small
 
@@ -22,9 +22,9 @@ def _dealt(at: np.ndarray, t: np.ndarray, buckets: list[list[np.ndarray]]) -> No
     sym = t[at]
     order = np.argsort(sym, kind="stable")
     sym, at = sym[order], at[order]
-    cuts = np.flatnonzero(sym[1:] != sym[:-1]) + 1
-    for part in np.split(at, cuts):
-        buckets[t[part[0]]].append(part)
+    cuts = [0, *(np.flatnonzero(sym[1:] != sym[:-1]) + 1).tolist(), len(at)]
+    for a, b in zip(cuts, cuts[1:]):
+        buckets[sym[a]].append(at[a:b])
 
 
 def _pass(t: np.ndarray, small: np.ndarray, seeds: list[list[np.ndarray]], up: bool) -> list[list[np.ndarray]]:
@@ -43,7 +43,8 @@ def _pass(t: np.ndarray, small: np.ndarray, seeds: list[list[np.ndarray]], up: b
             last = not wave
             if last:
                 wave = seeds[c]
-            for w in wave:
+            if wave:
+                w = wave[0] if len(wave) == 1 else np.concatenate(wave)
                 w = w[w > 0] - 1
                 w = w[~small[w]] if up else w[small[w]]
                 if len(w):
@@ -67,8 +68,8 @@ def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> n
 
 def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Names of the leftmost-smaller substrings, in text order; equal substrings have equal names."""
-    rank = np.zeros(len(t), "int64")
-    rank[lms] = np.arange(len(lms))
+    rank = np.zeros(len(t), lms.dtype)
+    rank[lms] = np.arange(len(lms), dtype=lms.dtype)
     end = np.append(lms[1:], len(t) - 1)
     a, b = order[:-1], order[1:]
     size = end[rank[a]] - a
@@ -93,8 +94,9 @@ def _sorted_names(name: np.ndarray, most: int) -> np.ndarray:
         right = np.zeros(n, "int64")
         right[: n - span] = name[span:] + 1
         key = name * (n + 1) + right
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         name = np.empty(n, "int64")
         name[order] = new
         span *= 2
@@ -112,7 +114,9 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     small = classified(t)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype("int32" if n < 2**31 - 2 else "int64")
     sa = _induced(t, small, lms, 257)
-    order = sa[np.isin(sa, lms, assume_unique=True)] if len(lms) else lms
+    leftmost = np.zeros(n + 1, bool)
+    leftmost[lms] = True
+    order = sa[leftmost[sa]]
     if len(lms) > 1:
         name = _names(t, small, lms, order)
         if name.max() < len(lms) - 1:
