@@ -4,11 +4,14 @@ Base rules look at one text (word count, repeated three-word windows). The metho
 (lower case, digit runs as 0, white space as one space), counts the distinct documents of a host that hold the line,
 drops lines that more than ``max_docs`` documents of one host share, and rejects documents that lose more than
 ``max_lost`` per cent of their words. The host is the ``host_col`` column (``source`` for documents).
+``without_frequent_lines`` returns the documents with the texts that are left.
 
-Defined cases: null or empty text has no words and fails the base rules; a null host is a host of its own; equal texts
-of one host count as one document, so exact copies and repeated rows don't make their own lines frequent; repeated
-rows give repeated, equal result rows; other columns of the input are ignored, whatever their names; an empty table
-gives an empty result.
+What counts as a document is ``counted``: its ``doc_id`` (the method), or its ``text_hash``. The registered query counts
+text hashes, as its SQL does: there, equal texts of one host count as one document, and the lines of exact copies stay.
+
+Defined cases: null or empty text has no words and fails the base rules; a null host is a host of its own, and all rows
+without an id are one document; repeated rows don't make their own lines frequent, give repeated, equal result rows, and
+keep one text each; other columns of the input are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,30 +82,35 @@ def line_rows(docs: DataFrame, host_col: str = "source") -> DataFrame:
     )
 
 
-def quality_rules(
-    docs: DataFrame,
-    host_col: str = "source",
-    max_docs: int = MAX_DOCS,
-    max_lost_pct: int = MAX_LOST_PCT,
-    min_words: int = MIN_WORDS,
-    max_repeat_pct: int = MAX_REPEAT_PCT,
-) -> DataFrame:
-    """Metrics and verdict per document; see the module text.
+def frequent_rows(lines: DataFrame, max_docs: int, counted: str) -> DataFrame:
+    """The rows of ``lines`` whose line more than ``max_docs`` documents of the host hold.
 
-    Plan: (host, line, text) is reduced to distinct rows, then counted per (host, line) with map-side combining, so one
-    line in every document of one host costs one partial row a task. Only lines above the limit are joined back.
+    Plan: (host, line, document) is reduced to distinct rows, then counted per (host, line) with map-side combining, so
+    one line in every document of one host costs one partial row a task. Only lines above the limit are joined back.
     """
-    base = base_metrics(docs, host_col)
-    lines = line_rows(docs, host_col)
     frequent = (
-        lines.select("host", "line_hash", "text_hash")
+        lines.select("host", "line_hash", counted)
         .distinct()
         .groupBy("host", "line_hash")
         .count()
         .filter(F.col("count") > max_docs)
         .select(F.col("host").alias("f_host"), F.col("line_hash").alias("f_hash"))
     )
-    hits = lines.join(frequent, F.col("line_hash").eqNullSafe(F.col("f_hash")) & F.col("host").eqNullSafe(F.col("f_host")))
+    return lines.join(frequent, F.col("line_hash").eqNullSafe(F.col("f_hash")) & F.col("host").eqNullSafe(F.col("f_host")))
+
+
+def quality_rules(
+    docs: DataFrame,
+    host_col: str = "source",
+    max_docs: int = MAX_DOCS,
+    max_lost_pct: int = MAX_LOST_PCT,
+    min_words: int = MIN_WORDS,
+    max_repeat_pct: int = MAX_REPEAT_PCT,
+    counted: str = "doc_id",
+) -> DataFrame:
+    """Metrics and verdict per document; see the module text."""
+    base = base_metrics(docs, host_col)
+    hits = frequent_rows(line_rows(docs, host_col), max_docs, counted)
     lost = (
         hits.select("doc_id", "host", "text_hash", "pos", "line_words")
         .distinct()
@@ -122,8 +130,21 @@ def quality_rules(
     )
 
 
+def without_frequent_lines(docs: DataFrame, host_col: str = "source", max_docs: int = MAX_DOCS, counted: str = "doc_id") -> DataFrame:
+    """``docs`` with the frequent lines taken out of their texts; all other lines stay byte for byte, in order."""
+    gone = frequent_rows(line_rows(docs, host_col), max_docs, counted).groupBy("host", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.select(F.col("host").alias("g_host"), F.col("text_hash").alias("g_text"), "gone")
+    d = docs.select(F.struct("*").alias("all"), F.col(host_col).alias("host"), "text")
+    d = d.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    d = d.join(gone, F.col("text_hash").eqNullSafe(F.col("g_text")) & F.col("host").eqNullSafe(F.col("g_host")), "left")
+    d = d.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    left = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")
+    d = d.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    return d.select(*[(F.col("left") if c == "text" else F.col("all")[c]).alias(c) for c in docs.columns])
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents"), counted="text_hash")
 
 
 ORACLE = f"""

@@ -243,6 +243,23 @@ def test_quality_rules(spark, docs):
     assert all(r.lost_words == 6 and r.kept for i, r in rows.items() if i != 1) and not rows[1].kept and rows[1].n_dup_lines == 39
 
 
+def test_frequent_lines_count_documents(spark):
+    """Lines of exact copies are frequent too, and go from the texts; rows of one id, or without one, are one document."""
+    copy = "Footer of all  copies 7\n" + prose(1, 60)
+    own = [prose(20 + i, 60) for i in range(4)]
+    rows = [(i, copy, "h") for i in range(8)] + [(50, copy, None)] * 9 + [(None, own[3], "n")] * 9
+    rows += [(100 + i, f"FOOTER of all copies {i}\n{t}\r\n\n last", "h") for i, t in enumerate(own[:3])] + [(200, None, "h"), (201, "", "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.lost_words): r.kept for r in quality_rules.quality_rules(d, max_docs=5).collect()}
+    assert got[0, 65] is False and got[101, 5] and got[50, 0] and got[None, 0]
+    assert {r.lost_words for r in quality_rules.quality_rules(d, max_docs=5, counted="text_hash").collect()} == {0}
+    left = sorted(quality_rules.without_frequent_lines(d, max_docs=5).collect(), key=str)
+    want = [(i, "" if s == "h" and i < 8 else f"{own[i - 100]}\r\n\n last" if i in (100, 101, 102) else t, s) for i, t, s in [(-1 if i is None else i, t, s) for i, t, s in rows]]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.source) for r in left if r.source and r.text is not None) == sorted(w for w in want if w[2] and w[1] is not None)
+    assert sum(r.text == copy for r in left) == 9 and sum(r.text is None for r in left) == 1
+    assert quality_rules.without_frequent_lines(d.limit(0)).columns == d.columns
+
+
 def test_url_filters(spark):
     day = "2024-0{}-01"
     entries = spark.createDataFrame(
