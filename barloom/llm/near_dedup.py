@@ -5,7 +5,8 @@
 2. Forest: each tree orders the classes by its own run of minima. A region of a tree is a longest common prefix: it
    starts ``SHALLOW`` minima deep and is deepened only while more than ``REGION`` classes share it. What is still larger
    at full depth is dealt to blocks. Neighbours of a region in signature order are candidates where size and estimated
-   similarity allow a link.
+   similarity allow a link. Classes that were in a deepened region stand in ``MORE`` further trees, as some of their
+   pairs part below ``SHALLOW``.
 3. First, only a spanning forest of each block's candidates (stars around the smallest class where the estimate is high)
    and one pair from each block to its region's smallest class are confirmed on full shingle sets, so that a group of
    thousands of copies costs pairs in proportion to its size.
@@ -15,8 +16,9 @@
    sets, an exact bound removes those that can't link: with shingles in one order, rare ones first, nothing before the
    first common shingle of two sets is common.
 
-A pair at 0.85 misses all trees with a probability below 2e-5 at depth 3, one at 0.8 with 2e-4; estimates more than four
-standard deviations under the threshold aren't confirmed.
+With similarity s, a pair misses all trees with (1 - s^3)^12, and where both are in deepened regions with (1 - s^5)^28 at
+most: together under 2e-5 at 0.85 and 2e-4 at 0.8, whatever the size of a group. Estimates more than four standard
+deviations under the threshold aren't confirmed; that alone misses another 3.1e-5 and 3.4e-5.
 
 Defined cases: null or empty text, or text without words, has the empty set (size 0) and is linked with nothing;
 repeated rows and equal sets are linked; a null doc_id counts as no id: it is linked, but names no component unless
@@ -35,11 +37,11 @@ from .arrays import mixed, random_words, runs, utf8
 from .common import small_batches, table, wide, written
 from .components import components
 
-TREES, DEPTH, SHALLOW, REGION = 12, 5, 3, 128
+TREES, MORE, DEPTH, SHALLOW, REGION = 12, 16, 5, 3, 128
 SIGMAS, STAR = 4, 0.05
 CHUNK = 1 << 20
 _BYTE = random_words(11, 256)
-_MINIMA = random_words(23, TREES * DEPTH)
+_MINIMA = random_words(23, (TREES + MORE) * DEPTH)
 _PLACE = random_words(37, 2)
 _WORD = random_words(41, 64)
 
@@ -93,14 +95,14 @@ def _signatures(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-SCANNED = "doc_id long, text_hash long, n long, c long, sig binary"
+SCANNED = "doc_id long, text_hash long, n long, c long, sig binary, more binary"
 
 
 def _scan(words: int):
     def scan(batches):
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            n, c, sig = [], [], []
+            n, c, sig, more = [], [], [], []
             for a, b in runs(off, CHUNK):
                 part, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 s, at = shingle_sets(part, cut, words)
@@ -110,14 +112,15 @@ def _scan(words: int):
                 n.append(size)
                 c.append(mixed(total[at[1:]] - total[at[:-1]] + size.astype("uint64")).view("int64"))
                 some = np.flatnonzero(size)
-                rows: list = [None] * (b - a)
+                rows: list = [(None, None)] * (b - a)
                 if len(some):
                     for i, x in zip(some, _signatures(s, np.append(at[some], len(s)))):
-                        rows[i] = x.tobytes()
-                sig += rows
+                        rows[i] = x[: TREES * DEPTH].tobytes(), x[TREES * DEPTH :].tobytes()
+                sig += [x for x, _ in rows]
+                more += [x for _, x in rows]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, "int64")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(cat(n)), pa.array(cat(c)), pa.array(sig, pa.binary())],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(cat(n)), pa.array(cat(c)), pa.array(sig, pa.binary()), pa.array(more, pa.binary())],
                 names=[x.split()[0] for x in SCANNED.split(", ")],
             )
 
@@ -255,27 +258,39 @@ def _first_shingles(texts: DataFrame, words: int, num: int, den: int) -> DataFra
 def _ordered(rows: DataFrame, parts: int) -> DataFrame:
     """Blocks together, in the signature order of their tree; ``g`` names the block."""
     rows = rows.withColumn("g", F.xxhash64("tree", "depth", "region", "block"))
-    order = F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})")
-    return rows.repartition(parts, "g").sortWithinPartitions("g", order, "c")
+    return rows.repartition(parts, "g").sortWithinPartitions("g", "path", "c")
 
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """(tree, depth, region, block, blocks, c, n, sig) of all classes that share a region with another one."""
-    keys = classes.select("c", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    out = None
+def _paths(classes: DataFrame, sig: str, first: int, trees: int) -> DataFrame:
+    """Each class in so many trees from number ``first``, whose minima are in ``sig``."""
+    keys = classes.withColumn("tree", F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))))
+    return keys.select("c", "n", "sig", "tree", F.expr(f"substring({sig}, (tree - {first}) * {2 * DEPTH} + 1, {2 * DEPTH})").alias("path"))
+
+
+def _levels(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The regions of some trees, see ``_regions``; and the classes that an over-full region took deeper."""
+    out = full = None
     for depth in range(SHALLOW, DEPTH + 1):
-        prefix = F.xxhash64(F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * depth})"))
-        rows = keys.withColumn("region", prefix)
+        rows = keys.withColumn("region", F.xxhash64(F.substring("path", 1, 2 * depth)))
         count = rows.groupBy("tree", "region").count().filter("count > 1")
         rows = rows.join(count, ["tree", "region"])
         if depth == SHALLOW:
             rows = written(rows)
+            full = rows.filter(F.col("count") > REGION).select("c").distinct()
         done = rows if depth == DEPTH else rows.filter(F.col("count") <= REGION)
         blocks = F.ceil(F.col("count") / REGION).cast("int")
-        done = done.select("tree", F.lit(depth).alias("depth"), "region", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "c", "n", "sig")
+        done = done.select("tree", F.lit(depth).alias("depth"), "region", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "c", "n", "sig", "path")
         out = done if out is None else out.unionByName(done)
-        keys = rows.filter(F.col("count") > REGION).select("c", "n", "sig", "tree")
-    return out
+        keys = rows.filter(F.col("count") > REGION).select("c", "n", "sig", "tree", "path")
+    return out, full
+
+
+def _regions(classes: DataFrame) -> DataFrame:
+    """(tree, depth, region, block, blocks, c, n, sig, path) of all classes that share a region with another one; classes
+    of over-full regions stand in ``MORE`` further trees, for the pairs that part below."""
+    out, full = _levels(_paths(classes, "sig", 0, TREES))
+    more, _ = _levels(_paths(classes.join(written(full), "c"), "more", TREES, MORE))
+    return out.unionByName(more)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -313,9 +328,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
     scanned = written(own.select("doc_id", "text_hash", "text").mapInArrow(_scan(words), SCANNED))
-    classes = scanned.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    classes = scanned.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("more").alias("more"), F.min(F.struct("doc_id", "text_hash")).alias("one"))
     classes = written(classes)
-    rows = written(_regions(classes.select("c", "n", "sig")))
+    rows = written(_regions(classes.select("c", "n", "sig", "more")))
 
     forest = _ordered(rows, parts).select("g", "c", "n", "sig").mapInArrow(_pairs_of("forest", num, den), "a long, b long")
     split = rows.filter("blocks > 1").groupBy("tree", "depth", "region", "block").agg(F.min("c").alias("head"))
@@ -330,7 +345,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     known = components(links)
     comp = F.coalesce("root", "c").alias("comp")
-    again = rows.join(nodes, "c", "left_semi").join(known.withColumnRenamed("node", "c"), "c", "left").select("tree", "depth", "region", "block", "blocks", "c", "n", "sig", comp)
+    again = rows.join(nodes, "c", "left_semi").join(known.withColumnRenamed("node", "c"), "c", "left").select("tree", "depth", "region", "block", "blocks", "c", "n", "sig", "path", comp)
     again = written(again)
     wide_rows = again.filter("blocks > 1")
     most = wide_rows.groupBy("tree", "depth", "region", "comp").count().groupBy("tree", "depth", "region").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))

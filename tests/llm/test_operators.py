@@ -226,6 +226,19 @@ def test_near_duplicate_groups_beyond_a_block(spark):
     assert got == components_by_hand(sorted(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
 
 
+def framed(pairs: int) -> list[tuple[int, str]]:
+    """Documents of one frame that don't link by it (156 of 204 words), in pairs at 0.8 exactly; one word is one shingle."""
+    frame = [f"f{k}" for k in range(156)]
+    return [(2 * i + j, " ".join([*frame, *(f"p{i}x{k}" for k in range(4)), *(f"d{i}y{j}z{k}" for k in range(20))])) for i in range(pairs) for j in range(2)]
+
+
+def test_near_duplicates_in_full_regions(spark):
+    """Pairs at the threshold whose regions are deepened in every tree."""
+    rows = framed(700)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert {i: c for i, c in got.items() if c != i - i % 2} == {}
+
+
 # 7, 10 --------------------------------------------------------------------------------------------------------------
 def test_quality_rules(spark, docs):
     got = quality_rules.quality_rules(docs).collect()
