@@ -10,11 +10,14 @@
 3. First, only a spanning forest of each block's candidates (stars around the smallest class where the estimate is high)
    and one pair from each block to its region's smallest class are confirmed on full shingle sets, so that a group of
    thousands of copies costs pairs in proportion to its size.
-4. Then every candidate pair of a block whose ends are still in different components is looked at too. In a region of
-   several blocks, the classes outside its largest component also visit its other blocks. So no pair is left out for
-   the size of a group: pairs inside one component can't change the result. Before these pairs are confirmed on full
-   sets, an exact bound removes those that can't link: with shingles in one order, rare ones first, nothing before the
-   first common shingle of two sets is common.
+4. Then every candidate pair of a block whose ends are still in different components is looked at too. So no pair is
+   left out for the size of a group: pairs inside one component can't change the result. Before these pairs are
+   confirmed on full sets, an exact bound removes those that can't link: with shingles in one order, rare ones first,
+   nothing before the first common shingle of two sets is common.
+5. A region of several blocks isn't compared block by block. All classes of such regions (where a region holds several
+   components) meet by equi-joins on their first shingles, under the same bound: a link's smaller set has a common
+   shingle among its first n - ceil(2t / (1 + t) n) + 1, so a frame that many documents share, but that links none of
+   them, makes no pair. Of a shingle's largest component, only pairs with other components are formed.
 
 With similarity s, a pair misses all trees with (1 - s^3)^12, and where both are in deepened regions with (1 - s^5)^28 at
 most: together under 2e-5 at 0.85 and 2e-4 at 0.8, whatever the size of a group. Estimates more than four standard
@@ -255,6 +258,24 @@ def _first_shingles(texts: DataFrame, words: int, num: int, den: int) -> DataFra
     return order.select("c", F.transform(F.slice("all", 1, count), lambda x: x["s"]).alias("first"))
 
 
+def _across(first: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) across components that share a first shingle and may link, of all (c, n, comp, first)."""
+    short = F.expr(f"n - (2 * {num} * n + {num + den - 1}) div {num + den} + 1")
+    rows = written(first.select("c", "n", "comp", short.alias("short"), F.posexplode("first").alias("p", "s")))
+    share = rows.groupBy("s", "comp").count().groupBy("s").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("major"))
+    rows = written(rows.join(share.filter("comps > 1"), "s").withColumn("minor", F.col("comp") != F.col("major")).drop("comps", "major"))
+    both = F.least(F.col("l.n") - F.col("l.p"), F.col("r.n") - F.col("r.p"))
+    ahead = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.c") < F.col("r.c")))
+    may = (F.col("l.comp") != F.col("r.comp")) & ahead & (den * F.col("l.n") >= num * F.col("r.n")) & (den * both >= num * (F.col("l.n") + F.col("r.n") - both))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        found = left.alias("l").join(right.alias("r"), (F.col("l.s") == F.col("r.s")) & may)
+        return found.select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b"))
+
+    small = rows.filter("p < short")
+    return met(small.filter("minor"), rows).union(met(small.filter("not minor"), rows.filter("minor"))).distinct()
+
+
 def _ordered(rows: DataFrame, parts: int) -> DataFrame:
     """Blocks together, in the signature order of their tree; ``g`` names the block."""
     rows = rows.withColumn("g", F.xxhash64("tree", "depth", "region", "block"))
@@ -348,16 +369,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     again = rows.join(nodes, "c", "left_semi").join(known.withColumnRenamed("node", "c"), "c", "left").select("tree", "depth", "region", "block", "blocks", "c", "n", "sig", "path", comp)
     again = written(again)
     wide_rows = again.filter("blocks > 1")
-    most = wide_rows.groupBy("tree", "depth", "region", "comp").count().groupBy("tree", "depth", "region").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-    guests = wide_rows.join(most, ["tree", "depth", "region"]).filter("comp != major").withColumn("home", F.col("block"))
-    guests = guests.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("block != home").select(again.columns)
-    blocks = _ordered(again.unionByName(guests), parts).select("g", "c", "n", "sig", "comp")
-    open_ends = written(blocks.mapInArrow(_pairs_of("nodes", num, den), "a long, b long").select(F.col("a").alias("c")).distinct())
+    mixed = wide_rows.groupBy("tree", "depth", "region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+    spread = written(wide_rows.join(mixed, ["tree", "depth", "region"]).select("c", "n", "comp").distinct())
+    again = again.filter("blocks = 1")
+    blocks = _ordered(again, parts).select("g", "c", "n", "sig", "comp")
+    open_ends = written(blocks.mapInArrow(_pairs_of("nodes", num, den), "a long, b long").select(F.col("a").alias("c")).union(spread.select("c")).distinct())
     first_shingles = written(_first_shingles(texts.join(open_ends, "c"), words, num, den))
-    again = again.join(first_shingles, "c")
-    guests = guests.join(first_shingles, "c")
-    blocks = _ordered(again.unionByName(guests), parts).select("g", "c", "n", "sig", "comp", "first")
-    cross = blocks.mapInArrow(_pairs_of("cross", num, den), "a long, b long")
+    blocks = _ordered(again.join(first_shingles, "c"), parts).select("g", "c", "n", "sig", "comp", "first")
+    cross = blocks.mapInArrow(_pairs_of("cross", num, den), "a long, b long").union(_across(spread.join(first_shingles, "c"), num, den))
     second = cross.distinct().join(first, ["a", "b"], "left_anti")
     more = written(_confirmed(second, texts, words, num, den))
 

@@ -239,6 +239,26 @@ def test_near_duplicates_in_full_regions(spark):
     assert {i: c for i, c in got.items() if c != i - i % 2} == {}
 
 
+def test_near_duplicate_groups_stay_bounded(spark, monkeypatch):
+    """Many documents of one frame that don't link: no group holds them all, and only true pairs are formed."""
+    most, ordered, confirmed, looked = [], near_dedup._ordered, near_dedup._confirmed, []
+
+    def counted(rows, parts):
+        most.append(rows.groupBy("tree", "depth", "region", "block").count().agg({"count": "max"}).first()[0] or 0)
+        return ordered(rows, parts)
+
+    def told(pairs, *a):
+        looked.append(pairs.count())
+        return confirmed(pairs, *a)
+
+    monkeypatch.setattr(near_dedup, "_ordered", counted)
+    monkeypatch.setattr(near_dedup, "_confirmed", told)
+    rows = framed(250) + [(1000, framed(250)[0][1] + " and one more")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {1000: 0} | {i: i - i % 2 for i in range(500)}
+    assert max(most) <= 1.5 * near_dedup.REGION and looked[1] <= 500
+
+
 # 7, 10 --------------------------------------------------------------------------------------------------------------
 def test_quality_rules(spark, docs):
     got = quality_rules.quality_rules(docs).collect()
