@@ -17,8 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private default only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/barloom-checkpoints"
+    """The folder that driver and executors share. On a local master, where all share one machine, a private default stands
+    in; a cluster must name one."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file:///tmp/barloom-checkpoints"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -37,9 +42,3 @@ def words(text):
 def wide(spark: SparkSession) -> int:
     """Partitions for a shuffle of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Arrow batches of few rows from here on in this session, as a row may hold a long text or two."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return spark

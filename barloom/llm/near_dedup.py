@@ -10,10 +10,10 @@
 3. First, only a spanning forest of each block's candidates (stars around the smallest class where the estimate is high)
    and one pair from each block to its region's smallest class are confirmed on full shingle sets, so that a group of
    thousands of copies costs pairs in proportion to its size.
-4. Then every candidate pair of a block whose ends are still in different components is looked at too. So no pair is
-   left out for the size of a group: pairs inside one component can't change the result. Before these pairs are
-   confirmed on full sets, an exact bound removes those that can't link: with shingles in one order, rare ones first,
-   nothing before the first common shingle of two sets is common.
+4. Then every candidate pair of a block whose ends are still in different components is looked at too, in the first tree
+   that has both in one block. So no pair is left out for the size of a group: pairs inside one component can't change
+   the result. Before these pairs are confirmed on full sets, an exact bound removes those that can't link: with shingles
+   in one order, rare ones first, nothing before the first common shingle of two sets is common.
 5. A region of several blocks isn't compared block by block. All classes of such regions (where a region holds several
    components) meet by equi-joins on their first shingles, under the same bound: a link's smaller set has a common
    shingle among its first n - ceil(2t / (1 + t) n) + 1, so a frame that many documents share, but that links none of
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mixed, random_words, runs, utf8
-from .common import small_batches, table, wide, written
+from .common import table, wide, written
 from .components import components
 
 TREES, MORE, DEPTH, SHALLOW, REGION = 12, 16, 5, 3, 128
@@ -50,7 +50,26 @@ _WORD = random_words(41, 64)
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of the rows, ASCII letters lower-cased, and the number of words before each row."""
+    """A hash of each word of the rows, ASCII letters lower-cased, and the number of words before each row. One text of
+    more than ``CHUNK`` bytes is read in pieces that end with white space, as the arrays below take 60 bytes a byte."""
+    if len(off) == 2 and len(data) > CHUNK:
+        parts, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + CHUNK)
+            while end < len(data):
+                gap = np.flatnonzero((data[at:end] == 32) | ((data[at:end] >= 9) & (data[at:end] <= 13)))
+                if len(gap):
+                    end = at + int(gap[-1]) + 1
+                    break
+                end = min(len(data), end + CHUNK)
+            parts.append(_word_hashes(data[at:end], np.array([0, end - at]))[0])
+            at = end
+        h = np.concatenate(parts)
+        return h, np.array([0, len(h)])
+    return _word_hashes(data, off)
+
+
+def _word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype("uint8")
     word = ~((low == 32) | ((low >= 9) & (low <= 13)))
@@ -209,7 +228,8 @@ def _may_link(p: np.ndarray, n: int, q: dict, m: int, num: int, den: int) -> boo
 
 def _pairs_of(step: str, num: int, den: int):
     """step: ``forest`` for the pairs that span each block, ``nodes`` for the classes (as a and b) of the pairs across
-    components, ``cross`` for these pairs, as far as the first shingles (column ``first``) let them link."""
+    components, ``cross`` for these pairs, as far as the first shingles (column ``first``) let them link, each in the
+    first tree that has both in one block (``slots`` names the blocks of a class by tree)."""
     minima, limit = TREES * DEPTH, num / den
     least, star = int(minima * limit - SIGMAS * (minima * limit * (1 - limit)) ** 0.5), int(minima * min(0.95, limit + STAR))
 
@@ -222,6 +242,11 @@ def _pairs_of(step: str, num: int, den: int):
             if step == "forest":
                 keep = _forest(left, right, est, c, star)
                 left, right = left[keep], right[keep]
+            if step == "cross" and len(left):
+                slots = t.column("slots").combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+                tree = t.column("tree").to_numpy()
+                at = np.concatenate([(slots[left[i : i + 50_000]] == slots[right[i : i + 50_000]]).argmax(1) for i in range(0, len(left), 50_000)])
+                left, right = left[at == tree[left]], right[at == tree[left]]
             a, b = np.minimum(c[left], c[right]), np.maximum(c[left], c[right])
             pair = np.unique(np.stack([a, b], 1)[a != b], axis=0)
             if step == "nodes":
@@ -345,7 +370,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: in
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id, one row per input row; shingles of so many ``words``,
     links at ``num / den`` or more."""
-    parts = wide(small_batches(docs.sparkSession))
+    parts = wide(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
     scanned = written(own.select("doc_id", "text_hash", "text").mapInArrow(_scan(words), SCANNED))
@@ -365,9 +390,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     links = written(_confirmed(first, texts, words, num, den))
 
     known = components(links)
-    comp = F.coalesce("root", "c").alias("comp")
-    again = rows.join(nodes, "c", "left_semi").join(known.withColumnRenamed("node", "c"), "c", "left").select("tree", "depth", "region", "block", "blocks", "c", "n", "sig", "path", comp)
-    again = written(again)
+    place = F.struct("tree", "depth", "region", "block", "blocks", "path")
+    again = rows.join(nodes, "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.collect_list(place).alias("at"))
+    again = again.join(known.withColumnRenamed("node", "c"), "c", "left").select("c", "n", "sig", "at", F.coalesce("root", "c").alias("comp"))
+    # blocks of a class by tree; where it has none, a number that no other class has
+    slots = "transform(sequence(0, {0}), t -> coalesce(get(filter(at, x -> x.tree = t and x.blocks = 1), 0), named_struct('tree', t, 'depth', 0, 'region', c, 'block', -1, 'blocks', 1, 'path', cast('' as binary))))"
+    again = again.withColumn("slots", F.transform(F.expr(slots.format(TREES + MORE - 1)), lambda x: F.xxhash64(x["tree"], x["depth"], x["region"], x["block"])))
+    again = written(again.select("c", "n", "sig", "comp", "slots", F.inline("at")))
     wide_rows = again.filter("blocks > 1")
     mixed = wide_rows.groupBy("tree", "depth", "region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
     spread = written(wide_rows.join(mixed, ["tree", "depth", "region"]).select("c", "n", "comp").distinct())
@@ -375,7 +404,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     blocks = _ordered(again, parts).select("g", "c", "n", "sig", "comp")
     open_ends = written(blocks.mapInArrow(_pairs_of("nodes", num, den), "a long, b long").select(F.col("a").alias("c")).union(spread.select("c")).distinct())
     first_shingles = written(_first_shingles(texts.join(open_ends, "c"), words, num, den))
-    blocks = _ordered(again.join(first_shingles, "c"), parts).select("g", "c", "n", "sig", "comp", "first")
+    blocks = _ordered(again.join(first_shingles, "c"), parts).select("g", "c", "n", "sig", "comp", "tree", "slots", "first")
     cross = blocks.mapInArrow(_pairs_of("cross", num, den), "a long, b long").union(_across(spread.join(first_shingles, "c"), num, den))
     second = cross.distinct().join(first, ["a", "b"], "left_anti")
     more = written(_confirmed(second, texts, words, num, den))
@@ -388,10 +417,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("c").alias("class_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near-duplicates of a smaller id."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` without the near-duplicates of a smaller id; all rows of a kept id stay. Columns of any name pass."""
+    kept = near_duplicates(docs, words, num, den).filter("kept").select("doc_id").distinct().alias("kept")
+    return docs.alias("docs").join(kept, F.col("docs.doc_id").eqNullSafe(F.col("kept.doc_id")), "left_semi")
+
+
+def audit_recall(docs: DataFrame, result: DataFrame, words: int = 5, num: int = 80, den: int = 100, every: int = 100) -> DataFrame:
+    """(found, true_links): of all true links of rows whose id is divisible by ``every``, counted by a join of their
+    shingles with everyone's, those whose ends have one component in ``result``. Equal sets count once."""
+    own = docs.select(F.col("doc_id").alias("c"), F.coalesce("text", F.lit("")).alias("text")).filter("c is not null")
+    rows = own.mapInArrow(_shingle_rows(words), "c long, s long")
+    head = result.filter("doc_id is not null and class_id is not null and n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n"), F.first("component_id").alias("comp"))
+    asked = result.filter(f"doc_id % {every} = 0").select("class_id").distinct()
+    head = written(head)
+    rows = written(rows.join(head, "c").select("class_id", "n", "comp", "s"))
+    left = rows.join(asked, "class_id").toDF("l_id", "l_n", "l_comp", "s")
+    right = rows.toDF("r_id", "r_n", "r_comp", "s").filter("r_n > 0")
+    close = (den * F.least("l_n", "r_n") >= num * F.greatest("l_n", "r_n")) & (F.col("l_id") != F.col("r_id"))
+    both = left.join(right, "s").filter(close).groupBy("l_id", "r_id").agg(F.count("*").alias("both"), F.first("l_n").alias("l_n"), F.first("r_n").alias("r_n"), F.max((F.col("l_comp") == F.col("r_comp")).cast("int")).alias("met"))
+    true = both.filter(den * F.col("both") >= num * (F.col("l_n") + F.col("r_n") - F.col("both")))
+    return true.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("found"), F.count("*").alias("true_links"))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
