@@ -1,11 +1,22 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page is cut into blocks (runs of text between block-level tags). A linear classifier gives each block log odds for
-content: regions (article and main against navigation, footers, sidebars, forms, comments, adverts and notices, by tag
-and by the words in class, id and role), share of link text, number of words, punctuation and headings. The odds become
-terminal capacities, neighbouring blocks and next siblings are joined by smoothness edges, and a maximum flow
-separates content from the rest. Blocks whose capacity exceeds all their edges are settled beforehand, which is exact
-and leaves short chains to the flow.
+A page is cut into blocks (runs of text between block-level tags). A logistic regression gives each block log odds for
+content from its text alone: number of words, share of link text, final punctuation, heading. It is fitted on at most
+``SAMPLE`` pages, those with the lowest hash of the id: where they name their content by article or main, the blocks inside
+are examples of content and the others of boilerplate; the ridge pulls to ``PRIOR``, which is all there is where no page
+of the sample names its content.
+
+The graph has a node for each block, whose odds become terminal capacities, and one for each marked element: boilerplate
+(navigation, footers, sidebars, forms, comments, adverts and notices, by tag and by the words in class, id and role),
+content (article and main), text (by its class), and, on pages that name their content, the page around it. These
+hold to their terminal. Smoothness edges join neighbours in page order and next siblings, the stronger the nearer in the
+tree, and each block with the marked elements it lies in. A maximum flow separates content from the rest: so an advert
+of whole sentences goes with its element, and a short or linked paragraph stays with the text around it. Nodes whose
+capacity exceeds all their edges are settled beforehand, which is exact and leaves little to the flow.
+
+Tags are read by HTML's own states: a quote opens a value only right after the equals sign, and elsewhere belongs to a name
+or an unquoted value; a quote that never closes is taken as part of a name, so that its tag ends at the next ">"; a
+tag that never ends gives no text.
 
 Scripts, styles, templates, graphics, form controls and comments of the markup never give text. Line breaks are white
 space. Missing end tags follow the usual rules (a paragraph ends where a block starts, a list item at the next one, raw
@@ -21,13 +32,18 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import table
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute: its name, then perhaps a value in quotes, or up to white space.
+_VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))"""
+ATTRIBUTE = re.compile(rf"""(=?[^\s/>=]++|=)(?:\s*+=\s*+{_VALUE}?+)?+""")
+_INSIDE = rf"""(?:[\s/]++|{ATTRIBUTE.pattern.replace("(=?", "(?:=?").replace("([^", "(?:[^")})*+"""
+TOKEN = re.compile(rf"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_INSIDE})(?:>|\Z)""", re.S)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: HTML's block-level elements, elements without end tag and elements whose content isn't shown as text.
@@ -52,23 +68,31 @@ BAD_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
 GOOD_WORDS = frozenset("article content entry main post story text body".split())
 
-#: The classifier: log odds of each feature.
-BIAS, BAD, GOOD_TAG, GOOD_CLASS, OUTSIDE, LINKS, WORDS, ENDING, HEADING = -0.7, -8.0, 4.5, 2.5, -4.0, -4.5, 2.2, 0.4, 1.2
-#: Smoothness of neighbours with one parent, of other neighbours and of next siblings.
-NEAR, NEXT, SIBLING = 0.8, 0.3, 0.5
+SAMPLE, RIDGE = 2000, 20.0
+#: The regression's centre: intercept, link share (squared), words (25 are full), final punctuation, heading.
+PRIOR = (-0.7, -4.5, 3.0, 0.4, 1.2)
+#: Smoothness of neighbours: of one container, of one content element, others; and of next siblings.
+NEAR, WITHIN, NEXT, SIBLING = 1.5, 1.0, 0.3, 0.8
+#: Smoothness between a block and the marked elements around it.
+BOILERPLATE, CONTENT, TEXT, OUTSIDE = 14.0, 5.0, 2.5, 7.0
+
+
+#: What marks an element as text: a word in its class, or being a content element.
+CLASS, INSIDE = 1, 2
 
 
 class _Element:
-    __slots__ = ("tag", "bad", "good", "number", "shut", "link")
+    __slots__ = ("tag", "bad", "good", "number", "shut", "link", "marks")
 
-    def __init__(self, tag, bad, good, number, shut, link):
+    def __init__(self, tag, bad, good, number, shut, link, marks):
         self.tag, self.bad, self.good, self.number, self.shut, self.link = tag, bad, good, number, shut, link
+        self.marks = marks  # the elements that made it boilerplate and content
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, float, float, bool, bool]]:
-    """(text, parent, bad region, region odds, link share, heading, inside a content tag) of each block in order."""
+def blocks(page: str) -> list[tuple[str, int, int, int, float, bool, tuple[int, int]]]:
+    """(text, container, boilerplate, text or content, link share, heading, marking elements) of each block in order."""
     out: list = []
-    stack = [_Element("", False, 0.0, 0, False, False)]
+    stack = [_Element("", 0, 0, 0, False, False, (0, 0))]
     parts: list[str] = []
     linked, total, number, articles, at = 0, 0, 0, 0, 0
     heading = False
@@ -85,7 +109,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, float, float, bool, bool]]:
                         break
                 # the parent names the container, so that the paragraphs of one element are siblings
                 container = next((e.number for e in reversed(stack) if e.tag in WALLS or not e.tag), 0)
-                out.append((text, container, top.bad, top.good, linked / max(1, total), heading, top.good >= GOOD_TAG))
+                out.append((text, container, top.bad, top.good, linked / max(1, total), heading, top.marks))
             parts.clear()
         linked = total = 0
         heading = False
@@ -158,13 +182,15 @@ def blocks(page: str) -> list[tuple[str, int, bool, float, float, bool, bool]]:
         if m[3] and tag not in ("html", "body"):
             for a in ATTRIBUTE.finditer(m[3]):
                 name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                if "&" in value:
+                    value = entities.unescape(value)
                 if name in ("class", "id", "role"):
                     words.update(w.lower() for w in WORD.findall(value))
                 elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
                     shut = True
         bad, good = top.bad, top.good
         if tag in BLOCK or tag in ("span", "a"):
-            if tag in BAD_TAGS or (tag == "header" and good < GOOD_TAG) or words & BAD_WORDS:
+            if tag in BAD_TAGS or (tag == "header" and good < INSIDE) or words & BAD_WORDS:
                 # what only a class marks may still wrap the page's main element
                 bad = 2 if tag in BAD_TAGS or words & COMMENT_WORDS else max(bad, 1)
             if tag == "main" or (tag == "article" and not words & BAD_WORDS):
@@ -172,35 +198,68 @@ def blocks(page: str) -> list[tuple[str, int, bool, float, float, bool, bool]]:
                 if bad == 1 and (tag == "main" or articles == 1):
                     bad = 0
                 if not bad:
-                    good = GOOD_TAG
+                    good = INSIDE
             elif words & GOOD_WORDS and not bad:
-                good = max(good, GOOD_CLASS)
-        stack.append(_Element(tag, bad, good, number, shut, top.link or tag == "a"))
+                good = max(good, CLASS)
+        marks = (top.marks[0] if bad == top.bad else number, top.marks[1] if good == top.good else number)
+        stack.append(_Element(tag, bad, good, number, shut, top.link or tag == "a", marks))
     flush()
     return out
 
 
-def odds(rows: list) -> list[float]:
-    """Log odds of each block for content."""
-    region = any(r[6] and not r[2] for r in rows)
-    out = []
-    for text, _, bad, good, links, heading, _ in rows:
-        n = text.count(" ") + 1
-        z = BIAS + good + LINKS * links * links + WORDS * min(1.0, n / 25) + (ENDING if text[-1] in ".!?…\"'”»" else 0) + (HEADING if heading else 0)
-        out.append(z + (BAD if bad else 0) + (OUTSIDE if region and good < GOOD_TAG else 0))
-    return out
+def features(rows: list) -> list[tuple]:
+    """The regression's inputs of each block."""
+    return [(1.0, links * links, min(1.0, (text.count(" ") + 1) / 25), float(text[-1] in ".!?…\"'”»"), float(heading)) for text, _, _, _, links, heading, _ in rows]
+
+
+def named(rows: list) -> list[bool]:
+    """Which blocks lie inside the content that the page names, and outside of boilerplate."""
+    return [r[3] == INSIDE and not r[2] for r in rows]
+
+
+def odds(rows: list, weights=PRIOR) -> list[float]:
+    """Log odds of each block for content, by its text."""
+    return [sum(w * v for w, v in zip(weights, x)) for x in features(rows)]
 
 
-def edges(rows: list) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours in page order, and next siblings that aren't neighbours."""
-    out, last = [], {}
+def graph(rows: list, z: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Capacities of blocks and of marked elements, and the smoothness edges."""
+    z, out, last, nodes = list(z), [], {}, {}
+    region = any(named(rows))
     for i, r in enumerate(rows):
         if i:
-            out.append((i - 1, i, NEAR if rows[i - 1][1] == r[1] else NEXT))
+            p = rows[i - 1]
+            out.append((i - 1, i, NEAR if p[1] == r[1] else WITHIN if p[2:4] == r[2:4] and p[6] == r[6] and r[3] == INSIDE else NEXT))
         if last.get(r[1], i) < i - 1:
             out.append((last[r[1]], i, SIBLING))
         last[r[1]] = i
-    return out
+        for held, key, w in (
+            (r[2], ("-", r[6][0]), -BOILERPLATE),
+            (r[3] == INSIDE, ("+", r[6][1]), CONTENT),
+            (r[3] == CLASS, ("+", r[6][1]), TEXT),
+            (region and r[3] != INSIDE, ("-", -1), -OUTSIDE),
+        ):
+            if held:
+                if key not in nodes:
+                    nodes[key] = len(z)
+                    z.append(0.0)
+                z[nodes[key]] += w  # as much as all its edges, so it holds to its side
+                out.append((i, nodes[key], abs(w)))
+    return z, out
+
+
+def fit(x: np.ndarray, y: np.ndarray, centre=PRIOR, ridge: float = RIDGE) -> np.ndarray:
+    """Logistic regression by Newton steps, pulled to ``centre``."""
+    w0 = np.array(centre)
+    w = w0.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * (w - w0))
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def minimum_cut(z: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
@@ -272,24 +331,45 @@ def _flow(nodes: list[int], z: list[float], near: list[dict[int, float]]) -> lis
                     at[path[-1]] += 1
 
 
-def main_text(page: str) -> tuple[str, int]:
-    """(text, number of blocks) of a page."""
+def main_text(page: str, weights=PRIOR) -> tuple[str, int, int]:
+    """(text, number of blocks, blocks that the cut labels otherwise than their own odds) of a page."""
     rows = blocks(page)
-    keep = minimum_cut(odds(rows), edges(rows))
-    return "\n".join(r[0] for r, k in zip(rows, keep) if k), len(rows)
+    z = odds(rows, weights)
+    keep = minimum_cut(*graph(rows, z))
+    return "\n".join(r[0] for r, k in zip(rows, keep) if k), len(rows), sum(k != (v > 0) for k, v in zip(keep, z))
+
+
+def fitted_weights(pages: DataFrame, sample: int = SAMPLE) -> list[float]:
+    """The regression's weights from a bounded sample of pages that name their content."""
+
+    def examples(batches):
+        for pdf in batches:
+            rows = [(list(x), y) for page in pdf["html"] for b in [blocks(page)] for ys in [named(b)] if any(ys) for x, y in zip(features(b), ys)]
+            yield pd.DataFrame(rows, columns=["x", "y"])
+
+    # which ids: a narrow top-k; only their pages are then read whole
+    ids = pages.filter("page_id is not null").select("page_id").distinct().withColumn("h", F.xxhash64("page_id")).orderBy("h", "page_id").limit(sample)
+    some = pages.filter("html is not null").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    got = some.select("html").mapInPandas(examples, "x array<double>, y boolean").groupBy("x", "y").count().orderBy("x", "y").collect()
+    if not got:
+        return list(PRIOR)
+    x, y = np.array([r.x for r in got]), np.array([r.y for r in got], float)
+    n = np.array([r["count"] for r in got])
+    return fit(np.repeat(x, n, 0), np.repeat(y, n)).tolist()
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks, one row per input row."""
+def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks, n_moved (blocks that the cut labels otherwise than their own odds), one row
+    per input row."""
+    weights = fitted_weights(pages.select("page_id", "html"), sample)
 
     def run(batches):
         for pdf in batches:
-            got = [main_text(h or "") for h in pdf["html"]]
-            yield pd.DataFrame(
-                {"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": [t for t, _ in got], "n_chars": [len(t) for t, _ in got], "n_blocks": [n for _, n in got]}
-            )
+            got = [main_text(h or "", weights) for h in pdf["html"]]
+            text, n, moved = zip(*got) if got else ((), (), ())
+            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": list(text), "n_chars": list(map(len, text)), "n_blocks": list(n), "n_moved": list(moved)})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long")
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_moved long")
 
 
 def op3_html_extract(spark, sf_dir: str) -> DataFrame:
