@@ -2,11 +2,13 @@
 
 1. Equal vectors of a label become one class with a count.
 2. Centroids per label, from a bounded sample (``SAMPLE`` classes with the lowest hash, read to the driver), send each
-   class to its ``OVERLAP`` nearest clusters. A cluster of more than ``SHARD`` classes is dealt to blocks.
+   class to its ``OVERLAP`` nearest clusters of about ``TARGET`` classes; their number grows with the table up to one for
+   ``PER_CENTROID`` classes of the sample. A cluster of more than ``SHARD`` classes is dealt to blocks.
 3. Each block builds a flat graph (``flat_graph``); a class's neighbour lists from all its shards are united.
-4. Each block is searched for all classes of its cluster, from its medoid, range expanded; what is found is confirmed in
-   double precision. Classes of other blocks of the cluster visit as queries, so blocks lose no pair.
-5. A pair counts in the first cluster that both classes share, so counts need no pairs; for the components a block
+4. Each block is searched from its medoid, range expanded, for its own classes and for those of later blocks of its cluster;
+   what is found is confirmed in double precision and counts for both ends. These guests come in slices of ``SLICE``, the
+   block's own rows once for each, so no task holds a whole cluster, and blocks lose no pair.
+5. A pair counts in the first cluster that both classes share, so counts need no pairs; for the components a slice
    gives a spanning forest of its links. So a group of thousands of near copies costs rows in proportion to its size.
 
 ``audit_recall`` measures recall against brute force for every row whose id is divisible by 100.
@@ -29,7 +31,7 @@ from .common import table, written
 from .components import components
 from .flat_graph import build, in_range
 
-SAMPLE, SHARD, TARGET, OVERLAP, MOST_CLUSTERS = 20_000, 1024, 1000, 3, 256
+SAMPLE, SHARD, SLICE, TARGET, OVERLAP, PER_CENTROID = 20_000, 1024, 4096, 256, 3, 8
 
 
 def _units(rows) -> np.ndarray:
@@ -54,7 +56,7 @@ def _clusters(classes: DataFrame, sample: int) -> dict:
     share = total / max(1, len(rows))
     out = {}
     for kind, part in rows.groupby(["label", "dim"], sort=True):
-        k = min(MOST_CLUSTERS, len(part), math.ceil(OVERLAP * share * len(part) / TARGET))
+        k = min(max(1, len(part) // PER_CENTROID), math.ceil(OVERLAP * share * len(part) / TARGET))
         if k > OVERLAP:
             out[tuple(int(v) for v in kind)] = _centroids(_units(part["embedding"]), k).astype("float32")
     return out
@@ -96,15 +98,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE,
 
     lists = placed.select("key", *kind, "block", "embedding").groupBy(*kind, "block").applyInPandas(graph, "key long, near_keys array<long>")
     lists = lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near_keys"))).alias("near_keys"))
-    homes = placed.join(lists, "key").withColumn("home", F.lit(True))
-    guests = placed.filter("blocks > 1").withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("block != own")
-    guests = guests.drop("own").withColumns({"near_keys": F.lit(None).cast("array<long>"), "home": F.lit(False)})
+    # a block's guests are the classes of later blocks; every slice of them gets the block's own rows
+    slices = F.expr(f"greatest(1, cast(ceil((blocks - 1 - block) * {shard} / {SLICE}) as int))")
+    homes = placed.join(lists, "key").withColumns({"home": F.lit(True), "slices": slices})
+    homes = homes.withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
+    guests = placed.filter("block > 0").withColumn("block", F.explode(F.expr("sequence(0, block - 1)"))).withColumn("slices", slices)
+    guests = guests.withColumns({"near_keys": F.lit(None).cast("array<long>"), "home": F.lit(False), "slice": F.expr("cast(pmod(xxhash64(key, 2), slices) as int)")})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         cluster = int(pdf["cluster"].iloc[0])
         pdf = pdf.sort_values(["home", "key"], ascending=[False, True])
-        n = int(pdf["home"].sum())
-        key, m = pdf["key"].to_numpy(), pdf["m"].to_numpy()[:n]
+        n, first = int(pdf["home"].sum()), int(pdf["slice"].iloc[0]) == 0
+        key, m = pdf["key"].to_numpy(), pdf["m"].to_numpy()
         exact = _units(pdf["embedding"])
         x = exact.astype("float32")
         place = {k: i for i, k in enumerate(key[:n].tolist())}
@@ -112,7 +117,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE,
         adj = np.full((n, max(1, *map(len, lists)) if lists else 1), -1)
         for i, a in enumerate(lists):
             adj[i, : len(a)] = a
-        hit = in_range(x[:n], exact[:n], adj, x, exact, least)
+        # the block's own pairs are looked for beside the first slice only
+        asked = np.arange(0 if first else n, len(key))
+        hit = np.zeros((len(key), n), bool)
+        hit[asked] = in_range(x[:n], exact[:n], adj, x[asked], exact[asked], least)
         hit[:n] |= hit[:n].T
         hit[np.arange(n), np.arange(n)] = False
         # the first cluster that both share: the smallest common number of the short sorted lists
@@ -125,7 +133,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE,
         for a in range(width):
             for b in range(width):
                 earlier |= (before[q, a] >= 0) & (before[q, a] == before[v, b])
-        links = np.bincount(q, weights=np.where(earlier, 0, m[v]), minlength=len(key)).astype("int64")
+        links = np.bincount(q, weights=np.where(earlier, 0, m[v]), minlength=len(key))
+        links += np.bincount(v, weights=np.where(earlier | (q < n), 0, m[q]), minlength=len(key))  # a guest's pair counts for the block's class too
+        links = links.astype("int64")
         rows = [(k, None, c) for k, c in zip(key.tolist(), links.tolist()) if c]
         root = list(range(len(key)))
         for a, b in zip(q.tolist(), v.tolist()):
@@ -139,8 +149,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE,
                 rows.append((int(key[a]), int(key[b]), 0))
         return pd.DataFrame(rows, columns=["a", "b", "links"], dtype=object).astype({"a": "int64", "b": "Int64", "links": "int64"})
 
-    columns = ["key", *kind, "block", "m", "embedding", "near", "near_keys", "home"]
-    found = homes.select(columns).unionByName(guests.select(columns)).groupBy(*kind, "block").applyInPandas(search, "a long, b long, links long")
+    columns = ["key", *kind, "block", "slice", "m", "embedding", "near", "near_keys", "home"]
+    found = homes.select(columns).unionByName(guests.select(columns)).groupBy(*kind, "block", "slice").applyInPandas(search, "a long, b long, links long")
     found = written(found)
     counts = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "key")
@@ -153,15 +163,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE,
 
 
 def audit_recall(vectors: DataFrame, result: DataFrame, least: float = 0.98, every: int = 100) -> DataFrame:
-    """(found, true_links) over all rows whose id is divisible by ``every``: their links by brute force, in blocks."""
-    asked = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "label", "embedding").withColumn("part", F.expr(f"pmod(vec_id div {every}, 64)"))
+    """(found, true_links, false_links) over all rows whose id is divisible by ``every``: their links by brute force against
+    all rows of their label; of each row, links beyond its true ones are false."""
+    asked = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "label", "embedding")
     others = vectors.select(F.col("vec_id").alias("o_id"), F.col("label").alias("o_label"), F.col("embedding").alias("o_emb"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     cos = dot("embedding", "o_emb") / F.sqrt(dot("embedding", "embedding") * dot("o_emb", "o_emb"))
     true = asked.join(others, (F.col("label") == F.col("o_label")) & (F.col("vec_id") != F.col("o_id"))).filter(cos >= least)
     true = true.groupBy("vec_id").count()
     both = asked.select("vec_id").join(true, "vec_id", "left").join(result.select("vec_id", "n_links"), "vec_id")
-    return both.agg(F.sum("n_links").alias("found"), F.coalesce(F.sum("count"), F.lit(0)).alias("true_links"))
+    n = F.coalesce(F.col("count"), F.lit(0))
+    return both.agg(F.sum(F.least("n_links", n)).alias("found"), F.sum(n).alias("true_links"), F.sum(F.greatest(F.col("n_links") - n, F.lit(0))).alias("false_links"))
 
 
 def op9_embedding_dedup(spark, sf_dir: str) -> DataFrame:
