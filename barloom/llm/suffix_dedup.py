@@ -7,9 +7,11 @@ needn't be sorted for that, only the neighbourhoods of places that occur in two
    third of all rows may be copies of one text). Batches hold about ``BATCH`` bytes.
 2. Anchors: of each ``LENGTH``-byte window, the ``GRAM``-byte string with the smallest hash is its anchor, a choice that
    depends on the window's content only. Neighbouring windows mostly share it. A batch sends each distinct anchor hash once to the shard of that hash, which
-   answers with one bit per hash: does it occur in two documents?
+   answers with a number per hash: 0 where it occurs in one document only, else in how many parts its contexts are dealt.
 3. Contexts: around each repeated anchor, the bytes of the windows that have this anchor. A batch sends each distinct
-   context once, with the smallest id that has it, to a shard by anchor hash. Equal windows meet there.
+   context once, with the smallest id that has it, to a shard by anchor hash. Equal windows meet there. An anchor with more
+   than ``HOT`` contexts (a header that a third of all rows share, followed by texts that differ) would fill a shard; its
+   windows go one by one to as many shards as it needs, by the hash of the whole window.
 4. Shards: the distinct contexts of a shard are one string, whose suffixes are sorted by induction (classified, leftmost-
    smaller substrings named and sorted, the rest induced); runs of ranks with permuted common prefixes of ``LENGTH`` or more are
    equal windows, and each gets the smallest id of its run. The shard returns that id per window.
@@ -18,6 +20,9 @@ needn't be sorted for that, only the neighbourhoods of places that occur in two
 Batches are rebuilt from the one shuffle of the texts (Spark reuses that exchange), in the order of the text hash, so that
 answers need no keys. What one passage costs a shard is one context per batch, however many documents hold it.
 
+The string of leftmost-smaller substrings' names is sorted by doubling their span, not by a further recursion: in numpy a
+scan costs some steps for each symbol, and that string has hundreds of thousands (figures in the README).
+
 Defined cases: null or empty text is empty; rows of one id are one document (nothing of one goes because of the other);
 a null id counts as larger than all others; texts shorter than ``LENGTH`` keep everything; repeated rows give equal rows;
 matches never cross texts; other columns are ignored; an empty table gives an empty result; texts are read whole.
@@ -38,7 +43,7 @@ from .common import table
 from .suffixes import eight, permuted_repeats, suffix_array
 
 LENGTH, GRAM = 50, 16
-BATCH, SHARD, CONTEXTS = 4 << 20, 8 << 20, 2 << 20
+BATCH, SHARD, CONTEXTS, HOT = 4 << 20, 8 << 20, 2 << 20, 20_000
 NONE = np.iinfo("int64").max
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -158,27 +163,30 @@ class _Texts:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def sent(self, length: int, shards: int):
-        """Distinct anchor hashes ordered by shard, whether two texts hold them, and the place of each anchor's hash."""
+        """Distinct anchor hashes ordered by shard, how many texts hold them, and the place of each anchor's hash."""
         doc, h, first, last = self.anchors(length)
         order = np.lexsort((doc, h))
         new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.zeros(0, bool)
         place = np.empty(len(h), "int64")
         place[order] = np.cumsum(new) - 1
         u = h[order][new]
-        two = np.zeros(len(u), bool)
-        if len(h) > 1:
-            o = doc[order]
-            two[(np.cumsum(new) - 1)[1:][~new[1:] & (o[1:] != o[:-1])]] = True
+        # in how many texts each hash occurs
+        o = doc[order]
+        fresh = new.copy()
+        fresh[1:] |= o[1:] != o[:-1]
+        held = np.bincount((np.cumsum(new) - 1)[fresh], minlength=len(u)).astype("uint32") if len(h) else np.zeros(0, "uint32")
         shard = _shard_of(u, shards)
         by = np.argsort(shard, kind="stable")
         back = np.empty(len(u), "int64")
         back[by] = np.arange(len(u))
-        return doc, first, last, (back[place] if len(place) else place), u[by], two[by], shard[by]
+        return doc, first, last, (back[place] if len(place) else place), u[by], held[by], shard[by]
 
 
-ASKED = "shard long, batch long, hashes binary, two binary"
+ASKED = "shard long, batch long, hashes binary, held binary"
 ANSWER = "batch long, kind int, shard long, blob binary"
 SENT = "shard long, batch long, size binary, least binary, bytes binary"
+#: Columns of the result, which take the place of input columns of these names.
+OWN = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 CUT = "key binary, d long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
@@ -191,26 +199,29 @@ def _table(schema: str, rows: list) -> pa.Table:
 
 def _ask(length: int, shards: int):
     def ask(key, t):
-        *_, u, two, shard = _Texts(t).sent(length, shards)
-        return _table(ASKED, [(s, key[0].as_py(), u[a:b].tobytes(), np.packbits(two[a:b]).tobytes()) for s, a, b in _cuts(shard)])
+        *_, u, held, shard = _Texts(t).sent(length, shards)
+        return _table(ASKED, [(s, key[0].as_py(), u[a:b].tobytes(), _packed(held[a:b])) for s, a, b in _cuts(shard)])
 
     return ask
 
 
-def _answer(key, t):
-    """One bit per hash that a batch sent."""
-    sent = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
-    two = [np.unpackbits(np.frombuffer(x, "uint8"), count=len(h)).astype(bool) for x, h in zip(t.column("two").to_pylist(), sent)]
-    h, w = np.concatenate(sent), np.concatenate(two)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.r_[True, s[1:] != s[:-1]]
-    group = np.cumsum(new) - 1
-    many = (np.bincount(group) > 1) | (np.bincount(group, weights=w[order]) > 0)
-    bits = np.empty(len(h), bool)
-    bits[order] = many[group]
-    cut = np.split(bits, np.cumsum([len(x) for x in sent])[:-1])
-    return _table(ANSWER, [(b, 0, key[0].as_py(), np.packbits(x).tobytes()) for b, x in zip(t.column("batch").to_pylist(), cut)])
+def _answer(hot: int):
+    def answer(key, t):
+        """For each hash that a batch sent: 0 if one text has it, else the number of parts of its contexts."""
+        sent = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
+        held = np.concatenate([_unpacked(x, "<u4") for x in t.column("held").to_pylist()])
+        h = np.concatenate(sent)
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        group = np.cumsum(np.r_[True, s[1:] != s[:-1]]) - 1
+        total = np.bincount(group, weights=held[order])
+        parts = np.where(total > 1, -(-total // hot), 0).astype("uint32")
+        said = np.empty(len(h), "uint32")
+        said[order] = parts[group]
+        cut = np.split(said, np.cumsum([len(x) for x in sent])[:-1])
+        return _table(ANSWER, [(b, 0, key[0].as_py(), _packed(x)) for b, x in zip(t.column("batch").to_pylist(), cut)])
+
+    return answer
 
 
 class _Contexts:
@@ -219,13 +230,17 @@ class _Contexts:
     def __init__(self, texts: _Texts, answers: pa.Table, length: int, shards: int, far: int):
         doc, first, last, place, u, _, shard = texts.sent(length, shards)
         said = {s: x for k, s, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "blob"))) if k == 0}
-        bits = [np.unpackbits(np.frombuffer(said[s], "uint8"), count=b - a) for s, a, b in _cuts(shard)]
-        many = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
-        on = many[place] if len(place) else np.zeros(0, bool)
-        self.doc, self.first, self.size = doc[on], first[on], last[on] - first[on] + length
-        h = u[place[on]]
+        parts = [_unpacked(said[s], "<u4") for s, _, _ in _cuts(shard)]
+        parts = (np.concatenate(parts)[place] if parts else np.zeros(0, "uint32")).astype("int64")
+        on = parts > 0
+        self.doc, self.first, self.size, h, parts = doc[on], first[on], last[on] - first[on] + length, u[place[on]], parts[on]
+        # of hot anchors, every window is a context of its own
+        count = np.where(parts > 1, self.size - length + 1, 1)
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        self.doc, self.first, h, parts = np.repeat(self.doc, count), np.repeat(self.first, count) + inner, np.repeat(h, count), np.repeat(parts, count)
+        self.size = np.where(parts > 1, length, np.repeat(self.size, count))
         # two hashes of a context's bytes, from prefix sums; contexts equal in both, in anchor and in size are one
-        parts = []
+        both = []
         for seed in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
             p = np.full(len(texts.data) + 1, np.uint64(seed | 1))
             p[0] = 1
@@ -235,13 +250,14 @@ class _Contexts:
             np.multiply.accumulate(q, out=q)
             total = np.zeros(len(p), "uint64")
             np.cumsum((mixed(texts.data.astype("uint64") + np.uint64(seed))) * p[:-1], out=total[1:])
-            parts.append(mixed((total[self.first + self.size] - total[self.first]) * q[self.first] + self.size.astype("uint64")))
+            both.append(mixed((total[self.first + self.size] - total[self.first]) * q[self.first] + self.size.astype("uint64")))
             del p, q, total
-        far_shard = _shard_of(h ^ np.uint64(0x5555555555555555), far)
-        order = np.lexsort((texts.d[self.doc], parts[1], parts[0], h, far_shard))
+        # parts of a hot anchor lie by the hash of the window
+        far_shard = _shard_of(h ^ np.uint64(0x5555555555555555) ^ mixed(both[0] % parts.astype("uint64")), far)
+        order = np.lexsort((texts.d[self.doc], both[1], both[0], h, far_shard))
         new = np.ones(len(order), bool)
         if len(order):
-            same = [x[order][1:] == x[order][:-1] for x in (h, *parts)]
+            same = [x[order][1:] == x[order][:-1] for x in (h, *both)]
             new[1:] = ~(same[0] & same[1] & same[2])
         self.number = np.empty(len(order), "int64")
         self.number[order] = np.cumsum(new) - 1
@@ -344,46 +360,45 @@ def _cut(length: int, shards: int, far: int, with_text: bool):
     return cut
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """All columns of ``docs`` but text, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, without
-    the rest of a character that was cut), one row per input row."""
+def repeated_passages(docs: DataFrame, length: int = LENGTH, with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """All columns of ``docs`` but text and those named as results are, n_bytes, n_removed, n_spans, kept_sha256 (and
+    kept_text, without the rest of a character that was cut), one row per input row."""
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches, shards = max(1, -(-total // BATCH)), max(1, -(-total // SHARD))
-    keyed = docs.withColumn("__key", F.unhex(F.md5(text))).withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)))
-    own = keyed.select(F.pmod(F.xxhash64("__key"), F.lit(batches)).alias("batch"), F.col("__key").alias("key"), F.col("__d").alias("d"), text.alias("text"))
+    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    keyed = docs.select(row.alias("row"), F.unhex(F.md5(text)).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), text.alias("text"))
+    own = keyed.select(F.pmod(F.xxhash64("key"), F.lit(batches)).alias("batch"), "key", "d", "text")
     dealt = own.mapInArrow(_combine, DEALT)
     asked = dealt.groupBy("batch").applyInArrow(_ask(length, shards), ASKED)
-    answers = asked.groupBy("shard").applyInArrow(_answer, ANSWER)
+    answers = asked.groupBy("shard").applyInArrow(_answer(hot), ANSWER)
     far = max(1, -(-total // CONTEXTS))
     sent = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_send(length, shards, far), SENT)
     ranked = sent.groupBy("shard").applyInArrow(_rank(length), ANSWER)
     both = answers.unionByName(ranked)
     of_text = dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(_cut(length, shards, far, with_text), CUT)
-    of_text = of_text.toDF("__key", "__least", "__removed", "__spans", "__sha", "__text")
-    size = F.octet_length(text).cast("long")
-    rows = keyed.withColumn("n_bytes", size).drop("text").join(of_text, "__key", "left")
-    whole = (F.col("__d") > F.col("__least")) & (F.col("n_bytes") >= length)
-    kept = F.when(whole, F.lit("")).otherwise(F.col("__text"))
+    of_text = of_text.toDF("key", "least", "removed", "spans", "sha", "left")
+    size = F.octet_length("text").cast("long")
+    rows = keyed.select("row", "key", "d", size.alias("size")).join(of_text, "key", "left")
+    whole = (F.col("d") > F.col("least")) & (F.col("size") >= length)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    out = rows.withColumns(
-        {
-            "n_removed": F.when(whole, F.col("n_bytes")).otherwise(F.col("__removed")),
-            "n_spans": F.when(whole, F.lit(1)).otherwise(F.col("__spans")).cast("long"),
-            "kept_sha256": F.when(whole, empty).otherwise(F.col("__sha")),
-            "kept_text": kept,
-        }
+    kept = F.when(whole, F.lit("")).otherwise(F.col("left")).alias("kept_text")
+    return rows.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", *OWN)],
+        F.col("size").alias("n_bytes"),
+        F.when(whole, F.col("size")).otherwise(F.col("removed")).alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.col("spans")).cast("long").alias("n_spans"),
+        F.when(whole, empty).otherwise(F.col("sha")).alias("kept_sha256"),
+        *([kept] if with_text else []),
     )
-    own_columns = [c for c in docs.columns if c != "text"]
-    return out.select(*own_columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with their texts as kept; rows of whose text nothing is left go, rows that had none stay."""
     own = docs.select(F.struct("*").alias("all"), "doc_id", "text")
     out = repeated_passages(own, length, with_text=True).filter("n_removed = 0 or kept_text != ''")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.select("all.*", "n_removed", "kept_text").withColumn("text", text).drop("n_removed", "kept_text")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("all")["text"])
+    return out.select(*[(text if c == "text" else F.col("all")[c]).alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -126,23 +126,31 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     return sa[1:]
 
 
-def permuted_repeats(data: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """For each rank, whether its suffix shares ``length`` bytes with the one ranked before: the permuted common prefix,
-    cut at that length, is found in text order, as text positions are neighbours in memory."""
+def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """Of each position, the bytes (up to ``most``) that its suffix shares with the one ranked before it: the permuted common
+    prefixes, found in text order, as text positions are neighbours in memory."""
     n = len(data)
-    phi = np.full(n, -1, "int64")
-    phi[sa[1:]] = sa[:-1]
-    at = np.flatnonzero((phi >= 0) & (np.arange(n) <= n - length))
-    at = at[phi[at] <= n - length]
-    words = eight(data)
-    steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else []
-    for s in dict.fromkeys(steps):
-        at = at[words[at + s] == words[phi[at] + s]]
-    for s in range(length if length < 8 else 0):
-        at = at[data[at + s] == data[phi[at] + s]]
-    same = np.zeros(n, bool)
-    same[at] = True
-    return same[sa]
+    before = np.full(n, -1, "int64")
+    before[sa[1:]] = sa[:-1]
+    room = np.minimum(n - np.maximum(np.arange(n), before), most)  # neither suffix has more bytes
+    out = np.zeros(n, "int64")
+    at, words, k = np.flatnonzero(before >= 0), eight(data), 0
+    while len(at):
+        differ = words[at + k] ^ words[before[at] + k]
+        low = differ & (~differ + np.uint64(1))  # the lowest differing bit tells the first differing byte
+        bytes_ = np.where(differ == 0, 8, np.searchsorted(_BYTES, low, "right") - 1)
+        out[at] = np.minimum(k + bytes_, room[at])
+        k += 8
+        at = at[(differ == 0) & (room[at] > k)]
+    return out
+
+
+_BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype="uint64")
+
+
+def permuted_repeats(data: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
+    """For each rank, whether its suffix shares ``length`` bytes with the one ranked before."""
+    return permuted_prefixes(data, sa, length)[sa] >= length
 
 
 def eight(data: np.ndarray) -> np.ndarray:

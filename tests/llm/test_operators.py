@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from barloom.llm import bpe, embedding_dedup, html_extract, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
-from barloom.llm.suffixes import permuted_repeats, suffix_array
+from barloom.llm.suffixes import permuted_prefixes, permuted_repeats, suffix_array
 
 WORDS = "the of and to in river stone house green window paper light dark seven garden cloud table north road winter".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, c long, batch string, __key string"
@@ -317,6 +317,8 @@ def test_suffix_arrays():
         sa = suffix_array(d, 9)
         assert [s[i : i + 9] for i in sa] == [s[i : i + 9] for i in want]
         if len(s):
+            shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(s[a : a + 20], s[b : b + 20])) if x != y), min(20, len(s) - max(a, b)))  # noqa: E731, B023
+            assert permuted_prefixes(d, suffix_array(d), 20)[want].tolist() == [0, *(shared(a, b) for a, b in zip(want[1:], want[:-1]))]
             assert permuted_repeats(d, sa, 9).tolist() == [False, *(len(s[a : a + 9]) == 9 and s[a : a + 9] == s[b : b + 9] for a, b in zip(sa[1:], sa[:-1]))]
 
 
@@ -345,6 +347,13 @@ def test_repeated_passages(spark, docs):
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
     assert want[12][1] > 50 and want[10][1] > 1000
+    # every repeated anchor counts as hot: its windows are dealt one by one
+    hot = suffix_dedup.repeated_passages(docs.select("doc_id", "text"), hot=1).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in hot} == want
+    clash = docs.selectExpr("doc_id", "text", "1 as n_bytes", "2 as __key", "3 as __d", "4 as size", "5 as d", "6 as kept_text", "7 as row")
+    got = suffix_dedup.repeated_passages(clash)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r["__key"], r.d, r.row) for r in got.collect()} == {i: (*w, 2, 5, 7) for i, w in want.items()}
+    assert suffix_dedup.without_repeats(clash).columns == clash.columns
     assert suffix_dedup.repeated_passages(empty(docs)).count() == 0
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
