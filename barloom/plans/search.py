@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 
 import numpy as np
@@ -14,10 +15,15 @@ from ..operators.stats import RET, daily_returns
 PER = ["symbol", "strategy"]
 
 
+#: Every direction with every exit of the grid.
+SHAPES = tuple(itertools.product((1, -1), STOPS, TARGETS, HOLDS))
+
+
 def random_strategy(rng: np.random.Generator, symbol: str) -> Strategy:
-    ps = catalogue()
-    k = int(rng.integers(1, MOST + 1))
-    return Strategy(symbol, int(rng.choice([1, -1])), tuple(ps[i] for i in rng.choice(len(ps), k, replace=False)), float(rng.choice(STOPS)), float(rng.choice(TARGETS)), int(rng.choice(HOLDS)))
+    """One of the shapes, with the first one to ``MOST`` predicates of a shuffled catalogue."""
+    direction, stop, target, hold = SHAPES[rng.integers(len(SHAPES))]
+    shuffled = [catalogue()[i] for i in rng.permutation(len(catalogue()))[: rng.integers(1, MOST + 1)]]
+    return Strategy(symbol, direction, tuple(shuffled), stop, target, hold)
 
 
 def mutated(rng: np.random.Generator, s: Strategy) -> Strategy:
@@ -41,11 +47,14 @@ def mutated(rng: np.random.Generator, s: Strategy) -> Strategy:
 
 
 def crossed(rng: np.random.Generator, a: Strategy, b: Strategy) -> Strategy:
-    """Predicates from both parents' pool, each exit from either; the direction is drawn where the parents disagree."""
-    pool = sorted({*a.predicates, *b.predicates})
-    k = int(rng.integers(1, min(MOST, len(pool)) + 1))
-    pick = lambda x, y: x if rng.random() < 0.5 else y
-    return Strategy(a.symbol, a.direction if a.direction == b.direction else int(rng.choice([1, -1])), tuple(pool[i] for i in rng.choice(len(pool), k, replace=False)), pick(a.stop, b.stop), pick(a.target, b.target), pick(a.hold, b.hold))
+    """A uniform cross: what both parents have stays, every other predicate comes along by a coin; a coin each tells
+    which parent gives direction, stop, target and holding time."""
+    shared = set(a.predicates) & set(b.predicates)
+    others = sorted(set(a.predicates) ^ set(b.predicates))
+    taken = [p for p, heads in zip(others, rng.random(len(others)) < 0.5) if heads]
+    pool = [*sorted(shared), *taken] or [others[rng.integers(len(others))]]
+    parent = [(a, b)[k] for k in rng.integers(2, size=4)]
+    return Strategy(a.symbol, parent[0].direction, tuple(pool[:MOST]), parent[1].stop, parent[2].target, parent[3].hold)
 
 
 def evolve(fitness, symbol: str, population: int, budget: int, seed: int, elites: float = 0.1, immigrants: float = 0.1) -> dict[str, tuple[Strategy, float]]:

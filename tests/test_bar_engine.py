@@ -114,12 +114,12 @@ def test_features_are_causal(spark, sf):
 
 
 def test_hysteresis_and_spells(spark):
-    x = [None, 0, 5, 6, 4, 2, 1.9, -6, -3, -1.9, 6, None, 6]
+    x = [1, 7, None, 3, 2.5, 2, 0, -5.9, -6.5, -2.5, -2, 8, -7, None]
     d = spark.createDataFrame([("s", i, None if v is None else float(v)) for i, v in enumerate(x)], "symbol string, bar_idx long, x double")
     got = [r.l for r in d.select("bar_idx", states.hysteresis(F.col("x"), 6.0, 2.0, -6.0, -2.0).alias("l")).orderBy("bar_idx").collect()]
-    assert got == [None, 0, 0, 1, 1, 1, 0, -1, -1, 0, 1, None, 1]
-    s = spark.createDataFrame([("s", i, v) for i, v in enumerate([None, 1, 1, 1, 2, 2, 1, 1, None, 2])], "symbol string, bar_idx long, state int")
-    assert [(r.state, r.length) for r in states.spells(s).orderBy("start").collect()] == [(1, 3), (2, 2), (1, 2), (2, 1)]
+    assert got == [0, 1, None, 0, 0, 0, 0, 0, -1, -1, -1, 1, -1, None]
+    s = spark.createDataFrame([("s", i, v) for i, v in enumerate([4, 4, None, 4, 7, 7, 7, 7, 4, None])], "symbol string, bar_idx long, state int")
+    assert [(r.state, r.length) for r in states.spells(s).orderBy("start").collect()] == [(4, 2), (4, 1), (7, 4), (4, 1)]
 
 
 def test_fractal(spark):
