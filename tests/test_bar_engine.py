@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom import catalog
 from barloom.functions import features as ft
 from barloom.functions.predicates import Predicate, Strategy, catalogue
-from barloom.operators import bars, portfolio, states, stats, trades
+from barloom.operators import bars, populations, portfolio, states, stats, trades
 from barloom.plans import search
 from barloom.sources import tapes
 from barloom.streaming.bars import stream_bars
@@ -160,6 +160,74 @@ def test_strategies(spark):
     assert list(one) == list(two) and len(one) == 120
 
 
+def flat_market(spark, changes, n=12):
+    """One symbol of price 1.0 and ATR 0.01 on bars that execute themselves; changes: bar -> prices."""
+    rows = []
+    for i in range(n):
+        p = {"open": 1.0, "high": 1.0, "low": 1.0, "close": 1.0} | changes.get(i, {})
+        rows.append(("s", i, p["open"], max(p.values()), min(p.values()), p["close"], 0.01, i, i + 1, i // 4, 0.0))
+    b = spark.createDataFrame(rows, "symbol string, bar_idx long, open double, high double, low double, close double, atr double, exec_start long, exec_end long, day_id long, rate double")
+    return b, populations.paid(b.withColumn("exec_idx", F.col("bar_idx")))
+
+
+def population_trades(spark, changes, signals, spans=((0, 12),), delay=0, rate=None, **spec):
+    b, ex = flat_market(spark, changes)
+    if rate:
+        ex = populations.paid(ex.drop("paid_long", "paid_short").withColumns({"rate": F.when(F.col("bar_idx") == rate[0], rate[1]).otherwise(0.0), "rate_abs": F.when(F.col("bar_idx") == rate[0], rate[2]).otherwise(0.0)}), 2.0)
+    full = {"dir": 1, "stop": 1.0, "target": 2.0, "hold": 12} | spec
+    s = spark.createDataFrame([("a", *full.values())], "strategy string, dir int, stop double, target double, hold int")
+    sig = spark.createDataFrame([("s", "a", t) for t in signals], "symbol string, strategy string, t long")
+    w = spark.createDataFrame([("s", f"w{a}", a, e, e, 3) for a, e in spans], "symbol string, window string, t0 long, t1 long, k_end long, n_days long")
+    found = populations.candidates(sig, s, populations.levels(b, ex, delay), ex, w, trades.Rules(), delay, (1.0, 2.0))
+    return [(r.window, r.t, r.x, trades.REASONS[r.why], round(r.px, 9), round(r.r_0, 9)) for r in populations.taken(found).orderBy("window", "t").collect()]
+
+
+def test_population_outcomes(spark):
+    assert population_trades(spark, {4: {"high": 1.05, "low": 0.95}}, [2, 3]) == [("w0", 2, 4, "STOP", 0.99, -1.0)]
+    assert population_trades(spark, {4: {"open": 1.04}}, [2]) == [("w0", 2, 4, "TARGET_GAP", 1.04, 4.0)]
+    assert population_trades(spark, {4: {"open": 1.04}}, [2], dir=-1) == [("w0", 2, 4, "STOP_GAP", 1.04, -4.0)]
+    # what a window leaves open goes at its last close; entries need a bar inside
+    assert population_trades(spark, {5: {"close": 1.005}}, [1, 5], spans=((0, 6), (4, 6))) == [("w0", 1, 5, "END", 1.005, 0.5)]
+    assert population_trades(spark, {3: {"low": 0.9}}, [1], delay=2) == [("w0", 1, 11, "END", 1.0, 0.0)]
+    # a long pays the rate and what both sides pay, here twice
+    assert population_trades(spark, {}, [0], rate=(3, 0.001, 0.002))[0][-1] == round(-2 * 0.003 / 0.01, 9)
+    assert population_trades(spark, {}, [0], dir=-1, rate=(3, 0.001, 0.002))[0][-1] == round(-2 * 0.001 / 0.01, 9)
+
+
+def test_population_chain_over_batches(spark):
+    rows = [("s", f"a{g}", "w", t, t + 1 + (t * 7 + g) % 5) for g in range(40) for t in range(0, 300, 1 + g % 3)]
+    d = spark.createDataFrame(rows, "symbol string, strategy string, window string, t long, x long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.strategy, r.t) for r in populations.taken(d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, free = set(), {}
+    for _, g, _, t, x in rows:
+        if t >= free.get(g, -1):
+            want.add((g, t))
+            free[g] = x
+    assert got == want
+
+
+def test_nightly_swaps(spark):
+    days = [("2024-01-01 00:00:00", 0), ("2024-01-02 00:00:00", 1), ("2024-01-04 00:00:00", 3), ("2024-01-04 00:15:00", 0), ("2024-01-06 00:00:00", 0)]
+    d = spark.createDataFrame(days, "at string, nights int").withColumns({"ts": F.to_timestamp_ntz("at"), "open": F.lit(2.0)})
+    for r in populations.swap_rates(d, F.col("ts"), 3.0, -1.0, 0.01).collect():
+        assert abs((r.rate + r.rate_abs) * 2 - 0.03 * r.nights) < 1e-12 and abs((r.rate_abs - r.rate) * 2 + 0.01 * r.nights) < 1e-12
+
+
+def test_search_over_a_market(spark, sf):
+    market = populations.hourly_market(spark, sf)
+    seen = []
+    fitness = market.fitness(populations.windows_of(market.bars), 2)
+    archive = search.evolve(lambda ss: seen.append(len(ss)) or fitness(ss), "click", 20, 40, 3)
+    assert len(archive) == 40 and len(seen) <= 4 and any(f > float("-inf") for _, f in archive.values())
+    best = max(archive.values(), key=lambda v: v[1])[0]
+    m = market.evaluated(populations.strategy_table(spark, [best]), populations.windows_of(market.bars)).first()
+    assert abs(m.t_stat - archive[best.hash()][1]) < 1e-9
+
+
 def test_statistics():
     assert stats.probabilistic_sharpe(100, 0.0, 0.0, 3.0) == 0.5 and stats.probabilistic_sharpe(1, 1.0, 0.0, 3.0) == 0.0
     draws = np.random.default_rng(1).normal(size=(4000, 50)).max(1).mean()
