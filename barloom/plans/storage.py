@@ -18,7 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: df as Parquet in the shared folder, read back; a lost executor then costs one re-read."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    """Cuts lineage: df as Parquet in the shared folder, read back; a lost executor then costs one re-read, and expensive
+    Python stages run once however often the result is used. All tables of an application lie in one folder of its id, which
+    may go when the application has ended: results are read from it until then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/barloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
