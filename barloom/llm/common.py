@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import written  # noqa: F401  the operators take it from here
+
 #: White space that separates words in every operator contract: space and tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -16,24 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. On a local master, where all share one machine, a private default stands
-    in; a cluster must name one."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return "file:///tmp/barloom-checkpoints"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it back, so that a lost executor costs
-    one re-read and expensive Python stages run once however often the result is used."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/barloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text):
     """Words of a text column as an array; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")

@@ -119,7 +119,8 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, shard
         pdf["doc_id"] = pdf["doc_id"].astype("Int64")
         return pdf.drop(columns="shard").assign(sequence_id=key[0] * (1 << 32) + seq, offset=off)
 
-    dealt = pieces.withColumn("shard", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {shards})"))
+    # by row, so that repeated rows spread too; a written table gives the same numbers when a task is run again
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(shard, PACKED)
 
 

@@ -1,13 +1,12 @@
 """Quality rules with cross-document line frequency. DataFrame functions only.
 
 Base rules look at one text (word count, repeated three-word windows). The method then hashes every normalised line
-(lower case, digit runs as 0, white space as one space), counts the distinct documents of a host that hold the line,
-drops lines that more than ``max_docs`` documents of one host share, and rejects documents that lose more than
-``max_lost`` per cent of their words. The host is the ``host_col`` column (``source`` for documents).
-``without_frequent_lines`` returns the documents with the texts that are left.
-
-What counts as a document is ``counted``: its ``doc_id`` (the method), or its ``text_hash``. The registered query counts
-text hashes, as its SQL does: there, equal texts of one host count as one document, and the lines of exact copies stay.
+(lower case, digit runs as 0, white space as one space), counts the distinct documents (by ``doc_id``) of a host that hold
+the line, drops lines above the host's limit, and rejects documents that lose more than ``max_lost`` per cent of their
+words. A host's limit is ``MAX_SHARE_PCT`` per cent of its documents, but ``max_docs`` at most and ``LEAST_DOCS`` at least, so
+that small hosts have frequent lines too. The host is the ``host_col`` column (``source`` for documents).
+``without_frequent_lines`` returns the documents with the texts that are left. ``counted="text_hash"`` takes equal texts of
+a host as one document.
 
 Defined cases: null or empty text has no words and fails the base rules; a null host is a host of its own, and all rows
 without an id are one document; repeated rows don't make their own lines frequent, give repeated, equal result rows, and
@@ -19,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, table, words
+from .common import WHITE, table, words, written
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-MAX_DOCS, MAX_LOST_PCT = 200, 50
+MAX_DOCS, LEAST_DOCS, MAX_SHARE_PCT, MAX_LOST_PCT = 200, 5, 10, 50
 
 
 def normalised_line(line):
@@ -82,20 +81,17 @@ def line_rows(docs: DataFrame, host_col: str = "source") -> DataFrame:
     )
 
 
-def frequent_rows(lines: DataFrame, max_docs: int, counted: str) -> DataFrame:
-    """The rows of ``lines`` whose line more than ``max_docs`` documents of the host hold.
+def frequent_rows(lines: DataFrame, docs: DataFrame, max_docs: int, counted: str) -> DataFrame:
+    """The rows of ``lines`` whose line more documents of the host hold than its limit, of all ``docs`` (doc_id, host,
+    text_hash).
 
     Plan: (host, line, document) is reduced to distinct rows, then counted per (host, line) with map-side combining, so
     one line in every document of one host costs one partial row a task. Only lines above the limit are joined back.
     """
-    frequent = (
-        lines.select("host", "line_hash", counted)
-        .distinct()
-        .groupBy("host", "line_hash")
-        .count()
-        .filter(F.col("count") > max_docs)
-        .select(F.col("host").alias("f_host"), F.col("line_hash").alias("f_hash"))
-    )
+    share = F.floor(F.count_distinct(F.coalesce(F.col(counted), F.lit(-1))) * MAX_SHARE_PCT / 100)
+    limit = docs.groupBy("host").agg(F.least(F.lit(max_docs), F.greatest(F.lit(LEAST_DOCS), share)).alias("most")).withColumnRenamed("host", "l_host")
+    counts = lines.select("host", "line_hash", counted).distinct().groupBy("host", "line_hash").count().filter(F.col("count") > min(max_docs, LEAST_DOCS))
+    frequent = counts.join(limit, F.col("host").eqNullSafe(F.col("l_host"))).filter("count > most").select(F.col("host").alias("f_host"), F.col("line_hash").alias("f_hash"))
     return lines.join(frequent, F.col("line_hash").eqNullSafe(F.col("f_hash")) & F.col("host").eqNullSafe(F.col("f_host")))
 
 
@@ -109,8 +105,8 @@ def quality_rules(
     counted: str = "doc_id",
 ) -> DataFrame:
     """Metrics and verdict per document; see the module text."""
-    base = base_metrics(docs, host_col)
-    hits = frequent_rows(line_rows(docs, host_col), max_docs, counted)
+    base = written(base_metrics(docs, host_col))
+    hits = frequent_rows(written(line_rows(docs, host_col)), base.select("doc_id", "host", "text_hash"), max_docs, counted)
     lost = (
         hits.select("doc_id", "host", "text_hash", "pos", "line_words")
         .distinct()
@@ -132,7 +128,8 @@ def quality_rules(
 
 def without_frequent_lines(docs: DataFrame, host_col: str = "source", max_docs: int = MAX_DOCS, counted: str = "doc_id") -> DataFrame:
     """``docs`` with the frequent lines taken out of their texts; all other lines stay byte for byte, in order."""
-    gone = frequent_rows(line_rows(docs, host_col), max_docs, counted).groupBy("host", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    own = docs.select("doc_id", F.col(host_col).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    gone = frequent_rows(written(line_rows(docs, host_col)), own, max_docs, counted).groupBy("host", "text_hash").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("host").alias("g_host"), F.col("text_hash").alias("g_text"), "gone")
     d = docs.select(F.struct("*").alias("all"), F.col(host_col).alias("host"), "text")
     d = d.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -144,7 +141,7 @@ def without_frequent_lines(docs: DataFrame, host_col: str = "source", max_docs:
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), counted="text_hash")
+    return quality_rules(table(spark, sf_dir, "documents"))
 
 
 ORACLE = f"""
@@ -154,10 +151,11 @@ t AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >=
 g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM t),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, host, md5(text) AS th, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT doc_id, host, th, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM l),
+l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
+lw AS (SELECT doc_id, host, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM l),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw WHERE norm <> '' GROUP BY doc_id),
-f AS (SELECT host, norm FROM lw WHERE norm <> '' GROUP BY host, norm HAVING count(DISTINCT th) > {MAX_DOCS}),
+hl AS (SELECT host, least({MAX_DOCS}, greatest({LEAST_DOCS}, count(DISTINCT doc_id) * {MAX_SHARE_PCT} // 100)) AS most FROM d GROUP BY host),
+f AS (SELECT c.host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n FROM lw WHERE norm <> '' GROUP BY host, norm) c JOIN hl ON c.host IS NOT DISTINCT FROM hl.host WHERE n > most),
 lost AS (SELECT doc_id, sum(len(string_split(lw.norm, ' '))) AS lost_words FROM lw JOIN f ON lw.norm = f.norm AND lw.host IS NOT DISTINCT FROM f.host GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words,
   length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,

@@ -3,9 +3,9 @@
 A list is a log of dated entries (list_name, scope, entry, dated, action): ``add`` or ``remove``. Entries of one key
 become validity intervals [dated, next dated), one per ``add``; a key's history is short next to the captures, but it is
 still cut at month ends so that a capture meets only the intervals alive in its own month, however long the log is.
-Each capture asks at fetch time for its host, its registered domain (last three labels here, as the public-suffix list
-is not at hand) and its host with the first path segment. An ``allow`` interval beats any block; among blocks the most
-specific scope names the reason.
+Each capture asks at fetch time for its host, every domain that its host belongs to (the host and its parents of two labels
+or more, so ``example.com`` meets ``news.example.com``) and its host with the first path segment. An ``allow`` interval
+beats any block; among blocks the most specific scope names the reason.
 
 Skew: one host may hold a third of the captures. The join is a plain equi-join with the interval as residual condition,
 which adaptive execution splits; nothing is grouped by host. The entry side is broadcast only under Spark's own checked
@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SCOPES = ("path", "host", "domain")
-
-
 def capture_keys(captures: DataFrame) -> DataFrame:
     """id, fetched_on and an array of (scope, key) of each capture."""
     rest = F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
@@ -55,15 +52,16 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(id, url, fetched_on date), entries(list_name, scope, entry, dated date, action) -> id, host, n_block,
     n_allow, reason, kept, one row per capture."""
     keys = capture_keys(captures).withColumn("row", F.monotonically_increasing_id())
-    probes = keys.select(
-        "row", "fetched_on", F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(s).alias("entry")) for s in SCOPES])).alias("k")
-    ).select("row", "fetched_on", F.trunc("fetched_on", "month").alias("month"), "k.scope", "k.entry").filter("entry != '' and fetched_on is not null")
+    one = [F.struct(F.lit(s).alias("scope"), F.col(s).alias("entry")) for s in ("path", "host")]
+    labels = F.split("host", r"\.")
+    parents = F.expr("transform(sequence(1, greatest(1, size(labels) - 1)), i -> array_join(slice(labels, i, size(labels)), '.'))")
+    domains = F.transform(parents, lambda d: F.struct(F.lit("domain").alias("scope"), d.alias("entry")))
+    probes = keys.withColumn("labels", labels).select("row", "fetched_on", F.explode(F.concat(F.array(*one), domains)).alias("k")).select("row", "fetched_on", F.trunc("fetched_on", "month").alias("month"), "k.scope", "k.entry").filter("entry != '' and fetched_on is not null")
     span = intervals(entries)
     last = F.coalesce(F.date_sub("until", 1), F.lit("2100-01-01").cast("date"))
-    # Open intervals end with the captures; the horizon is one aggregated value.
-    horizon = captures.agg(F.max("fetched_on").alias("horizon"))
-    span = span.crossJoin(F.broadcast(horizon))  # one row
-    span = span.filter("dated <= horizon").withColumn("last", F.least(last, F.col("horizon")))
+    # open intervals end with the captures; the horizon is one aggregated value
+    horizon = captures.agg(F.max("fetched_on")).first()[0]
+    span = span.filter(F.col("dated") <= F.lit(horizon).cast("date")).withColumn("last", F.least(last, F.lit(horizon).cast("date")))
     span = span.select(
         "list_name", F.col("scope").alias("e_scope"), F.col("entry").alias("e_entry"), "dated", "until",
         F.explode(F.sequence(F.trunc("dated", "month"), F.trunc("last", "month"), F.expr("interval 1 month"))).alias("e_month"),
@@ -148,7 +146,8 @@ e AS (SELECT 'abuse' AS l, 'host' AS s, entry, y % 300 AS n, 'add' AS a FROM h W
   UNION ALL SELECT 'spam', 'path', entry, y % 300 + 60, 'remove' FROM p WHERE x % 4 = 0
   UNION ALL SELECT 'allow', 'host', entry, z % 366, 'add' FROM h WHERE x % 8 = 2),
 v AS (SELECT * FROM (SELECT l, s, entry, DATE '2024-01-01' + n::INT AS since, lead(DATE '2024-01-01' + n::INT) OVER (PARTITION BY l, s, entry ORDER BY n) AS til, a FROM e) WHERE a = 'add'),
-q AS (SELECT page_id, f, 'path' AS s, path AS entry, 1 AS r FROM k UNION ALL SELECT page_id, f, 'host', host, 2 FROM k UNION ALL SELECT page_id, f, 'domain', domain, 3 FROM k),
+q AS (SELECT page_id, f, 'path' AS s, path AS entry, 1 AS r FROM k UNION ALL SELECT page_id, f, 'host', host, 2 FROM k
+  UNION ALL SELECT page_id, f, 'domain', unnest(list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.'))), 3 FROM k),
 g AS (SELECT page_id, count(*) FILTER (WHERE l <> 'allow') AS n_block, count(*) FILTER (WHERE l = 'allow') AS n_allow, min(q.r || l || ':' || q.s) FILTER (WHERE l <> 'allow') AS b
   FROM q JOIN v ON q.s = v.s AND q.entry = v.entry AND v.since <= f AND (til IS NULL OR f < til) GROUP BY page_id)
 SELECT page_id, host, coalesce(n_block, 0) AS n_block, coalesce(n_allow, 0) AS n_allow, CASE WHEN coalesce(n_block, 0) = 0 THEN 'none' ELSE substr(b, 2) END AS reason,
