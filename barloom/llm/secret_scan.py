@@ -1,11 +1,12 @@
 """Secret scans with multipart credential linking.
 
 Step 1 reads each whole text once (Arrow batches) and yields the spans of the base kinds plus weak parts: bare mixed
-tokens (``weak_secret``), account names (``weak_id``) and service addresses (``endpoint``). Step 2 is the interval join:
+tokens (``weak_secret``), account names and mail addresses (``weak_id``), and addresses of services and machines
+(``endpoint``). Step 2 is the interval join:
 a weak part is reported only if complementary parts lie within ``reach`` code points in the same scope (the document):
 
 - weak_secret needs an identifier (access or weak_id),
-- weak_id needs a secret (assign or weak_secret),
+- weak_id needs a secret (assign, hex or weak_secret),
 - endpoint needs an identifier and a secret.
 
 The join is on (document, block of ``reach`` code points). The side that is asked is reduced beforehand to the smallest
@@ -33,7 +34,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.I | re.A)
-ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b", re.A)
+ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?(?![\d.]*\d)", re.A)
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIXED = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 MASK = "[secret]"
@@ -50,6 +52,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = [(m.start(), 3, m.end()) for m in WEAK_ID.finditer(text)]
+    if "@" in text:
+        named = [m.span() for m in WEAK_ID.finditer(text)]
+        out += [(m.start(), 3, m.end()) for m in ADDRESS.finditer(text) if not any(a <= m.start() < b for a, b in named)]
     out += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     ends, k = [*base, *[(s, 5, e) for s, kind, e in out if kind == 5]], 0
     ends.sort()
@@ -99,7 +104,7 @@ def secret_scan(docs: DataFrame, reach: int = REACH, keep: tuple[str, ...] = ("d
     scanned = docs.select(F.struct(*keep).alias("doc"), F.pandas_udf(_scan, FOUND)("text").alias("found")).select("doc", "found.*").withColumn("row", F.monotonically_increasing_id())
     scanned = written(scanned)  # the texts are scanned once, though the join reads the parts twice
     parts = scanned.select("row", F.explode("parts").alias("p")).select("row", "p.*").withColumn("block", F.expr(f"start div {reach}"))
-    role = F.expr("case when kind in (1, 3) then 'id' when kind in (0, 4) then 'secret' end")
+    role = F.expr("case when kind in (1, 3) then 'id' when kind in (0, 2, 4) then 'secret' end")
     asked = (
         parts.withColumn("role", role).filter("role is not null")
         # a part longer than a block is filed under each block it touches

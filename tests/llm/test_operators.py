@@ -58,6 +58,29 @@ def test_secrets(spark, docs):
     assert "Abcdef" not in masked[11] and secret_scan.MASK in masked[11] and masked[5] is None
 
 
+def linked_by_hand(text: str, reach: int) -> set:
+    """Every pair of parts of a text looked at."""
+    parts = secret_scan.base_spans(text)
+    parts = sorted(parts + secret_scan.weak_spans(text, parts))
+    role = {0: "secret", 2: "secret", 4: "secret", 1: "id", 3: "id", 5: "none"}
+    out = set()
+    for s, k, e in parts:
+        near = {role[j] for a, j, b in parts if (a, j, b) != (s, k, e) and b > s - reach and a < e + reach}
+        if k < 3 or (k == 3 and "secret" in near) or (k == 4 and "id" in near) or (k == 5 and {"id", "secret"} <= near):
+            out.add(f"{secret_scan.KINDS[k]}:{s}:{e}")
+    return out
+
+
+def test_links_equal_all_pairs(spark):
+    r = random.Random(12)
+    pieces = ["user: anna", "mail bob.x@h.example.org", "AKIA" + "B" * 16, "token = Abcdef123456789", "0123456789abcdef0", "Zx9" * 8, "https://h.example.org/x?y", "10.0.0.7:5432", "10.1.2.3", "1.2.3.4.5"]
+    rows = [(i, " ".join(r.choice([r.choice(pieces), "w" * r.randint(1, 150), "é " * 30]) for _ in range(r.randint(0, 25)))) for i in range(150)]
+    got = {x.doc_id: x for x in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert set(filter(None, got[i].spans.split(","))) == linked_by_hand(t, secret_scan.REACH), i
+    assert sum(g.n_linked for g in got.values()) > 100
+
+
 def test_base_secrets_by_hand():
     text = "Token: 'abcdefghijkl' AKIA" + "A" * 14 + " " + "0f" * 8 + " secret=short"
     assert [(k, text[s:e]) for s, k, e in secret_scan.base_spans(text)] == [(0, "Token: 'abcdefghijkl"), (1, "AKIA" + "A" * 14), (2, "0f" * 8)]
@@ -113,6 +136,44 @@ def test_packing_covers_everything(docs):
     assert packing.best_fit_packing(empty(docs), path).count() == 0
 
 
+def fewest(lengths: list[int], capacity: int) -> int:
+    """The fewest sequences that hold the pieces, by trying all ways."""
+    best = len(lengths)
+
+    def put(i: int, rooms: list[int]):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in sorted(set(rooms)):
+            if k >= lengths[i]:
+                j = rooms.index(k)
+                put(i + 1, [*rooms[:j], k - lengths[i], *rooms[j + 1 :]])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_packing_against_the_fewest():
+    r = random.Random(4)
+    lost = 0
+    for _ in range(150):
+        n = [r.choice([r.randint(1, 100), r.randint(30, 70)]) for _ in range(r.randint(1, 9))]
+        seq, off = packing.pack(np.array(n), 100)
+        room: dict = {}
+        for s, o, k in sorted(zip(seq.tolist(), off.tolist(), n)):
+            assert o == room.get(s, 0) and o + k <= 100
+            room[s] = o + k
+        best = fewest(n, 100)
+        assert len(room) <= best + 1
+        lost += len(room) - best
+    assert lost <= 8
+
+
 def test_ranks_equal_library():
     path = P.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
@@ -139,6 +200,36 @@ def test_html(spark):
     assert by[2] == by[3] == by[5] == "" and by[None].endswith("end.") and by[6].count("\n") == 4999
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=John's>Hello there, John.</p><p title=Ann's>World of words.</p>", ["Hello there, John.", "World of words."]),
+        ('<p title="a>b">x</p><p class=a\'b id=\'q\'>y</p>', ["x", "y"]),
+        ('<p>y</p><a href=x title="unclosed>z</a>', ["y", "z"]),
+        ("<p>a<b", ["a"]), ("<p =x y>k</p>", ["k"]), ("a < b and c", ["a < b and c"]), ("<!--->x", ["x"]), ("</ x>y", ["y"]), ("<p title='unended <i>gone", ["gone"]),
+    ],
+)
+def test_tags_by_states(page, want):
+    assert [b[0] for b in html_extract.blocks(page)] == want
+
+
+def test_cut_changes_labels(spark):
+    """An advert of whole sentences goes with its element; a linked and a short paragraph stay with the article."""
+    long = "A sentence of quite some words that says something about the matter at hand, and then goes on for a while."
+    page = f'<div class="ad"><p>{long}</p></div><article><p>{long}</p><p><a href=x>Read this</a></p><p>Yes</p><p>{long}</p></article><p>{long}</p>'
+    rows = html_extract.blocks(page)
+    own = [z > 0 for z in html_extract.odds(rows)]
+    text, n, moved = html_extract.main_text(page)
+    assert own == [True, True, False, False, True, True] and text.split("\n") == [long, "Read this", "Yes", long] and moved == 4
+    # without any mark the cut still smooths: the linked paragraph between long ones stays, the links of the end go
+    bare = f"<div><p>{long}</p><p>Yes</p><p>{long}</p></div><ul>" + "<li><a href=x>Link</a></li>" * 4 + "</ul>"
+    text, _, moved = html_extract.main_text(bare)
+    assert text.split("\n") == [long, "Yes", long] and moved == 1
+    weights = html_extract.fitted_weights(spark.createDataFrame([(i, page) for i in range(50)] + [(None, page), (60, None)], "page_id long, html string"))
+    assert len(weights) == len(html_extract.PRIOR) and weights != list(html_extract.PRIOR)
+    assert html_extract.fitted_weights(spark.createDataFrame([(1, "<p>x")], "page_id long, html string")) == list(html_extract.PRIOR)
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(1)
     for _ in range(200):
@@ -161,7 +252,7 @@ def test_toxicity(spark):
             w = bad[i % 2]
             k = r.randint(1, len(w) - 1)
             t.insert(r.randint(0, 39), w if i % 3 else w[:k] + r.choice("xyz.") + w[k:])
-        rows.append((i, " ".join(t), "x"))
+        rows.append((i, ". ".join(" ".join(t[j : j + 8]) for j in range(0, len(t), 8)), "x"))
         labels.append((i, 1, int(toxic)))
     rows += [(1000, None, "x"), (1001, "", "x"), (None, prose(1, 30), "x")]
     d, lab = spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -173,6 +264,19 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), lab).count() == 0
     assert {g.score for g in toxicity.toxicity(d, lab.limit(0)).collect()} == {0.0}
     assert toxicity.clean_documents(d, lab).columns == d.columns
+    # an inserted letter costs some of a sentence's value, but doesn't hide it
+    model = toxicity.fitted(*toxicity.training_rows(d, lab))
+
+    def known(text):
+        said = toxicity.sentences(text)
+        model.learn({u for us in said for u in us})
+        return said
+
+    value = lambda t: max(map(model.sentence, known(t)))
+    plain, spoiled, clean = (value(f"the river {w} and stone of the north road.") for w in ("idiotox", "idixotox", "garden"))
+    assert plain > 0 and spoiled > 0 and clean < 0
+    score = {w: model.score(known(f"the paper and light. river {w} stone of the north road.")) for w in ("idiotox", "id.iotox", "i d i o t o x", "winter")}
+    assert min(score["idiotox"], score["id.iotox"], score["i d i o t o x"]) >= 0.5 > score["winter"]
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
