@@ -16,34 +16,46 @@ from barloom.llm.toxicity import clean_documents
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """n_chars after the text has changed."""
+    """n_chars after the text has changed; null where the text is."""
     kind = docs.schema["n_chars"].dataType
     return docs.withColumn("n_chars", F.char_length("text").cast(kind))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the string-kernel machine predicts toxic go, whatever their label; it learns from the labels beside the
+    documents (not from held-out ids). Null and empty texts have no units and are kept; repeated rows go or stay together; an
+    empty table stays empty; without labels of both kinds nothing goes. All columns pass as they are."""
     return clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates (five words, 0.8) the rows of the smallest id stay. Texts without words, null ones
+    included, are linked with nothing and stay; rows of one id stay together; rows without an id stay only where
+    no row of their component has one."""
     return one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every 50 bytes that also start in a document with a smaller id are cut, with the rest of a character that they break;
+    rows of which nothing is left go. Texts that were empty or null stay; nothing of a document goes because of
+    another row of its own id. n_chars is counted anew."""
     return _counted(without_repeats(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret and every linked part is replaced by a mark; all rows stay, null texts stay null. n_chars is counted
+    anew."""
     return _counted(masked_secrets(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row's tokens with their sequences and offsets; a null or empty text is its end id alone."""
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("secrets", secrets), ("packing", packing)]
 
-#: No stage but the last can be said in SQL; the tests compare them with brute force.
+#: The stages can't be said in SQL; tests/llm/test_pipeline.py holds each one against brute force on its own input.
 ORACLE_SQL = None
 
 
