@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import ATR_SQL, BASE, _over, full, with_atr
 from ..sources.tapes import funding
+from ..plans.storage import written
 from .bars import bucket, frame_bars, m15_of
 
 #: Exit reasons by code.
@@ -174,21 +175,24 @@ RULES = Rules(cost=0.05, cost_rel=0.001, funding_mult=1.5, risk_frac=0.005, max_
 
 
 def _world(spark, sf_dir: str, own_bars: bool = False):
-    """Bars with ATR and signals, execution bars and specs of the queries."""
-    m15 = m15_of(spark, sf_dir)
+    """Bars with ATR and signals, execution bars and specs of the queries. Bars are written once: candidates, paths and
+    metrics each read them, and the tape is scanned for them only here."""
+    m15 = written(m15_of(spark, sf_dir))
     b = with_atr(frame_bars(m15, "h1"))
     mean = full(F.avg("close").over(_over(20)), 20)
     b = b.withColumns({"up": F.col("close") > full(F.max("high").over(_over(20, 1)), 20, "high", 1), "down": F.col("close") < full(F.min("low").over(_over(20, 1)), 20, "low", 1), "mean": mean})
     b = b.withColumns({"exit_sig": F.coalesce(F.abs(F.col("close") - F.col("mean")) < 0.05 * F.col("atr"), F.lit(False))})
+    if own_bars:
+        b = b.withColumns({"exec_start": F.col("bar_idx"), "exec_end": F.col("bar_idx") + 1})
+    b = written(b)
     names = ("strategy", "dir", "stop", "target", "hold", "trail", "delay")
     specs = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, s)]) for s in SPECS])
     fires = F.when(F.col("dir") > 0, F.col("up")).otherwise(F.col("down"))
     signals = b.select("symbol", F.col("bar_idx").alias("t"), "up", "down", F.inline(specs)).filter(fires).drop("up", "down")
     if own_bars:
         execs = b.select("symbol", F.col("bar_idx").alias("exec_idx"), "bar_idx", F.lit(True).alias("is_last"), F.lit(0.0).alias("rate"), "open", "high", "low", "close", "day_id")
-        b = b.withColumns({"exec_start": F.col("bar_idx"), "exec_end": F.col("bar_idx") + 1})
     else:
-        execs = execution_bars(m15, "h1", funding(spark, sf_dir))
+        execs = written(execution_bars(m15, "h1", funding(spark, sf_dir)))
     return b, execs, signals
 
 
@@ -208,8 +212,8 @@ def trades_chain(spark, sf_dir: str) -> DataFrame:
 
 def trades_metrics(spark, sf_dir: str) -> DataFrame:
     b, execs, signals = _world(spark, sf_dir)
-    p = paths(b, execs, signals, RULES)
-    t = chained(outcomes(p))
+    p = written(paths(b, execs, signals, RULES))
+    t = written(chained(outcomes(p)))
     days = b.groupBy("symbol").agg(F.count_distinct("day_id").alias("n_days"))
     return _rounded(with_ratios(metrics(t, days)).join(marked_drawdown(t, p), PER))
 
