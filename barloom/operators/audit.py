@@ -7,17 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.features import BASE, ordered
 from ..sources.tapes import ticks
-from .bars import h1_of
+from .bars import bucket, frame_bars, frame_sql, h1_of, m15_of
 from .stats import RET, daily_returns
 
 BIG_GAP, SIGMAS = 4, 3.0
+#: Arrival numbers of a block.
+BLOCK = 1 << 20
 
 
 def tape_faults(tape: DataFrame) -> DataFrame:
-    """Per symbol: rows, steps back in arrival order, repeated times, identical rows, missing or non-positive prices."""
-    w = Window.partitionBy("symbol").orderBy("seq")
-    d = tape.withColumn("before", F.lag("ts").over(w))
-    rows = d.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("before")).alias("steps_back"), F.count_if(F.col("price").isNull() | (F.col("price") <= 0)).alias("bad_prices"))
+    """Per symbol: rows, steps back in arrival order, repeated times, identical rows, missing or non-positive prices.
+
+    Raw ticks are ordered inside blocks of arrival numbers only, so a busy symbol spreads; the blocks' first and last
+    times are then compared across borders.
+    """
+    block = Window.partitionBy("symbol", "block").orderBy("seq")
+    d = tape.withColumn("block", F.floor(F.col("seq") / BLOCK)).withColumn("before", F.lag("ts").over(block))
+    blocks = d.groupBy("symbol", "block").agg(
+        F.count("*").alias("n"), F.count_if(F.col("ts") < F.col("before")).alias("back"), F.count_if(F.col("price").isNull() | (F.col("price") <= 0)).alias("bad"),
+        F.min_by("ts", "seq").alias("first"), F.max_by("ts", "seq").alias("last"),
+    )
+    border = F.coalesce(F.col("first") < F.lag("last").over(Window.partitionBy("symbol").orderBy("block")), F.lit(False)).cast("long")
+    rows = blocks.withColumn("back", F.col("back") + border).groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("back").alias("steps_back"), F.sum("bad").alias("bad_prices"))
     same = tape.groupBy("symbol", "ts").agg((F.count("*") - 1).alias("extra"), (F.count("*") - F.count_distinct("price", "volume")).alias("identical"))
     same = same.groupBy("symbol").agg(F.sum("extra").alias("repeated_times"), F.sum("identical").alias("identical_rows"))
     return rows.join(same, "symbol")
@@ -65,11 +76,27 @@ def audit_spikes(spark, sf_dir: str) -> DataFrame:
 
 
 def audit_wicks(spark, sf_dir: str) -> DataFrame:
-    """Isolated highs: far above the bar's own body and above both neighbours' highs; missing neighbours don't count."""
-    d = h1_of(spark, sf_dir)
-    near = F.greatest(F.lag("high").over(ordered()), F.lead("high").over(ordered()))
-    d = d.withColumn("near", near)
-    return d.filter((F.col("high") / F.greatest("open", "close") - 1 > 0.5) & (F.col("high") / F.col("near") - 1 > 0.2)).select("symbol", "bar_idx", F.round("high", 6).alias("high"))
+    """Isolated highs and lows: far beyond the bar's own body and both neighbours' extremes; missing neighbours don't count."""
+    lag, lead = (lambda c: F.lag(c).over(ordered())), (lambda c: F.lead(c).over(ordered()))
+    d = h1_of(spark, sf_dir).withColumns({"above": F.greatest(lag("high"), lead("high")), "below": F.least(lag("low"), lead("low"))})
+    up = (F.col("high") / F.greatest("open", "close") - 1 > 0.5) & (F.col("high") / F.col("above") - 1 > 0.2)
+    down = (1 - F.col("low") / F.least("open", "close") > 0.5) & (1 - F.col("low") / F.col("below") > 0.2)
+    side = lambda c, name, px: F.when(c, F.struct(F.lit(name).alias("side"), F.round(px, 6).alias("price")))
+    d = d.select("symbol", "bar_idx", F.explode(F.array(side(up, "high", "high"), side(down, "low", "low"))).alias("w"))
+    return d.filter("w is not null").select("symbol", "bar_idx", "w.side", "w.price")
+
+
+def audit_reaggregation(spark, sf_dir: str) -> DataFrame:
+    """4-hour bars from 15-minute bars against those from hourly bars: bars, and how many differ in any price or volume."""
+    m15 = m15_of(spark, sf_dir)
+    columns = ["open", "high", "low", "close", "volume", "n_m15"]
+    direct = frame_bars(m15, "h4").select("symbol", "bucket", F.struct(*columns).alias("direct"))
+    order = F.col("bucket")
+    h1 = frame_bars(m15, "h1").withColumn("h4", bucket(F.col("bucket"), "h4")).groupBy("symbol", "h4").agg(
+        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"), F.sum("volume").alias("volume"), F.sum("n_m15").alias("n_m15")
+    )
+    both = direct.join(h1.select("symbol", F.col("h4").alias("bucket"), F.struct(*columns).alias("stepped")), ["symbol", "bucket"], "full")
+    return both.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(~F.col("direct").eqNullSafe(F.col("stepped"))).alias("differ"))
 
 
 def audit_yearly(spark, sf_dir: str) -> DataFrame:
@@ -85,7 +112,7 @@ def audit_correlation(spark, sf_dir: str) -> DataFrame:
     return a.join(b, "day").filter("a < b").groupBy("year", "a", "b").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("rho"))
 
 
-QUERIES = {f.__name__: f for f in (audit_tape, audit_weekdays, audit_gap_sizes, audit_shared_gaps, audit_frozen, audit_spikes, audit_wicks, audit_yearly, audit_correlation)}
+QUERIES = {f.__name__: f for f in (audit_tape, audit_weekdays, audit_gap_sizes, audit_shared_gaps, audit_frozen, audit_spikes, audit_wicks, audit_reaggregation, audit_yearly, audit_correlation)}
 
 _B = BASE.replace("RECURSIVE ", "")
 _G = f"{_B}, g AS (SELECT * FROM (SELECT symbol, lag(available) OVER (PARTITION BY symbol ORDER BY bar_idx) AS gap_start, bucket AS gap_end FROM b) WHERE gap_end > gap_start), h AS (SELECT *, date_diff('hour', gap_start, gap_end) AS hours FROM g)"
@@ -99,7 +126,11 @@ SELECT symbol, count(*) AS n, count(*) FILTER (WHERE ts < before) AS steps_back,
     "audit_frozen": f"{_B}, f AS (SELECT *, bar_idx - row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS run FROM b WHERE high = low) SELECT symbol, min(bar_idx) AS start, count(*) AS length FROM f GROUP BY symbol, run",
     "audit_spikes": f"""{_B}, m AS (SELECT symbol, bar_idx, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY bar_idx)) AS move FROM b), n AS (SELECT *, lead(move) OVER (PARTITION BY symbol ORDER BY bar_idx) AS back, stddev_pop(move) OVER (PARTITION BY symbol) AS sd FROM m)
 SELECT symbol, bar_idx, round(move, 6) AS move, coalesce(move * back < -0.5 * move ** 2, false) AS reverts FROM n WHERE abs(move) > {SIGMAS} * sd""",
-    "audit_wicks": f"{_B}, n AS (SELECT *, greatest(lag(high) OVER w, lead(high) OVER w) AS near FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)) SELECT symbol, bar_idx, round(high, 6) AS high FROM n WHERE high / greatest(open, close) - 1 > 0.5 AND high / near - 1 > 0.2",
+    "audit_wicks": f"""{_B}, n AS (SELECT *, greatest(lag(high) OVER w, lead(high) OVER w) AS above, least(lag(low) OVER w, lead(low) OVER w) AS below FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx))
+SELECT symbol, bar_idx, 'high' AS side, round(high, 6) AS price FROM n WHERE high / greatest(open, close) - 1 > 0.5 AND high / above - 1 > 0.2
+UNION ALL SELECT symbol, bar_idx, 'low', round(low, 6) FROM n WHERE 1 - low / least(open, close) > 0.5 AND 1 - low / below > 0.2""",
+    "audit_reaggregation": f"""{_B}, {frame_sql("h4", "h")}, s AS (SELECT symbol, time_bucket(INTERVAL '4 hours', bucket) AS bucket, first(open ORDER BY bucket) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY bucket) AS close, sum(volume) AS volume, sum(n_m15) AS n_m15 FROM b GROUP BY 1, 2)
+SELECT symbol, count(*) AS n, count(*) FILTER (WHERE (h.open, h.high, h.low, h.close, h.volume, h.n_m15) IS DISTINCT FROM (s.open, s.high, s.low, s.close, s.volume, s.n_m15)) AS differ FROM h FULL JOIN s USING (symbol, bucket) GROUP BY symbol""",
     "audit_yearly": f"{RET} SELECT year(day) AS year, " + ", ".join(f"round(stddev_pop(ret) FILTER (WHERE symbol = '{s}'), 6) AS {n}" for s, n in (("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"), ("4-NOT SPECIFIED", "unspecified"), ("5-LOW", "low"))) + " FROM r GROUP BY 1",
     "audit_correlation": f"{RET} SELECT year(day) AS year, a.symbol AS a, b.symbol AS b, count(*) AS n, round(corr(a.ret, b.ret), 6) AS rho FROM r a JOIN r b USING (day) WHERE a.symbol < b.symbol GROUP BY 1, 2, 3",
 }

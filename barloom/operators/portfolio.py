@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tapes import daily_trades
 
-VOL_DAYS, TREND_DAYS, COST, SIDES = 60, (20, 60, 120), 0.001, 3
+VOL_DAYS, TREND_DAYS, COST, SIDES, SCENARIOS = 60, (20, 60, 120), 0.001, 3, (0, 1, 2, 5)
 
 
 def by_day():
@@ -54,7 +54,8 @@ def cross_section(d: DataFrame, score: str) -> DataFrame:
 def accounted(d: DataFrame, cost: float = COST, pay_mult: float = 1.0) -> DataFrame:
     """day, ret, turnover of the holdings: they earn the day's returns and carry, drift, and are then moved to the day's
     targets (``rebalance``), which earn from the next day on. The renormalisation couples all assets of a day, so it
-    is a recurrence over days: one group per portfolio, as long as its calendar."""
+    is a recurrence over days: one group per portfolio (a hypothesis under a scenario), as long as its calendar. A column
+    ``cost`` takes the place of the argument."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "asset"])
@@ -70,10 +71,11 @@ def accounted(d: DataFrame, cost: float = COST, pay_mult: float = 1.0) -> DataFr
                 target = dict(zip(part["asset"], part["weight"]))
                 moved = sum(abs(target.get(a, 0.0) - hold.get(a, 0.0)) for a in {*target, *hold})
                 hold = {a: w for a, w in target.items() if w}
-            rows.append((part["portfolio"].iloc[0], day, gain - moved * cost, moved))
+            rows.append((part["portfolio"].iloc[0], day, gain - moved * float(part["cost"].iloc[0]), moved))
         return pd.DataFrame(rows, columns=["portfolio", "day", "ret", "turnover"])
 
-    return d.select("portfolio", "day", "asset", "ret", "carry", "weight", "rebalance").groupBy("portfolio").applyInPandas(run, "portfolio string, day date, ret double, turnover double")
+    d = d if "cost" in d.columns else d.withColumn("cost", F.lit(cost))
+    return d.select("portfolio", "day", "asset", "ret", "carry", "weight", "rebalance", "cost").groupBy("portfolio").applyInPandas(run, "portfolio string, day date, ret double, turnover double")
 
 
 def drawdown(d: DataFrame, by: str = "portfolio") -> DataFrame:
@@ -102,14 +104,25 @@ def portfolio_cross_section(spark, sf_dir: str) -> DataFrame:
     return cross_section(d, "score").select("asset", "day", F.round("weight", 6).alias("weight"))
 
 
-def portfolio_simulated(spark, sf_dir: str) -> DataFrame:
+def _weekly(spark, sf_dir: str) -> DataFrame:
     """The trend portfolio, moved on the first day of each week that trades."""
     d = _trend(spark, sf_dir).withColumns({"portfolio": F.lit("trend"), "carry": F.lit(0.0), "week": F.date_trunc("week", F.col("day").cast("timestamp_ntz"))})
-    d = d.withColumn("rebalance", F.col("day") == F.min("day").over(Window.partitionBy("week")))
-    return accounted(d).select("day", F.round("ret", 6).alias("ret"), F.round("turnover", 6).alias("turnover"))
+    return d.withColumn("rebalance", F.col("day") == F.min("day").over(Window.partitionBy("week")))
+
+
+def portfolio_scenarios(spark, sf_dir: str) -> DataFrame:
+    """The trend portfolio under so many times the cost, each scenario a group of its own: sum, deviation and worst of the daily returns (the
+    tape's moves are too wild to compound), turnover."""
+    each = F.array(*[F.struct(F.lit(f"trend x{m}").alias("portfolio"), F.lit(COST * m).alias("cost")) for m in SCENARIOS])
+    d = accounted(_weekly(spark, sf_dir).drop("portfolio").select("*", F.inline(each))).groupBy("portfolio")
+    return d.agg(*[F.round(v, 5).alias(k) for k, v in (("total", F.sum("ret")), ("deviation", F.stddev_pop("ret")), ("worst", F.min("ret")), ("turnover", F.sum("turnover")))])
+
+
+def portfolio_simulated(spark, sf_dir: str) -> DataFrame:
+    return accounted(_weekly(spark, sf_dir)).select("day", F.round("ret", 6).alias("ret"), F.round("turnover", 6).alias("turnover"))
 
 
-QUERIES = {f.__name__: f for f in (portfolio_trend_weights, portfolio_cross_section, portfolio_simulated)}
+QUERIES = {f.__name__: f for f in (portfolio_trend_weights, portfolio_cross_section, portfolio_simulated, portfolio_scenarios)}
 
 _P = """WITH RECURSIVE c AS (SELECT o_orderpriority AS asset, o_orderdate::DATE AS day, round(avg(o_totalprice), 4) AS close FROM orders GROUP BY 1, 2),
 f AS (SELECT asset, min(day) AS first FROM c GROUP BY 1), g AS (SELECT f.asset, d.day FROM (SELECT DISTINCT day FROM c) d JOIN f ON d.day >= f.first),
@@ -133,3 +146,6 @@ z AS (SELECT 0::BIGINT AS i, NULL::DATE AS day, 0.0::DOUBLE AS ret, 0.0::DOUBLE
     SELECT n.*, z.hold, rets, list_sum(list_transform(list_zip(z.hold, rets), lambda q: q[1] * q[2])) AS gain FROM z JOIN n ON n.i = z.i + 1, LATERAL (SELECT list_transform((SELECT names FROM a), lambda x: coalesce(n.m[x].ret, 0)) AS rets)) n, LATERAL (SELECT n.hold) z) n) n)
 SELECT day, round(ret, 6) AS ret, round(turnover, 6) AS turnover FROM z WHERE i > 0""",
 }
+_Z = ORACLE["portfolio_simulated"].rsplit("SELECT day, round(ret, 6)", 1)[0]
+ORACLE["portfolio_scenarios"] = f"""{_Z}, y AS (SELECT 'trend x' || m AS portfolio, day, turnover, ret + turnover * {COST} * (1 - m) AS ret FROM z, (VALUES {", ".join(f"({m})" for m in SCENARIOS)}) s(m) WHERE i > 0)
+SELECT portfolio, round(sum(ret), 5) AS total, round(stddev_pop(ret), 5) AS deviation, round(min(ret), 5) AS worst, round(sum(turnover), 5) AS turnover FROM y GROUP BY portfolio"""

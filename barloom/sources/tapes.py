@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Raw columns of a bar file, and the volume from which a value is an overflow.
 RAW_COLUMNS = ("Date", "Time", "Open", "High", "Low", "Close", "Volume")
+SPOT_COLUMNS = ("datetime", "open", "high", "low", "close", "volume")
 OVERFLOW = 9.0e13
 
 
@@ -40,18 +41,54 @@ def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("hour(bucket) % 8 = 0").groupBy("symbol", "bucket").agg(F.min_by("rate", F.struct("ts", "event_id")).alias("rate"))
 
 
-def raw_bars(spark: SparkSession, path: str, tz: str, symbol: str) -> DataFrame:
-    """A raw CSV of local bars: header checked, every cell parsed or refused, local times to UTC with gaps refused."""
+def _parsed(spark: SparkSession, path: str, columns: tuple[str, ...], ts, numbers: tuple[str, ...]) -> DataFrame:
+    """A CSV of text cells with ``ts`` and numbers parsed; TapeError for another header or any cell that can't be parsed."""
     found = tuple(spark.read.option("header", True).csv(path).columns)
-    if found != RAW_COLUMNS:
-        raise TapeError(f"columns {found}, expected {RAW_COLUMNS}")
-    schema = ", ".join(f"{c} string" for c in RAW_COLUMNS)
-    raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    local = F.to_timestamp_ntz(F.concat_ws(" ", "Date", "Time"), F.lit("yyyyMMdd HH:mm:ss"))
-    out = raw.select(F.lit(symbol).alias("symbol"), local.alias("ts_local"), *[F.col(c).cast("double").alias(c.lower()) for c in RAW_COLUMNS[2:]])
-    out = out.withColumn("volume", F.when(F.col("volume") < OVERFLOW, F.col("volume")))
-    utc = F.to_utc_timestamp(F.col("ts_local").cast("timestamp"), tz)
-    return out.withColumn("ts_utc", utc)
+    if found != columns:
+        raise TapeError(f"columns {found}, expected {columns}")
+    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("header", True).csv(path)
+    cells = {c.lower(): F.expr(f"try_cast(`{c}` as double)") for c in numbers}
+    out = raw.select(ts.alias("ts"), *[v.alias(k) for k, v in cells.items()])
+    bad = out.agg(*[F.count_if(F.col(c).isNull() | (F.isnan(c) if c != "ts" else F.lit(False))).alias(c) for c in out.columns]).first()
+    for c in out.columns:
+        if bad[c]:
+            raise TapeError(f"unparseable {c}: {bad[c]}")
+    return out
+
+
+def raw_bars(spark: SparkSession, path: str, tz: str, symbol: str) -> DataFrame:
+    """A raw CSV of local bars (symbol, ts_local, ts_utc, prices, volume): header checked, every cell parsed or refused, local
+    hours that don't exist or occur twice in ``tz`` refused, whatever the session's zone; volumes that overflowed are null."""
+    local = F.try_to_timestamp(F.concat_ws(" ", "Date", "Time"), F.lit("yyyyMMdd HH:mm:ss")).cast("timestamp_ntz")
+    out = _parsed(spark, path, RAW_COLUMNS, local, RAW_COLUMNS[2:])
+    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col("ts"))
+    back = lambda t: F.convert_timezone(F.lit("UTC"), F.lit(tz), t)
+    hour = F.expr("interval 1 hour")
+    out = out.withColumn("ts_utc", utc)
+    row = out.agg(
+        F.count_if(back(F.col("ts_utc")) != F.col("ts")).alias("missing hours"),
+        F.count_if((back(F.col("ts_utc") + hour) == F.col("ts")) | (back(F.col("ts_utc") - hour) == F.col("ts"))).alias("repeated hours"),
+    ).first()
+    for k in row.asDict():
+        if row[k]:
+            raise TapeError(f"{k} of {tz}: {row[k]}")
+    volume = F.when(F.col("volume") < OVERFLOW, F.col("volume"))
+    return out.select(F.lit(symbol).alias("symbol"), F.col("ts").alias("ts_local"), "ts_utc", "open", "high", "low", "close", volume.alias("volume"))
+
+
+def spot_bars(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+    """A CSV of bars by UTC (symbol, ts_local, ts_utc, prices, volume), checked as ``raw_bars`` is."""
+    ts = F.try_to_timestamp("datetime", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    out = _parsed(spark, path, SPOT_COLUMNS, ts, SPOT_COLUMNS[1:])
+    return out.select(F.lit(symbol).alias("symbol"), F.col("ts").alias("ts_local"), F.col("ts").alias("ts_utc"), "open", "high", "low", "close", "volume")
+
+
+def canonical(bars: DataFrame, holdout_start: str, holidays: list = (), utc: bool = False) -> DataFrame:
+    """Bars before ``holdout_start`` (local) with no_trade inside holidays and day_id over trading dates; utc: calendar days."""
+    d = bars.filter(F.col("ts_local") < F.lit(holdout_start).cast("timestamp_ntz"))
+    day = F.to_date("ts_local") if utc else trading_date(F.col("ts_local"))
+    rank = F.dense_rank().over(Window.partitionBy("symbol").orderBy("day")) - 1
+    return d.withColumn("no_trade", holiday(F.col("ts_local"), list(holidays))).withColumn("day", day).withColumn("day_id", rank.cast("long")).drop("day")
 
 
 def validate(bars: DataFrame, minutes: int = 15) -> DataFrame:

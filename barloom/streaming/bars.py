@@ -10,5 +10,5 @@ def stream_bars(trades: DataFrame, minutes: int = 15, late: str = "1 hour") -> D
     """symbol, ts, open, high, low, close, volume of closed windows; state per open window only. trades: symbol, ts (timestamp), seq, price, volume."""
     order = F.struct("ts", "seq")
     d = trades.withWatermark("ts", late).groupBy("symbol", F.window("ts", f"{minutes} minutes").alias("w"))
-    d = d.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"))
+    d = d.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.when(F.count("volume") == F.count("*"), F.sum("volume")).alias("volume"))
     return d.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")

@@ -140,6 +140,43 @@ def test_bad_tapes_are_refused(spark, rows, fault):
         tapes.validate(tape(spark, rows))
 
 
+def raw_file(tmp_path, rows, head="Date,Time,Open,High,Low,Close,Volume"):
+    (tmp_path / "raw.csv").write_text("\n".join([head, *rows]) + "\n")
+    return str(tmp_path / "raw.csv")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Lima"])
+def test_raw_bars(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        path = raw_file(tmp_path, ["20240105,10:00:00,1.5,2,1,1.7,10", "20240705,10:15:00,1,1,1,1,99999999999999"])
+        got = tapes.raw_bars(spark, path, "Europe/Athens", "p").collect()
+        assert [(str(r.ts_utc), r.open, r.volume) for r in got] == [("2024-01-05 08:00:00", 1.5, 10.0), ("2024-07-05 07:15:00", 1.0, None)]
+        faults = [("20240331,03:30:00,1,1,1,1,1", "missing hours"), ("20241027,03:30:00,1,1,1,1,1", "repeated hours"), ("20240105,10:00:00,1,x,1,1,1", "unparseable high"), ("20240105,25:00:00,1,1,1,1,1", "unparseable ts"), ("20240105,10:00:00,1,1,1,1,", "unparseable volume")]
+        for row, fault in faults:
+            with pytest.raises(tapes.TapeError, match=fault):
+                tapes.raw_bars(spark, raw_file(tmp_path, [row]), "Europe/Athens", "p")
+        with pytest.raises(tapes.TapeError, match="columns"):
+            tapes.raw_bars(spark, raw_file(tmp_path, ["1,2"], "Date,Time"), "Europe/Athens", "p")
+        spot = tapes.spot_bars(spark, raw_file(tmp_path, ["2024-03-31 03:30:00,1,2,0.5,1.5,7", "2024-12-31 22:00:00,1,2,0.5,1.5,7"], "datetime,open,high,low,close,volume"), "c")
+        kept = tapes.canonical(spot, "2024-12-31 23:00:00", [((12, 31, 20, 0), (1, 2, 0, 0))], utc=True).orderBy("ts_utc").collect()
+        assert [(r.no_trade, r.day_id, r.close) for r in kept] == [(False, 0, 1.5), (True, 1, 1.5)] and tapes.canonical(spot, "2024-03-31 03:30:00").count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_steps_back_across_blocks(spark, monkeypatch):
+    from barloom.operators import audit
+
+    at = [5, 3, 4, 9, 8, 8, 20, 1]
+    rows = [("s", i, dt.datetime(2024, 1, 1, 0, m), 1.0, 1.0) for i, m in enumerate(at)]
+    d = spark.createDataFrame(rows, "symbol string, seq long, ts timestamp_ntz, price double, volume double")
+    for block in (1, 2, 3, 100):
+        monkeypatch.setattr(audit, "BLOCK", block)
+        r = audit.tape_faults(d).first()
+        assert (r.n, r.steps_back, r.repeated_times) == (8, sum(b < a for a, b in zip(at, at[1:])), 1)
+
+
 def test_calendar_rules(spark):
     days = [("2019-03-10 23:00:00", "2019-03-11"), ("2019-03-11 00:00:00", "2019-03-11"), ("2005-04-02 10:00:00", "2005-04-01"), ("2005-04-01 10:00:00", "2005-04-01")]
     d = spark.createDataFrame(days, "t string, want string").withColumn("ts", F.to_timestamp_ntz("t"))
