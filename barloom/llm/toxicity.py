@@ -40,7 +40,7 @@ from .common import table
 MAX_TRAIN, MAX_TRAIN_CHARS, LANDMARKS, POSITIVE, NEGATIVE, ROUNDS = 2000, 20_000, 768, 2500, 4000, 4
 WINDOW, STRIDE, ORDER, SPAN, DECAY, SHARE, BITS = 12, 4, 4, 6, 0.6, 0.25, 18
 LEVELS = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
-MEMO = 150_000
+MEMO = 300_000
 WEIGH = 2.2
 #: Digits and signs that stand in for letters.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -61,9 +61,8 @@ def _folded() -> dict[int, str]:
 FOLD = _folded()
 
 
-def units(sentence: str) -> list[str]:
-    """Folded units of a sentence, in order, the joined runs of single letters last."""
-    words = EDGE.sub(" ", INNER.sub("", sentence)).translate(FOLD).split()
+def _units(words: list[str]) -> list[str]:
+    """Folded words of three letters or more, in order, the joined runs of single letters last."""
     out = [w for w in words if len(w) >= 3]
     if len(out) < len(words):
         run: list[str] = []
@@ -78,8 +77,10 @@ def units(sentence: str) -> list[str]:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The distinct units of each sentence that has any."""
-    return [list(dict.fromkeys(us)) for s in SENTENCE.split(text) if (us := units(s))]
+    """The distinct units of each sentence that has any. A text is folded as a whole, its sentences parted by a mark that
+    counts as white space."""
+    folded = EDGE.sub(" ", INNER.sub("", SENTENCE.sub("\x1f", text))).translate(FOLD)
+    return [list(dict.fromkeys(us)) for s in folded.split("\x1f") if (us := _units(s.split()))]
 
 
 def windows(unit: str) -> list[str]:
