@@ -87,6 +87,12 @@ def align_h4(spark, sf_dir: str) -> DataFrame:
     return aligned(frame_bars(m15, "h1"), higher, ["bar_idx", "close"])
 
 
+def align_complete(spark, sf_dir: str) -> DataFrame:
+    """For each 4-hour bar the last hourly bar before its end of which no part is missing."""
+    m15 = m15_of(spark, sf_dir)
+    return aligned(frame_bars(m15, "h4"), frame_bars(m15, "h1"), ["bar_idx", "close"])
+
+
 def daily_liquidity(spark, sf_dir: str, days: int = 90) -> DataFrame:
     """Traded value per flag and day, and its median over the ``days`` days before, missing until there are so many."""
     d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("day"))
@@ -96,7 +102,7 @@ def daily_liquidity(spark, sf_dir: str, days: int = 90) -> DataFrame:
     return d.select("symbol", "day", "usd", F.round(med, 2).alias("median_before"))
 
 
-QUERIES = {"bars_m15": bars_m15, "bars_h1": _query("h1"), "bars_h4": _query("h4"), "bars_h8": _query("h8"), "bars_d1": _query("d1"), "bars_align_h4": align_h4, "bars_daily_liquidity": daily_liquidity}
+QUERIES = {"bars_m15": bars_m15, "bars_h1": _query("h1"), "bars_h4": _query("h4"), "bars_h8": _query("h8"), "bars_d1": _query("d1"), "bars_align_h4": align_h4, "bars_align_complete": align_complete, "bars_daily_liquidity": daily_liquidity}
 
 TDATE = "CASE dayofweek({0}) WHEN 0 THEN {0}::DATE + 1 WHEN 6 THEN {0}::DATE - 1 ELSE {0}::DATE END"
 M15 = f"""t AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price FROM events),
@@ -116,6 +122,7 @@ ORACLE = {
     "bars_m15": f"WITH {M15} SELECT * FROM m15",
     **{f"bars_{f}": f"WITH {M15}, {frame_sql(f, 'b')} SELECT * FROM b" for f in ("h1", "h4", "h8", "d1")},
     "bars_align_h4": f"WITH {M15}, {frame_sql('h1', 'b')}, {frame_sql('h4', 'h')} SELECT b.symbol, b.bar_idx, h.bar_idx AS h_bar_idx, h.close AS h_close FROM b ASOF LEFT JOIN (SELECT * FROM h WHERE n_m15 >= 4) h ON b.symbol = h.symbol AND b.available >= h.available",
+    "bars_align_complete": f"WITH {M15}, {frame_sql('h4', 'b')}, {frame_sql('h1', 'h')} SELECT b.symbol, b.bar_idx, h.bar_idx AS h_bar_idx, h.close AS h_close FROM b ASOF LEFT JOIN (SELECT * FROM h WHERE complete) h ON b.symbol = h.symbol AND b.available >= h.available",
     "bars_daily_liquidity": """WITH d AS (SELECT l_returnflag AS symbol, l_shipdate::DATE AS day, round(sum(l_extendedprice), 2) AS usd FROM lineitem GROUP BY 1, 2)
 SELECT symbol, day, usd, round(CASE WHEN count(usd) OVER w = 90 THEN median(usd) OVER w END, 2) AS median_before FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING)""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import ATR_SQL, BASE, ordered, ema_sql, full, with_atr, with_recurrences
-from .bars import aligned, frame_bars, h1_of, m15_of
+from .bars import aligned, frame_bars, frame_sql, h1_of, m15_of
 
 #: The ribbon's periods, thresholds and windows.
 RIBBON = (8, 13, 21, 34, 55, 89, 144)
@@ -94,6 +94,13 @@ def states_descriptors(spark, sf_dir: str) -> DataFrame:
     return _states(spark, sf_dir).select("symbol", "bar_idx", F.round("pct", 6).alias("pct"), "order_level", "width_level", "slope_level", F.col("state").cast("int").alias("state"))
 
 
+def states_descriptors_m15(spark, sf_dir: str) -> DataFrame:
+    """The same of 15-minute bars, with the percentile window of 500."""
+    b = m15_of(spark, sf_dir).withColumnRenamed("exec_idx", "bar_idx").withColumn("available", F.col("ts") + F.expr("interval 15 minutes"))
+    d = descriptors(b, PERCENTILE_WINDOW)
+    return d.select("symbol", "bar_idx", F.round("pct", 6).alias("pct"), "order_level", "width_level", "slope_level", F.col("state").cast("int").alias("state"))
+
+
 def states_hysteresis(spark, sf_dir: str) -> DataFrame:
     d = h1_of(spark, sf_dir)
     x = F.col("close") - F.lag("close").over(ordered())
@@ -133,7 +140,7 @@ def states_combined(spark, sf_dir: str) -> DataFrame:
     return combined(*[levels(f) for f in ("h1", "h4", "h8", "d1")]).select("symbol", "bar_idx", "regime", "state")
 
 
-QUERIES = {"states_descriptors": states_descriptors, "states_hysteresis": states_hysteresis, "states_spells": states_spells, "states_described": states_described, "states_transitions": states_transitions, "states_combined": states_combined}
+QUERIES = {"states_descriptors": states_descriptors, "states_descriptors_m15": states_descriptors_m15, "states_hysteresis": states_hysteresis, "states_spells": states_spells, "states_described": states_described, "states_transitions": states_transitions, "states_combined": states_combined}
 
 
 def level_sql(x: str, hi: float, stay_hi: float, lo: float, stay_lo: float, names=(1, 0, -1)) -> str:
@@ -143,14 +150,14 @@ def level_sql(x: str, hi: float, stay_hi: float, lo: float, stay_lo: float, name
     return f"CASE WHEN {x} IS NULL THEN NULL WHEN {up} THEN {names[0]} WHEN {down} THEN {names[2]} ELSE {names[1]} END"
 
 
-def _descriptor_sql() -> str:
+def _descriptor_sql(window: int = QUERY_WINDOW) -> str:
     e = [f"CASE WHEN r.bar_idx >= {n - 1} THEN r.ema_{n} END AS ema_{n}" for n in RIBBON]
     pairs = " + ".join(f"sign(ema_{a} - ema_{b})" for a, b in zip(RIBBON, RIBBON[1:]))
     emas = ", ".join(f"ema_{n}" for n in RIBBON)
     return f"""{BASE}, {ATR_SQL}, {ema_sql(RIBBON, 'a', 'r')}, z AS (SELECT a.*, {', '.join(e)} FROM a JOIN r USING (symbol, bar_idx)),
 y AS (SELECT *, {pairs} AS score, CASE WHEN ema_144 IS NOT NULL THEN (greatest({emas}) - least({emas})) / nullif(atr, 0) END AS width, (ema_34 - lag(ema_34, 5) OVER (PARTITION BY symbol ORDER BY bar_idx)) / nullif(atr, 0) AS slope FROM z),
-c AS (SELECT *, list(width) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS {QUERY_WINDOW} PRECEDING) AS ws, count(width) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS {QUERY_WINDOW} PRECEDING) AS n FROM y),
-p AS (SELECT *, CASE WHEN n = {QUERY_WINDOW + 1} THEN (len(list_filter(ws, lambda v: v < width)) + (len(list_filter(ws, lambda v: v = width)) + 1) / 2.0) / {QUERY_WINDOW + 1} END AS pct FROM c),
+c AS (SELECT *, list(width) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS {window} PRECEDING) AS ws, count(width) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS {window} PRECEDING) AS n FROM y),
+p AS (SELECT *, CASE WHEN n = {window + 1} THEN (len(list_filter(ws, lambda v: v < width)) + (len(list_filter(ws, lambda v: v = width)) + 1) / 2.0) / {window + 1} END AS pct FROM c),
 l AS (SELECT symbol, bar_idx, pct, {level_sql('score', 6, 2, -6, -2)} AS order_level, {level_sql('pct', .8, .65, .2, .35, (2, 1, 0))} AS width_level, {level_sql('slope', .3, .1, -.3, -.1)} AS slope_level FROM p)
 SELECT symbol, bar_idx, round(pct, 6) AS pct, order_level, width_level, slope_level, 9 * (order_level + 1) + 3 * width_level + slope_level + 1 AS state FROM l"""
 
@@ -176,6 +183,7 @@ SELECT symbol, bar_idx, regime, 9 * (regime + 1) + 3 * (h4 + 1) + ord + 1 AS sta
 
 ORACLE = {
     "states_descriptors": _descriptor_sql(),
+    "states_descriptors_m15": _descriptor_sql(PERCENTILE_WINDOW).replace(frame_sql("h1", "b"), "b AS (SELECT * RENAME (exec_idx AS bar_idx) FROM m15)"),
     "states_hysteresis": f"{BASE}, x AS (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY bar_idx) AS x FROM b) SELECT symbol, bar_idx, {level_sql('x', 6, 2, -6, -2)} AS level FROM x",
     "states_spells": f"{_RUNS} SELECT * FROM runs",
     "states_described": f"{_RUNS} SELECT symbol, state, sum(length)::BIGINT AS bars, count(*) AS spells, round(avg(length), 6) AS mean_length, median(length) AS median_length, round(sum(length) / sum(sum(length)) OVER (PARTITION BY symbol), 6) AS share FROM runs GROUP BY symbol, state",
