@@ -310,7 +310,7 @@ def _ordered(rows: DataFrame, parts: int) -> DataFrame:
 def _paths(classes: DataFrame, sig: str, first: int, trees: int) -> DataFrame:
     """Each class in so many trees from number ``first``, whose minima are in ``sig``."""
     keys = classes.withColumn("tree", F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))))
-    return keys.select("c", "n", "sig", "tree", F.expr(f"substring({sig}, (tree - {first}) * {2 * DEPTH} + 1, {2 * DEPTH})").alias("path"))
+    return keys.select("c", "n", "tree", F.expr(f"substring({sig}, (tree - {first}) * {2 * DEPTH} + 1, {2 * DEPTH})").alias("path"))
 
 
 def _levels(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,9 +325,9 @@ def _levels(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
             full = rows.filter(F.col("count") > REGION).select("c").distinct()
         done = rows if depth == DEPTH else rows.filter(F.col("count") <= REGION)
         blocks = F.ceil(F.col("count") / REGION).cast("int")
-        done = done.select("tree", F.lit(depth).alias("depth"), "region", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "c", "n", "sig", "path")
+        done = done.select("tree", F.lit(depth).alias("depth"), "region", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "c", "n", "path")
         out = done if out is None else out.unionByName(done)
-        keys = rows.filter(F.col("count") > REGION).select("c", "n", "sig", "tree", "path")
+        keys = rows.filter(F.col("count") > REGION).select("c", "n", "tree", "path")
     return out, full
 
 
@@ -336,7 +336,8 @@ def _regions(classes: DataFrame) -> DataFrame:
     of over-full regions stand in ``MORE`` further trees, for the pairs that part below."""
     out, full = _levels(_paths(classes, "sig", 0, TREES))
     more, _ = _levels(_paths(classes.join(written(full), "c"), "more", TREES, MORE))
-    return out.unionByName(more)
+    # signatures join last, so that the trees are dealt without them
+    return out.unionByName(more).join(classes.select("c", "sig"), "c")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -396,7 +397,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # blocks of a class by tree; where it has none, a number that no other class has
     slots = "transform(sequence(0, {0}), t -> coalesce(get(filter(at, x -> x.tree = t and x.blocks = 1), 0), named_struct('tree', t, 'depth', 0, 'region', c, 'block', -1, 'blocks', 1, 'path', cast('' as binary))))"
     again = again.withColumn("slots", F.transform(F.expr(slots.format(TREES + MORE - 1)), lambda x: F.xxhash64(x["tree"], x["depth"], x["region"], x["block"])))
-    again = written(again.select("c", "n", "sig", "comp", "slots", F.inline("at")))
+    again = written(again).select("c", "n", "sig", "comp", "slots", F.inline("at"))
     wide_rows = again.filter("blocks > 1")
     mixed = wide_rows.groupBy("tree", "depth", "region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
     spread = written(wide_rows.join(mixed, ["tree", "depth", "region"]).select("c", "n", "comp").distinct())
