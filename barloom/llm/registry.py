@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, html_extract, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
+from . import alignment, bpe, embedding_dedup, hard_negatives, html_extract, mixing, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_url_filters": url_filters.op10_url_filters,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_cross_tokenizer": alignment.op12_cross_tokenizer,
+        "op13_source_mixing": mixing.op13_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE, "op10_url_filters": url_filters.ORACLE}
+    return {"op7_quality_rules": quality_rules.ORACLE, "op10_url_filters": url_filters.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
