@@ -130,15 +130,15 @@ h AS (SELECT g.asset, g.day, last_value(close IGNORE NULLS) OVER (PARTITION BY g
 i AS (SELECT *, coalesce(close / lag(close) OVER w - 1, 0) AS ret, ln(close / lag(close) OVER w) AS lr FROM h WINDOW w AS (PARTITION BY asset ORDER BY day)),
 p AS (SELECT asset, day, close, ret, CASE WHEN count(lr) OVER w = 60 THEN stddev_samp(lr) OVER w * sqrt(260) END AS vol FROM i WINDOW w AS (PARTITION BY asset ORDER BY day ROWS 59 PRECEDING))"""
 _T = _P + """, s AS (SELECT *, (coalesce(sign(close - lag(close, 20) OVER w), 0) + coalesce(sign(close - lag(close, 60) OVER w), 0) + coalesce(sign(close - lag(close, 120) OVER w), 0)) / 3 AS signal FROM p WINDOW w AS (PARTITION BY asset ORDER BY day)),
-t AS (SELECT *, coalesce(signal / vol / nullif(sum(abs(signal / vol)) OVER (PARTITION BY day), 0), 0) AS weight FROM s)"""
+t AS MATERIALIZED (SELECT *, coalesce(signal / vol / nullif(sum(abs(signal / vol)) OVER (PARTITION BY day), 0), 0) AS weight FROM s)"""
 ORACLE = {
     "portfolio_trend_weights": f"{_T} SELECT asset, day, round(vol, 6) AS vol, round(signal, 6) AS signal, round(weight, 6) AS weight FROM t",
     "portfolio_cross_section": f"""{_P}, s AS (SELECT *, round(lag(close, 7) OVER w / lag(close, 35) OVER w - 1, 9) AS score FROM p WINDOW w AS (PARTITION BY asset ORDER BY day)),
 k AS (SELECT *, coalesce(score IS NOT NULL AND vol > 0, false) AS ok FROM s), r AS (SELECT *, count(*) OVER (PARTITION BY day, ok) // 3 AS n, row_number() OVER (PARTITION BY day, ok ORDER BY score DESC, asset) AS up, row_number() OVER (PARTITION BY day, ok ORDER BY score, asset) AS down FROM k),
 q AS (SELECT *, CASE WHEN NOT ok THEN 0 WHEN up <= n THEN 1 WHEN down <= n THEN -1 ELSE 0 END AS side FROM r)
 SELECT asset, day, round(coalesce(CASE WHEN side <> 0 THEN 0.5 * side / vol / sum(1 / vol) OVER (PARTITION BY day, side) END, 0), 6) AS weight FROM q""",
-    "portfolio_simulated": f"""{_T}, n AS (SELECT day, row_number() OVER (ORDER BY day) AS i, day = min(day) OVER (PARTITION BY date_trunc('week', day)) AS moves, m FROM (SELECT day, map_from_entries(list((asset, {{'ret': ret, 'weight': weight}}))) AS m FROM t GROUP BY day)),
-a AS (SELECT list(DISTINCT asset ORDER BY asset) AS names FROM c),
+    "portfolio_simulated": f"""{_T}, n AS MATERIALIZED (SELECT day, row_number() OVER (ORDER BY day) AS i, day = min(day) OVER (PARTITION BY date_trunc('week', day)) AS moves, m FROM (SELECT day, map_from_entries(list((asset, {{'ret': ret, 'weight': weight}}))) AS m FROM t GROUP BY day)),
+a AS MATERIALIZED (SELECT list(DISTINCT asset ORDER BY asset) AS names FROM c),
 z AS (SELECT 0::BIGINT AS i, NULL::DATE AS day, 0.0::DOUBLE AS ret, 0.0::DOUBLE AS turnover, list_transform((SELECT names FROM a), lambda x: 0.0::DOUBLE) AS hold
  UNION ALL SELECT n.i, n.day, gain - moved * 0.001, moved, CASE WHEN n.moves THEN target ELSE drift END FROM (
   SELECT n.i, n.day, n.moves, gain, drift, target, CASE WHEN n.moves THEN list_sum(list_transform(list_zip(target, drift), lambda q: abs(q[1] - q[2]))) ELSE 0 END AS moved FROM (
