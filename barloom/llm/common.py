@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import written  # noqa: F401  the operators take it from here
+from ..plans.storage import delete, tables, written  # noqa: F401  the operators take them from here
 
 #: White space that separates words in every operator contract: space and tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]+"

@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge of ``edges`` (two columns of one orderable type); root is the smallest node.
 
     Hubs cost no group: minima are combined map-side, and the joins back are plain equi-joins that adaptive execution
-    can split. Each round is written to the shared folder; the rounds grow with the logarithm of the longest path.
+    can split. Each round is written to the shared folder, in place of the one before; the rounds grow with the logarithm of the longest path.
     No edges give no rows; loops, repeats and either direction are allowed.
     """
     a, b = edges.columns
@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == before or not sign[0]:
             return edges.toDF("node", "root").union(edges.select("v", "v").distinct())
         before = sign
-        edges = written(_small(_large(edges)))
+        edges = written(_small(_large(edges)), instead_of=edges)
