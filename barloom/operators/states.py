@@ -36,18 +36,18 @@ def rank_in_window(x: str, n: int):
     return F.when((F.count(x).over(w) == n + 1) & F.col(x).isNotNull(), (less + (same + 1) / 2) / (n + 1))
 
 
-def descriptors(bars: DataFrame, window: int = PERCENTILE_WINDOW) -> DataFrame:
+def descriptors(bars: DataFrame, window: int = PERCENTILE_WINDOW, ribbon: tuple = RIBBON, order: tuple = ORDER, slope_ema: int = SLOPE_EMA, slope_lag: int = SLOPE_LAG) -> DataFrame:
     """symbol, bar_idx, available, order_level, width_level, slope_level, state of each bar."""
-    d = with_recurrences(with_atr(bars), RIBBON)
-    e = [F.col(f"ema_{n}") for n in RIBBON]
+    d = with_recurrences(with_atr(bars), ribbon)
+    e = [F.col(f"ema_{n}") for n in ribbon]
     score = sum((F.signum(a - b) for a, b in zip(e, e[1:])), F.lit(0.0))
     d = d.withColumn("score", score)
     d = d.withColumn("width", F.when(e[-1].isNotNull(), F.try_divide(F.greatest(*e) - F.least(*e), F.col("atr"))))
-    d = d.withColumn("slope", F.try_divide(F.col(f"ema_{SLOPE_EMA}") - F.lag(f"ema_{SLOPE_EMA}", SLOPE_LAG).over(ordered()), F.col("atr")))
+    d = d.withColumn("slope", F.try_divide(F.col(f"ema_{slope_ema}") - F.lag(f"ema_{slope_ema}", slope_lag).over(ordered()), F.col("atr")))
     d = d.withColumn("pct", rank_in_window("width", window))
     d = d.withColumns(
         {
-            "order_level": hysteresis(F.col("score"), *ORDER, -ORDER[0], -ORDER[1]),
+            "order_level": hysteresis(F.col("score"), *order, -order[0], -order[1]),
             "width_level": hysteresis(F.col("pct"), *WIDE, *NARROW, 2, 1, 0),
             "slope_level": hysteresis(F.col("slope"), *SLOPE, -SLOPE[0], -SLOPE[1]),
         }

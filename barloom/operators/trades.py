@@ -50,26 +50,33 @@ def execution_bars(m15: DataFrame, frame: str, rates: DataFrame | None = None) -
     return d.select("symbol", "exec_idx", "bar_idx", "is_last", "rate", "open", "high", "low", "close", "day_id")
 
 
-def paths(bars: DataFrame, execs: DataFrame, signals: DataFrame, rules: Rules) -> DataFrame:
+def paths(bars: DataFrame, execs: DataFrame, signals: DataFrame, rules: Rules, exits: DataFrame | None = None) -> DataFrame:
     """A row per candidate and execution bar of its longest life: at most ``hold`` bars each, by equi-joins.
 
     signals: symbol, strategy, t, dir, stop, target, hold, trail, delay. bars: symbol, bar_idx, atr, exec_start,
-    exec_end, exit_sig.
+    exec_end, exit_sig; with a column cost_rel, the signal bar's relative cost comes on top of the rules'. exits: symbol,
+    strategy, bar_idx of exit signals that hold for one strategy, in place of exit_sig. execs: with a column rate_abs, both
+    sides pay it.
     """
+    banded = "cost_rel" in bars.columns
     last_bar = bars.groupBy("symbol").agg((F.max("bar_idx") + 1).alias("t1"))
-    c = signals.join(bars.select("symbol", F.col("bar_idx").alias("t"), "atr"), ["symbol", "t"]).join(last_bar, "symbol").filter("atr > 0")
+    c = signals.join(bars.select("symbol", F.col("bar_idx").alias("t"), "atr", *(["cost_rel"] if banded else [])), ["symbol", "t"]).join(last_bar, "symbol").filter("atr > 0")
     c = c.withColumn("e", F.col("t") + 1 + F.col("delay")).filter("e < t1").withColumn("last", F.least(F.col("e") + F.col("hold") - 1, F.col("t1") - 1))
     c = c.withColumn("timed", F.col("e") + F.col("hold") - 1 <= F.col("t1") - 1)
     c = c.join(bars.select("symbol", F.col("bar_idx").alias("e"), F.col("exec_start").alias("k0")), ["symbol", "e"])
     c = c.join(bars.select("symbol", F.col("bar_idx").alias("last"), F.col("exec_end").alias("k1")), ["symbol", "last"])
     c = c.join(execs.select("symbol", F.col("exec_idx").alias("k0"), F.col("open").alias("entry")), ["symbol", "k0"])
-    c = c.withColumn("risk", F.col("stop") * F.col("atr")).withColumn("cst", rules.cost + rules.cost_rel * F.col("entry"))
+    c = c.withColumn("risk", F.col("stop") * F.col("atr")).withColumn("cst", rules.cost + (rules.cost_rel + F.col("cost_rel") if banded else F.lit(rules.cost_rel)) * F.col("entry"))
     c = c.withColumn("frac", F.least(F.lit(rules.risk_frac), rules.max_lev * F.col("risk") / F.col("entry")))
     p = c.withColumn("exec_idx", F.explode(F.sequence("k0", F.col("k1") - 1))).join(execs, ["symbol", "exec_idx"])
-    p = p.join(bars.select("symbol", "bar_idx", "exit_sig"), ["symbol", "bar_idx"])
+    if exits is None:
+        p = p.join(bars.select("symbol", "bar_idx", "exit_sig"), ["symbol", "bar_idx"])
+    else:
+        p = p.join(exits.select(*PER, "bar_idx", F.lit(True).alias("exit_sig")), [*PER, "bar_idx"], "left").withColumn("exit_sig", F.coalesce("exit_sig", F.lit(False)))
     w = Window.partitionBy(*PER, "t").orderBy("exec_idx")
     so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    pay = F.when(F.col("exec_idx") > F.col("k0"), -F.col("dir") * F.col("rate") * F.col("open")).otherwise(0.0)
+    both = F.col("rate_abs") if "rate_abs" in execs.columns else F.lit(0.0)
+    pay = F.when(F.col("exec_idx") > F.col("k0"), (-F.col("dir") * F.col("rate") - both) * F.col("open")).otherwise(0.0)
     p = p.withColumn("pay", pay).withColumn("pay", F.when(F.col("pay") < 0, F.col("pay") * rules.funding_mult).otherwise(F.col("pay")))
     p = p.withColumns(
         {
@@ -229,29 +236,23 @@ def flagship_breakout(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"flagship_breakout": flagship_breakout, "trades_outcomes": trades_outcomes, "trades_chain": trades_chain, "trades_metrics": trades_metrics}
 
 
-def _world_sql(own: bool, rules: Rules) -> str:
-    specs = ", ".join(f"('{s}', {d}, {a}, {b}, {h}, {tr}, {de})" for s, d, a, b, h, tr, de in (SPECS[:1] if own else SPECS))
-    w = lambda n, b="CURRENT ROW": f"OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n} PRECEDING AND {b})"
-    ex = (
-        "ex AS (SELECT symbol, bar_idx AS exec_idx, bar_idx, true AS is_last, 0.0 AS rate, open, high, low, close, day_id FROM a)"
-        if own
-        else """fu AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS bucket, first((json_extract_string(props, '$.k')::DOUBLE - 50) / 1e5 ORDER BY ts, event_id) AS rate FROM events WHERE hour(ts) % 8 = 0 GROUP BY 1, 2),
+#: Hourly rates fu, and execution bars ex of the bars a.
+EXECS_SQL = """fu AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS bucket, first((json_extract_string(props, '$.k')::DOUBLE - 50) / 1e5 ORDER BY ts, event_id) AS rate FROM events WHERE hour(ts) % 8 = 0 GROUP BY 1, 2),
 ex AS (SELECT m.symbol, m.exec_idx, a.bar_idx, m.exec_idx = a.exec_end - 1 AS is_last, CASE WHEN m.exec_idx = a.exec_start THEN coalesce(fu.rate, 0) ELSE 0 END AS rate, m.open, m.high, m.low, m.close, m.day_id
  FROM m15 m JOIN a ON m.symbol = a.symbol AND m.exec_idx >= a.exec_start AND m.exec_idx < a.exec_end LEFT JOIN fu ON fu.symbol = a.symbol AND fu.bucket = a.bucket)"""
-    )
+
+
+def followed_sql(rules: Rules, own: bool = False, leaving: str = "sg.exit_sig", joined: str = "JOIN sg ON sg.symbol = ex.symbol AND sg.bar_idx = ex.bar_idx", cost: str = "", both: str = "0") -> str:
+    """From candidates c0 over bars a and execution bars ex to chained trades ch."""
     k0, k1 = ("b.bar_idx", "b.bar_idx + 1") if own else ("b.exec_start", "b.exec_end")
-    return f"""{BASE}, {ATR_SQL},
-sg AS (SELECT *, CASE WHEN bar_idx >= 20 THEN close > max(high) {w(20, '1 PRECEDING')} END AS up, CASE WHEN bar_idx >= 20 THEN close < min(low) {w(20, '1 PRECEDING')} END AS down,
- coalesce(CASE WHEN bar_idx >= 19 THEN abs(close - avg(close) {w(19)}) < 0.05 * atr END, false) AS exit_sig, max(bar_idx) OVER (PARTITION BY symbol) + 1 AS t1 FROM a),
-sp(strategy, dir, stop, target, hold, trail, delay) AS (VALUES {specs}), {ex},
-c0 AS (SELECT sg.symbol, strategy, bar_idx AS t, dir, stop, target, hold, trail, atr, t1, bar_idx + 1 + delay AS e FROM sg, sp WHERE atr > 0 AND CASE WHEN dir > 0 THEN up ELSE down END),
-c1 AS (SELECT c0.*, least(e + hold - 1, t1 - 1) AS last, e + hold - 1 <= t1 - 1 AS timed FROM c0 WHERE e < t1),
+    cst = f"{rules.cost} + ({rules.cost_rel}{cost}) * ex.open"
+    return f"""c1 AS (SELECT c0.*, least(e + hold - 1, t1 - 1) AS last, e + hold - 1 <= t1 - 1 AS timed FROM c0 WHERE e < t1),
 c2 AS (SELECT c1.*, {k0} AS k0 FROM c1 JOIN a b ON b.symbol = c1.symbol AND b.bar_idx = c1.e),
 c3 AS (SELECT c2.*, {k1} AS k1 FROM c2 JOIN a b ON b.symbol = c2.symbol AND b.bar_idx = c2.last),
-c AS (SELECT c3.*, ex.open AS entry, stop * atr AS risk, {rules.cost} + {rules.cost_rel} * ex.open AS cst, least({rules.risk_frac}, {rules.max_lev} * stop * atr / ex.open) AS frac, ex.open - dir * stop * atr AS stop0, ex.open + dir * target * atr AS goal
+c AS (SELECT c3.*, ex.open AS entry, stop * atr AS risk, {cst} AS cst, least({rules.risk_frac}, {rules.max_lev} * stop * atr / ex.open) AS frac, ex.open - dir * stop * atr AS stop0, ex.open + dir * target * atr AS goal
  FROM c3 JOIN ex ON ex.symbol = c3.symbol AND ex.exec_idx = k0),
-p0 AS (SELECT c.*, ex.exec_idx, ex.bar_idx, is_last AND sg.exit_sig AS leaving, ex.open, ex.high, ex.low, ex.close, ex.day_id, CASE WHEN ex.exec_idx > k0 THEN -dir * rate * ex.open ELSE 0 END AS pay
- FROM c JOIN ex ON ex.symbol = c.symbol AND ex.exec_idx BETWEEN k0 AND k1 - 1 JOIN sg ON sg.symbol = ex.symbol AND sg.bar_idx = ex.bar_idx),
+p0 AS (SELECT c.*, ex.exec_idx, ex.bar_idx, is_last AND {leaving} AS leaving, ex.open, ex.high, ex.low, ex.close, ex.day_id, CASE WHEN ex.exec_idx > k0 THEN (-dir * rate - {both}) * ex.open ELSE 0 END AS pay
+ FROM c JOIN ex ON ex.symbol = c.symbol AND ex.exec_idx BETWEEN k0 AND k1 - 1 {joined}),
 p1 AS (SELECT *, sum(CASE WHEN pay < 0 THEN pay * {rules.funding_mult} ELSE pay END) OVER s AS fund, max(high) OVER u AS hi, min(low) OVER u AS lo, coalesce(lag(leaving) OVER s, false) AS pending FROM p0
  WINDOW s AS (PARTITION BY symbol, strategy, t ORDER BY exec_idx), u AS (PARTITION BY symbol, strategy, t ORDER BY exec_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 p AS (SELECT *, CASE WHEN trail = 0 OR hi IS NULL THEN stop0 WHEN dir > 0 THEN greatest(stop0, greatest(hi, entry) - trail * atr) ELSE least(stop0, least(lo, entry) + trail * atr) END AS level FROM p1),
@@ -265,6 +266,22 @@ ch AS (SELECT nx.*, 1.0::DOUBLE AS equity_before, 1 + frac * r AS equity, CASE W
  UNION ALL SELECT nx.*, ch.equity, ch.equity * (1 + nx.frac * nx.r), CASE WHEN nx.r < 0 THEN ch.losses + 1 ELSE 0 END FROM ch JOIN nx ON nx.symbol = ch.symbol AND nx.strategy = ch.strategy AND nx.t = ch.following)"""
 
 
+def _world_sql(own: bool, rules: Rules) -> str:
+    specs = ", ".join(f"('{s}', {d}, {a}, {b}, {h}, {tr}, {de})" for s, d, a, b, h, tr, de in (SPECS[:1] if own else SPECS))
+    w = lambda n, b="CURRENT ROW": f"OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n} PRECEDING AND {b})"
+    ex = (
+        "ex AS (SELECT symbol, bar_idx AS exec_idx, bar_idx, true AS is_last, 0.0 AS rate, open, high, low, close, day_id FROM a)"
+        if own
+        else EXECS_SQL
+    )
+    return f"""{BASE}, {ATR_SQL},
+sg AS (SELECT *, CASE WHEN bar_idx >= 20 THEN close > max(high) {w(20, '1 PRECEDING')} END AS up, CASE WHEN bar_idx >= 20 THEN close < min(low) {w(20, '1 PRECEDING')} END AS down,
+ coalesce(CASE WHEN bar_idx >= 19 THEN abs(close - avg(close) {w(19)}) < 0.05 * atr END, false) AS exit_sig, max(bar_idx) OVER (PARTITION BY symbol) + 1 AS t1 FROM a),
+sp(strategy, dir, stop, target, hold, trail, delay) AS (VALUES {specs}), {ex},
+c0 AS (SELECT sg.symbol, strategy, bar_idx AS t, dir, stop, target, hold, trail, atr, t1, bar_idx + 1 + delay AS e FROM sg, sp WHERE atr > 0 AND CASE WHEN dir > 0 THEN up ELSE down END), {followed_sql(rules, own)}"""
+
+
+
 _MET = f"""{_world_sql(False, RULES)},
 dd AS (SELECT *, 1 - equity / greatest(1, max(equity) OVER (PARTITION BY symbol, strategy ORDER BY t)) AS drawdown FROM ch),
 de AS (SELECT symbol, strategy, day_id, last(equity ORDER BY t) AS eq FROM ch GROUP BY 1, 2, 3),
