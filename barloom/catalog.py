@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import features, predicates
-from .operators import audit, bars, populations, portfolio, rules, states, stats, trades, worlds
+from .operators import audit, bars, controls, populations, portfolio, rules, states, stats, trades, worlds
 from .plans import search
 
-MODULES = (bars, features, predicates, states, trades, stats, audit, portfolio, search, worlds, populations, rules)
+MODULES = (bars, features, predicates, states, trades, stats, audit, portfolio, search, worlds, populations, rules, controls)
 
 
 def queries() -> dict:
