@@ -181,21 +181,31 @@ SPECS = [("long_breakout", 1, 1.5, 2.0, 24, 0.0, 0), ("short_breakdown", -1, 1.0
 RULES = Rules(cost=0.05, cost_rel=0.001, funding_mult=1.5, risk_frac=0.005, max_lev=5.0)
 
 
+def breakouts(bars: DataFrame) -> DataFrame:
+    """Bars with ATR, breaks of the last 20 bars' range (up, down) and a close near their mean as exit signal."""
+    b = with_atr(bars)
+    mean = full(F.avg("close").over(_over(20)), 20)
+    b = b.withColumns({"up": F.col("close") > full(F.max("high").over(_over(20, 1)), 20, "high", 1), "down": F.col("close") < full(F.min("low").over(_over(20, 1)), 20, "low", 1), "mean": mean})
+    return b.withColumns({"exit_sig": F.coalesce(F.abs(F.col("close") - F.col("mean")) < 0.05 * F.col("atr"), F.lit(False))})
+
+
+def spec_signals(bars: DataFrame) -> DataFrame:
+    """Signals of ``SPECS`` on bars with breakouts."""
+    names = ("strategy", "dir", "stop", "target", "hold", "trail", "delay")
+    specs = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, s)]) for s in SPECS])
+    fires = F.when(F.col("dir") > 0, F.col("up")).otherwise(F.col("down"))
+    return bars.select("symbol", F.col("bar_idx").alias("t"), "up", "down", F.inline(specs)).filter(fires).drop("up", "down")
+
+
 def _world(spark, sf_dir: str, own_bars: bool = False):
     """Bars with ATR and signals, execution bars and specs of the queries. Bars are written once: candidates, paths and
     metrics each read them, and the tape is scanned for them only here."""
     m15 = written(m15_of(spark, sf_dir))
-    b = with_atr(frame_bars(m15, "h1"))
-    mean = full(F.avg("close").over(_over(20)), 20)
-    b = b.withColumns({"up": F.col("close") > full(F.max("high").over(_over(20, 1)), 20, "high", 1), "down": F.col("close") < full(F.min("low").over(_over(20, 1)), 20, "low", 1), "mean": mean})
-    b = b.withColumns({"exit_sig": F.coalesce(F.abs(F.col("close") - F.col("mean")) < 0.05 * F.col("atr"), F.lit(False))})
+    b = breakouts(frame_bars(m15, "h1"))
     if own_bars:
         b = b.withColumns({"exec_start": F.col("bar_idx"), "exec_end": F.col("bar_idx") + 1})
     b = written(b)
-    names = ("strategy", "dir", "stop", "target", "hold", "trail", "delay")
-    specs = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, s)]) for s in SPECS])
-    fires = F.when(F.col("dir") > 0, F.col("up")).otherwise(F.col("down"))
-    signals = b.select("symbol", F.col("bar_idx").alias("t"), "up", "down", F.inline(specs)).filter(fires).drop("up", "down")
+    signals = spec_signals(b)
     if own_bars:
         execs = b.select("symbol", F.col("bar_idx").alias("exec_idx"), "bar_idx", F.lit(True).alias("is_last"), F.lit(0.0).alias("rate"), "open", "high", "low", "close", "day_id")
     else:
@@ -236,6 +246,9 @@ def flagship_breakout(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"flagship_breakout": flagship_breakout, "trades_outcomes": trades_outcomes, "trades_chain": trades_chain, "trades_metrics": trades_metrics}
 
 
+_W = lambda n, b="CURRENT ROW": f"OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n} PRECEDING AND {b})"
+BREAKOUTS_SQL = f"""sg AS (SELECT *, CASE WHEN bar_idx >= 20 THEN close > max(high) {_W(20, '1 PRECEDING')} END AS up, CASE WHEN bar_idx >= 20 THEN close < min(low) {_W(20, '1 PRECEDING')} END AS down,
+ coalesce(CASE WHEN bar_idx >= 19 THEN abs(close - avg(close) {_W(19)}) < 0.05 * atr END, false) AS exit_sig, max(bar_idx) OVER (PARTITION BY symbol) + 1 AS t1 FROM a)"""
 #: Hourly rates fu, and execution bars ex of the bars a.
 EXECS_SQL = """fu AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS bucket, first((json_extract_string(props, '$.k')::DOUBLE - 50) / 1e5 ORDER BY ts, event_id) AS rate FROM events WHERE hour(ts) % 8 = 0 GROUP BY 1, 2),
 ex AS (SELECT m.symbol, m.exec_idx, a.bar_idx, m.exec_idx = a.exec_end - 1 AS is_last, CASE WHEN m.exec_idx = a.exec_start THEN coalesce(fu.rate, 0) ELSE 0 END AS rate, m.open, m.high, m.low, m.close, m.day_id
@@ -268,15 +281,13 @@ ch AS (SELECT nx.*, 1.0::DOUBLE AS equity_before, 1 + frac * r AS equity, CASE W
 
 def _world_sql(own: bool, rules: Rules) -> str:
     specs = ", ".join(f"('{s}', {d}, {a}, {b}, {h}, {tr}, {de})" for s, d, a, b, h, tr, de in (SPECS[:1] if own else SPECS))
-    w = lambda n, b="CURRENT ROW": f"OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n} PRECEDING AND {b})"
     ex = (
         "ex AS (SELECT symbol, bar_idx AS exec_idx, bar_idx, true AS is_last, 0.0 AS rate, open, high, low, close, day_id FROM a)"
         if own
         else EXECS_SQL
     )
     return f"""{BASE}, {ATR_SQL},
-sg AS (SELECT *, CASE WHEN bar_idx >= 20 THEN close > max(high) {w(20, '1 PRECEDING')} END AS up, CASE WHEN bar_idx >= 20 THEN close < min(low) {w(20, '1 PRECEDING')} END AS down,
- coalesce(CASE WHEN bar_idx >= 19 THEN abs(close - avg(close) {w(19)}) < 0.05 * atr END, false) AS exit_sig, max(bar_idx) OVER (PARTITION BY symbol) + 1 AS t1 FROM a),
+{BREAKOUTS_SQL},
 sp(strategy, dir, stop, target, hold, trail, delay) AS (VALUES {specs}), {ex},
 c0 AS (SELECT sg.symbol, strategy, bar_idx AS t, dir, stop, target, hold, trail, atr, t1, bar_idx + 1 + delay AS e FROM sg, sp WHERE atr > 0 AND CASE WHEN dir > 0 THEN up ELSE down END), {followed_sql(rules, own)}"""
 
