@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .functions import features, predicates
-from .operators import audit, bars, controls, populations, portfolio, rules, states, stats, trades, venues, worlds
+from .operators import audit, bars, controls, hypotheses, populations, portfolio, rules, states, stats, trades, venues, worlds
 from .plans import search
 
-MODULES = (bars, features, predicates, states, trades, stats, audit, portfolio, search, worlds, populations, rules, controls, venues)
+MODULES = (bars, features, predicates, states, trades, stats, audit, portfolio, search, worlds, populations, rules, controls, venues, hypotheses)
 
 
 def queries() -> dict:

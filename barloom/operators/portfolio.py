@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,39 +50,50 @@ def cross_section(d: DataFrame, score: str) -> DataFrame:
     return d.withColumn("weight", F.coalesce(0.5 * F.col("side") * inverse / F.sum(inverse).over(Window.partitionBy("day", "side")), F.lit(0.0))).drop("ok", "side")
 
 
-def accounted(d: DataFrame, cost: float = COST, pay_mult: float = 1.0) -> DataFrame:
-    """day, ret, turnover of the holdings: they earn the day's returns and carry, drift, and are then moved to the day's
-    targets (``rebalance``), which earn from the next day on. The renormalisation couples all assets of a day, so it
-    is a recurrence over days: one group per portfolio (a hypothesis under a scenario), as long as its calendar. A column
-    ``cost`` takes the place of the argument."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "asset"])
-        hold: dict[str, float] = {}
-        rows = []
-        for day, part in pdf.groupby("day", sort=True):
-            r, c = dict(zip(part["asset"], part["ret"])), dict(zip(part["asset"], part["carry"]))
-            pay = sum(p * (pay_mult if p < 0 else 1.0) for p in (h * c.get(a, 0.0) for a, h in hold.items()))
-            gain = sum(h * r.get(a, 0.0) for a, h in hold.items()) + pay
-            hold = {a: h * (1 + r.get(a, 0.0)) / (1 + gain) for a, h in hold.items()}
-            moved = 0.0
-            if part["rebalance"].any():
-                target = dict(zip(part["asset"], part["weight"]))
-                moved = sum(abs(target.get(a, 0.0) - hold.get(a, 0.0)) for a in {*target, *hold})
-                hold = {a: w for a, w in target.items() if w}
-            rows.append((part["portfolio"].iloc[0], day, gain - moved * float(part["cost"].iloc[0]), moved))
-        return pd.DataFrame(rows, columns=["portfolio", "day", "ret", "turnover"])
-
-    d = d if "cost" in d.columns else d.withColumn("cost", F.lit(cost))
-    return d.select("portfolio", "day", "asset", "ret", "carry", "weight", "rebalance", "cost").groupBy("portfolio").applyInPandas(run, "portfolio string, day date, ret double, turnover double")
+def held(d: DataFrame, pay_mult: float = 1.0) -> DataFrame:
+    """portfolio, day, price, carry, gain, turnover, paid of the holdings of a panel (portfolio, day, asset, ret, weight,
+    rebalance, cost; carry per unit of holding; carry_abs, if there is one, is paid per unit of its size).
+
+    Holdings earn the day's returns and carry, drift, and are then moved to the day's targets, which earn from the next day on.
+    Between two moves an asset's value is its target times a product of its own returns, and the account's is one plus the sum
+    of what its assets earned; both start anew at each move, so all is windows over a stretch between moves and nothing
+    follows a portfolio day by day. Sums over assets are combined map-side. A column ``pay_mult`` takes the place of the
+    argument; what is paid counts so many times. An account that has lost more than all goes on by the same algebra, as its
+    returns are asked for; ``controls.account_figures`` ends it.
+    """
+    owed = F.col("carry_abs") if "carry_abs" in d.columns else F.lit(0.0)
+    mult = F.col("pay_mult") if "pay_mult" in d.columns else F.lit(pay_mult)
+    own = Window.partitionBy("portfolio", "asset").orderBy("day")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.when(F.col("rebalance"), F.coalesce("weight", F.lit(0.0)))
+    d = d.withColumns({"stretch": F.count(moved).over(before), "base": F.coalesce(F.last(moved, ignorenulls=True).over(before), F.lit(0.0))})
+    inside = Window.partitionBy("portfolio", "asset", "stretch").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.max((F.col("ret") <= -1).cast("int")).over(inside), F.lit(0)) == 1
+    grown = F.when(gone, 0.0).otherwise(F.exp(F.coalesce(F.sum(F.when(F.col("ret") > -1, F.log1p("ret"))).over(inside), F.lit(0.0))))
+    d = d.withColumn("n", F.col("base") * grown)
+    d = d.withColumns({"flow": F.col("n") * F.col("carry") - F.abs("n") * owed, "after": F.col("n") * F.greatest(1 + F.col("ret"), F.lit(0.0))})
+    d = d.withColumn("flow", F.when(F.col("flow") < 0, F.col("flow") * mult).otherwise(F.col("flow")))
+    day = d.groupBy("portfolio", "day").agg(F.sum(F.col("n") * F.col("ret")).alias("price"), F.sum("flow").alias("flow"), F.bool_or("rebalance").alias("moves"))
+    life = Window.partitionBy("portfolio").orderBy("day")
+    day = day.withColumn("stretch", F.coalesce(F.count_if("moves").over(life.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    so_far = Window.partitionBy("portfolio", "stretch").orderBy("day")
+    day = day.withColumn("value", 1 + F.sum(F.col("price") + F.col("flow")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    day = day.withColumn("start", F.coalesce(F.lag("value").over(so_far), F.lit(1.0)))
+    rows = d.filter("rebalance").join(day.filter("moves").select("portfolio", "day", "value"), ["portfolio", "day"])
+    target = F.coalesce("weight", F.lit(0.0))
+    step = F.abs(target - F.coalesce(F.try_divide("after", "value"), F.lit(0.0)))
+    steps = rows.groupBy("portfolio", "day").agg(F.sum(step).alias("turnover"), F.sum(step * F.col("cost")).alias("paid"))
+    per = lambda c: F.coalesce(F.try_divide(c, F.col("start")), F.lit(0.0))
+    out = day.join(steps, ["portfolio", "day"], "left")
+    return out.select(
+        "portfolio", "day", per(F.col("price")).alias("price"), per(F.col("flow")).alias("carry"), per(F.col("price") + F.col("flow")).alias("gain"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.coalesce("paid", F.lit(0.0)).alias("paid")
+    )
 
 
-def drawdown(d: DataFrame, by: str = "portfolio") -> DataFrame:
-    """Lowest ratio of equity to its running peak, as a negative number; the peak starts at 1."""
-    w = Window.partitionBy(by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(w)))
-    d = d.withColumn("dd", F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)) - 1)
-    return d.groupBy(by).agg(F.min("dd").alias("max_dd"), F.max_by("equity", "day").alias("equity"))
+def accounted(d: DataFrame, cost: float = COST, pay_mult: float = 1.0) -> DataFrame:
+    """portfolio, day, ret, turnover of ``held``, costs taken from the day's return. A column ``cost`` takes the place of the argument."""
+    d = d if "cost" in d.columns else d.withColumn("cost", F.lit(cost))
+    return held(d, pay_mult).select("portfolio", "day", (F.col("gain") - F.col("paid")).alias("ret"), "turnover")
 
 
 def _panel(spark, sf_dir: str) -> DataFrame:
@@ -111,7 +121,7 @@ def _weekly(spark, sf_dir: str) -> DataFrame:
 
 
 def portfolio_scenarios(spark, sf_dir: str) -> DataFrame:
-    """The trend portfolio under so many times the cost, each scenario a group of its own: sum, deviation and worst of the daily returns (the
+    """The trend portfolio under so many times the cost: sum, deviation and worst of the daily returns (the
     tape's moves are too wild to compound), turnover."""
     each = F.array(*[F.struct(F.lit(f"trend x{m}").alias("portfolio"), F.lit(COST * m).alias("cost")) for m in SCENARIOS])
     d = accounted(_weekly(spark, sf_dir).drop("portfolio").select("*", F.inline(each))).groupBy("portfolio")

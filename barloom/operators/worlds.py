@@ -5,6 +5,8 @@ Randomness is a rule: an order or a start comes from the md5 of a seed and an in
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,15 +62,34 @@ def planted(s: DataFrame, trigger: str, drift: float = DRIFT, horizon: int = HOR
     return s.withColumn("c", F.col("c") + F.when(F.col("on") == 1, F.lit(drift)).otherwise(-back))
 
 
+def edged(s: DataFrame, trigger: str, gross: float, horizon: int = HORIZON) -> DataFrame:
+    """Each bar that follows a trigger within ``horizon`` bars gains gross / horizon of its open in prices, uncompensated. s: shapes with
+    the bars' open."""
+    on = F.coalesce(F.max(F.col(trigger).cast("int")).over(ordered().rowsBetween(-horizon, -1)), F.lit(0))
+    return s.withColumn("c", F.col("c") + F.when(on == 1, F.log1p(F.lit(gross / horizon) / F.col("open"))).otherwise(0.0))
+
+
+def persistent(s: DataFrame, phi: float) -> DataFrame:
+    """Shapes whose moves (gap and body) follow a first-order autoregression: the move of a bar gains phi times the whole move of
+    the bar before. Whole moves are sums of phi^i times the moves i bars back, so it is one window; terms below 1e-18 are left
+    out."""
+    if not 0 < abs(phi) < 1:
+        raise ValueError("phi must lie between -1 and 1, without 0")
+    terms = math.ceil(math.log(1e-18) / math.log(abs(phi)))
+    move = F.col("gap") + F.col("c")
+    gained = sum((phi**i * F.coalesce(F.lag(move, i).over(ordered()), F.lit(0.0)) for i in range(2, terms + 1)), phi * F.coalesce(F.lag(move, 1).over(ordered()), F.lit(0.0)))
+    return s.withColumn("c", F.col("c") + gained)
+
+
 def block_bootstrap(d: DataFrame, by: str = "symbol", order: str = "day", x: str = "ret", resamples: int = RESAMPLES, block: int = BLOCK) -> DataFrame:
-    """Mean of each resample: circular blocks whose starts come from the seed. Starts are joined to rows by place, so a
+    """Mean and sample deviation of each resample (by, r, mean, sd): circular blocks whose starts come from the seed. Starts are joined to rows by place, so a
     resample costs its own length and nothing is gathered."""
     rows = d.select(by, F.col(x).alias("x"), (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).alias("i"))
     n = rows.groupBy(by).agg(F.count("*").alias("n"))
     starts = n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("b", F.explode(F.expr(f"sequence(0, cast((n - 1) div {block} as int))")))
     at = F.conv(F.substring(shuffled(F.col("r").cast("string"), F.col("b").cast("string")), 1, 7), 16, 10).cast("long") % F.col("n")
     picks = starts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).filter(F.col("b") * block + F.col("k") < F.col("n")).withColumn("i", (at + F.col("k")) % F.col("n"))
-    return picks.join(rows, [by, "i"]).groupBy(by, "r").agg(F.avg("x").alias("mean"))
+    return picks.join(rows, [by, "i"]).groupBy(by, "r").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
 
 
 def world_permuted(spark, sf_dir: str) -> DataFrame:
@@ -98,7 +119,21 @@ def buy_and_hold(spark, sf_dir: str, cost: float = 0.002) -> DataFrame:
     return d.select("symbol", "year", "n", F.round(F.col("b") / F.col("a") - 1 - cost, 6).alias("ret"))
 
 
-QUERIES = {f.__name__: f for f in (world_permuted, world_planted, world_day_blocks, bootstrap_means, buy_and_hold)}
+PHI, GROSS = 0.3, 2.0
+
+
+def world_persistent(spark, sf_dir: str) -> DataFrame:
+    """The permuted world with first-order persistence."""
+    return persistent(permuted(shapes(h1_of(spark, sf_dir))), PHI).select("symbol", "bar_idx", F.round("c", 6).alias("c"))
+
+
+def world_edged(spark, sf_dir: str) -> DataFrame:
+    bars = h1_of(spark, sf_dir)
+    s = shapes(bars).join(bars.select("symbol", "bar_idx", "open"), ["symbol", "bar_idx"]).withColumn("fires", F.col("c") > 0.5)
+    return edged(s, "fires", GROSS).select("symbol", "bar_idx", F.round("c", 6).alias("c"))
+
+
+QUERIES = {f.__name__: f for f in (world_permuted, world_planted, world_persistent, world_edged, world_day_blocks, bootstrap_means, buy_and_hold)}
 
 _S = BASE.replace("RECURSIVE ", "") + """, s AS (SELECT symbol, bar_idx, coalesce(ln(open / lag(close) OVER w), 0) AS gap, ln(high / open) AS h, ln(low / open) AS l, ln(close / open) AS c, first_value(open) OVER w AS o0 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx))"""
 ORACLE = {
@@ -107,6 +142,11 @@ o AS (SELECT *, ln(o0) + coalesce(sum(gap + c) OVER (PARTITION BY symbol ORDER B
 SELECT symbol, bar_idx, round(lo, 6) AS open, round(lo + greatest(h, c, 0), 6) AS high, round(lo + least(l, c, 0), 6) AS low, round(lo + c, 6) AS close FROM o""",
     "world_planted": f"""{_S}, tr AS (SELECT *, coalesce(max((c > 0.5)::INT) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {HORIZON} PRECEDING AND 1 PRECEDING), 0) AS "on" FROM s)
 SELECT symbol, bar_idx, "on", round(c + CASE WHEN "on" = 1 THEN {DRIFT} ELSE -{DRIFT} * sum("on") OVER (PARTITION BY symbol) / sum(1 - "on") OVER (PARTITION BY symbol) END, 6) AS c FROM tr""",
+    "world_persistent": f"""{_S}, p AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY md5('{SEED}|' || symbol || '|' || bar_idx)) - 1 AS bar_idx, gap, c FROM s),
+w AS (SELECT symbol, bar_idx, c, gap + c AS whole FROM p WHERE bar_idx = 0 UNION ALL SELECT p.symbol, p.bar_idx, p.c + {PHI} * w.whole, p.gap + p.c + {PHI} * w.whole FROM w JOIN p ON p.symbol = w.symbol AND p.bar_idx = w.bar_idx + 1)
+SELECT symbol, bar_idx, round(c, 6) AS c FROM w""".replace("WITH ", "WITH RECURSIVE ", 1),
+    "world_edged": f"""{_S}, tr AS (SELECT s.*, b.open, coalesce(max((s.c > 0.5)::INT) OVER (PARTITION BY s.symbol ORDER BY s.bar_idx ROWS BETWEEN {HORIZON} PRECEDING AND 1 PRECEDING), 0) AS near FROM s JOIN b USING (symbol, bar_idx))
+SELECT symbol, bar_idx, round(c + CASE WHEN near = 1 THEN ln(1 + {GROSS} / {HORIZON} / open) ELSE 0 END, 6) AS c FROM tr""",
     "world_day_blocks": f"""{RET}, d2 AS (SELECT DISTINCT day, date_trunc('month', day) AS m FROM r), a AS (SELECT day, m, row_number() OVER (PARTITION BY m ORDER BY day) AS k FROM d2),
 b AS (SELECT day AS source_day, m, row_number() OVER (PARTITION BY m ORDER BY md5('{SEED}|' || day)) AS k FROM d2) SELECT day, source_day FROM a JOIN b USING (m, k)""",
     "bootstrap_means": f"""{RET}, x AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r),
