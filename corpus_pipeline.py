@@ -36,6 +36,7 @@ def _alone(stage):
         if not any(f"/{path.rsplit('/', 1)[1]}/" in f for path in _inner for f in files):
             delete(spark, _inner)
             _inner.clear()
+        spark._jvm.System.gc()  # lets Spark drop the shuffle files of plans that nothing holds any more
         with tables() as mine:
             out = stage(spark, docs, sf_dir)
         _inner.extend(mine)
