@@ -42,6 +42,9 @@ FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_products")
 CHUNKS = f"chunk long, doc_id array<long>, {', '.join(f'{n} array<long>' for n in FIGURES)}, groups_sha256 array<string>, groups array<string>, codes array<long>, times array<long>, links array<int>"
 
 
+_NONE = np.zeros(0, "int64")
+
+
 class Pair:
     """Both tokenizers: ids of texts, and each id's bytes."""
 
@@ -71,38 +74,43 @@ class Pair:
         # the strings of group texts: an id with the mark that follows it, by 2 * id + (last of its side)
         self.said = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"] + [f"{i}{mark}" for i in range(self.size_b) for mark in ",;"]
 
-    def ids(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both, or none where either doesn't give back the bytes of space + text."""
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of both, or none where either doesn't give back the bytes of space + text. A's tokens are runs of the text's own bytes,
+        so for them the number of bytes tells."""
         if not text:
-            return [], []
+            return _NONE, _NONE
         spaced = " " + text
         parts = spaced.split()
         # tiktoken's time grows with the square of an unsplit run
         long = max(map(len, parts), default=0) > MOST_WORD or len(spaced) - sum(map(len, parts)) > 2 * len(parts) + MOST_WORD
         a = self.whole.encode(spaced, add_special_tokens=False).ids if long else self.quick.encode_ordinary(spaced)
         b, raw = self.b.encode(text), spaced.encode()
-        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or b"".join(map(self.bytes_a.__getitem__, a)) != raw:
-            return [], []
-        return a, b
+        a = np.array(a, "int64")
+        if int(self.length_a[a].sum()) != len(raw) or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return _NONE, _NONE
+        return a, np.array(b, "int64")
 
 
 def elementary(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of the elementary intervals, the tokens that own each, and the ends that both lists share."""
-    ends = np.union1d(ends_a, ends_b)
-    of_a, of_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-    return ends, of_a, of_b, ends[(ends_a[np.minimum(of_a, len(ends_a) - 1)] == ends) & (ends_b[np.minimum(of_b, len(ends_b) - 1)] == ends)] if len(ends) else ends
+    """Ends of the elementary intervals, the tokens that own each, and whether both lists share it."""
+    both = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")  # two sorted runs: a merge
+    new = np.diff(both, prepend=-1) != 0
+    ends = both[new]
+    twice = np.diff(np.flatnonzero(new), append=len(both)) == 2
+    return ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), twice
 
 
 def chunk_row(pair: Pair, texts: list[str], keep_groups: bool = False) -> dict:
     """The figures of one chunk of texts."""
     both = [pair.ids(t) for t in texts]
     n_a, n_b = (np.array([len(x[i]) for x in both], "int64") for i in (0, 1))
-    a, b = (np.fromiter((i for x in both for i in x[j]), "int64", int(n.sum())) for j, n in ((0, n_a), (1, n_b)))
+    a, b = (np.concatenate([x[i] for x in both] or [_NONE]) for i in (0, 1))
     ends_a, ends_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
-    ends, of_a, of_b, shared = elementary(ends_a, ends_b)
+    ends, of_a, of_b, twice = elementary(ends_a, ends_b)
+    shared = ends[twice]
     codes, links, times = np.unique(a[of_a] * pair.size_b + b[of_b], return_inverse=True, return_counts=True)
     # documents end at shared ends, so groups never cross them
-    through_a, through_b = np.searchsorted(ends_a, shared, "right"), np.searchsorted(ends_b, shared, "right")
+    through_a, through_b = of_a[twice] + 1, of_b[twice] + 1
     stop = np.r_[0, ends_a][np.cumsum(n_a)]
     start = np.r_[0, stop[:-1]]
     n_groups = np.searchsorted(shared, stop, "right") - np.searchsorted(shared, start, "right")
@@ -111,7 +119,7 @@ def chunk_row(pair: Pair, texts: list[str], keep_groups: bool = False) -> dict:
     upto = np.cumsum(n_groups)
     # group texts: A's tokens of a group, then B's
     marks = np.empty(len(a) + len(b), "int64")
-    group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+    group_a, group_b = (np.repeat(np.arange(len(shared)), np.diff(n, prepend=0)) for n in (through_a, through_b))
     last_a, last_b = np.zeros(len(a), "int64"), np.zeros(len(b), "int64")
     last_a[through_a - 1], last_b[through_b - 1] = 1, 1
     marks[np.arange(len(a)) + np.r_[0, through_b][group_a]] = 2 * a + last_a
