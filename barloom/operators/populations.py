@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.features import ATR_SQL, BASE, feature_table, with_atr
 from ..functions.predicates import HOLDS, STOPS, TARGETS, Strategy, catalogue, signal_bitmaps
 from ..functions import features as ft
+from ..plans.storage import written
 from ..sources.tapes import daily_trades, funding
 from .bars import frame_bars, frame_sql, m15_of, tick_bars
+from .stats import EULER, normal_cdf_sql, normal_quantile_sql
 from .trades import Rules, execution_bars
 
 EACH = ["symbol", "strategy", "window"]
@@ -113,7 +115,9 @@ def candidates(signal: DataFrame, strategies: DataFrame, level: DataFrame, execs
     cost multiple (r_0, r_1, ...)."""
     at = lambda grid, c: F.array_position(F.array(*[F.lit(float(v)) for v in grid]), F.col(c)).cast("int")
     spec = strategies.select("strategy", "dir", "stop", "target", "hold", at(STOPS, "stop").alias("i"), at(TARGETS, "target").alias("j"), at(HOLDS, "hold").alias("h"))
-    c = signal.join(level, ["symbol", "t"]).join(spec, "strategy").join(windows, "symbol").filter(f"t >= t0 and t + {1 + delay} < t1")
+    inside = windows.select("symbol", F.explode(F.filter(F.sequence(F.col("t0"), F.greatest(F.col("t0"), F.col("t1") - 2 - delay)), lambda t: t <= F.col("t1") - 2 - delay)).alias("t"), F.struct("window", "t1", "k_end").alias("w"))
+    inside = inside.groupBy("symbol", "t").agg(F.collect_list("w").alias("ws"))  # a bar's windows, so a signal meets its own only
+    c = signal.join(level, ["symbol", "t"]).join(inside, ["symbol", "t"]).join(spec, "strategy").select("*", F.inline("ws")).drop("ws")
     up = F.col("dir") > 0
     k_stop, k_target = (F.element_at(F.when(up, F.col(f"long_{k}")).otherwise(F.col(f"short_{k}")), F.col(n)) for k, n in (("stop", "i"), ("target", "j")))
     timed = F.element_at("ends", F.col("h"))
@@ -160,6 +164,33 @@ def taken(found: DataFrame) -> DataFrame:
     return one.mapInPandas(walk, found.schema)
 
 
+def compounded(gain, so_far):
+    """Equity after each gain of a window from its start on: a product, so its logarithm is a running sum. An account that loses
+    all stays at 0."""
+    lost = F.coalesce(F.max((gain <= -1).cast("int")).over(so_far), F.lit(0)) == 1
+    return F.when(lost, 0.0).otherwise(F.exp(F.coalesce(F.sum(F.when(gain > -1, F.log1p(gain))).over(so_far), F.lit(0.0))))
+
+
+def daily_accounts(trades: DataFrame, key: list[str] = EACH, r: str = "r_0") -> DataFrame:
+    """key, day_id, ret: relative changes of each account's equity on the days with an exit."""
+    d = trades.withColumn("equity", compounded(F.col("frac") * F.col(r), Window.partitionBy(*key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.groupBy(*key, "day_id").agg(F.max_by("equity", "t").alias("eq"))
+    before = F.coalesce(F.lag("eq").over(Window.partitionBy(*key).orderBy("day_id")), F.lit(1.0))
+    return d.select(*key, "day_id", F.coalesce(F.try_divide("eq", before) - 1, F.lit(0.0)).alias("ret"))
+
+
+def daily_moments(daily: DataFrame, windows: DataFrame, key: list[str] = EACH) -> DataFrame:
+    """key, n (days of the window), sharpe (a day), skew, kurt of the daily returns, flat days included: as ``stats.moments``, but
+    from sums of the days that moved."""
+    x = F.col("ret")
+    m = daily.groupBy(*key).agg(*[F.sum(F.pow(x, F.lit(i))).alias(f"s{i}") for i in (1, 2, 3, 4)]).join(windows.select("symbol", "window", F.col("n_days").alias("n")), ["symbol", "window"])
+    a, b, c, d = (F.col(f"s{i}") / F.col("n") for i in (1, 2, 3, 4))
+    m = m.withColumns({"mu": a, "m2": b - a * a, "m3": c - 3 * a * b + 2 * a * a * a, "m4": d - 4 * a * c + 6 * a * a * b - 3 * a * a * a * a})
+    ok = (F.col("n") >= 2) & (F.col("m2") > LEAST_VAR)
+    sd = F.sqrt("m2")
+    return m.select(*key, "n", F.when(ok, F.col("mu") / sd).otherwise(0.0).alias("sharpe"), F.when(ok, F.col("m3") / (F.col("m2") * sd)).otherwise(0.0).alias("skew"), F.when(ok, F.col("m4") / (F.col("m2") * F.col("m2"))).otherwise(3.0).alias("kurt"))
+
+
 def population_metrics(trades: DataFrame, windows: DataFrame, costs: tuple[float, ...] = (1.0,), days_per_year: int = 260) -> DataFrame:
     """Per symbol, strategy, window and cost multiple: n, wins, sums of R, equity, largest drawdown of closed equity, Sharpe
     of daily returns over the window's trading days, bars held, longest run of losses, mean_r, t_stat, profit factor."""
@@ -168,8 +199,7 @@ def population_metrics(trades: DataFrame, windows: DataFrame, costs: tuple[float
     key = [*EACH, "cost"]
     w = Window.partitionBy(*key).orderBy("t")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    # equity is a product, so its logarithm is a running sum; a trade can't lose all of it
-    d = d.withColumn("equity", F.exp(F.sum(F.log1p(F.greatest(F.col("frac") * F.col("r"), F.lit(-0.999999999)))).over(so_far)))
+    d = d.withColumn("equity", compounded(F.col("frac") * F.col("r"), so_far))
     run = F.sum(F.when(F.col("r") < 0, 0).otherwise(1)).over(so_far)
     d = d.withColumns({"drawdown": 1 - F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(so_far)), "run": run})
     d = d.withColumn("losses", F.sum(F.when(F.col("r") < 0, 1).otherwise(0)).over(Window.partitionBy(*key, "run").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
@@ -179,7 +209,7 @@ def population_metrics(trades: DataFrame, windows: DataFrame, costs: tuple[float
         F.max_by("equity", "t").alias("equity"), F.max("drawdown").alias("max_dd"), F.sum(F.col("x") - F.col("e") + 1).alias("bars_held"), F.max("losses").alias("max_losses"),
     )
     daily = d.groupBy(*key, "day_id").agg(F.max_by("equity", "t").alias("eq"))
-    daily = daily.withColumn("ret", F.col("eq") / F.coalesce(F.lag("eq").over(Window.partitionBy(*key).orderBy("day_id")), F.lit(1.0)) - 1)
+    daily = daily.withColumn("ret", F.coalesce(F.try_divide("eq", F.coalesce(F.lag("eq").over(Window.partitionBy(*key).orderBy("day_id")), F.lit(1.0))) - 1, F.lit(0.0)))
     sums = daily.groupBy(*key).agg(F.sum("ret").alias("s1"), F.sum(F.col("ret") * F.col("ret")).alias("s2"))
     m = m.join(sums, key).join(windows.select("symbol", "window", "n_days"), ["symbol", "window"])
     mean, mu = F.col("sum_r") / F.col("n"), F.col("s1") / F.col("n_days")
@@ -246,28 +276,22 @@ def population(n: int = SIZE, seed: int = SEED) -> list[Strategy]:
     return list(out.values())
 
 
-def _kept(spark):
-    from ..plans.storage import written
-
-    return written
-
-
 def _names(n: int) -> list[str]:
     return [f"s{i:04d}" for i in range(n)]
 
 
 def hourly_market(spark, sf_dir: str) -> Market:
     """Hourly bars of the events' tape, executed on 15-minute bars with funding."""
-    m15 = _kept(spark)(m15_of(spark, sf_dir))
-    return Market(frame_bars(m15, "h1"), execution_bars(m15, "h1", funding(spark, sf_dir)), RULES, shared=_kept(spark))
+    m15 = written(m15_of(spark, sf_dir))
+    return Market(frame_bars(m15, "h1"), execution_bars(m15, "h1", funding(spark, sf_dir)), RULES, shared=written)
 
 
 def daily_market(spark, sf_dir: str) -> Market:
     """Daily bars of several years from the orders' tape, executed on themselves."""
-    bars = frame_bars(_kept(spark)(tick_bars(daily_trades(spark, sf_dir))), "d1").withColumn("day_date", F.to_date("bucket"))
+    bars = frame_bars(written(tick_bars(daily_trades(spark, sf_dir))), "d1").withColumn("day_date", F.to_date("bucket"))
     bars = bars.withColumns({"exec_start": F.col("bar_idx"), "exec_end": F.col("bar_idx") + 1})
     execs = bars.select("symbol", F.col("bar_idx").alias("exec_idx"), "bar_idx", F.lit(0.0).alias("rate"), "open", "high", "low", "close", "day_id")
-    return Market(bars, execs, Rules(cost_rel=0.0005, max_lev=5.0), shared=_kept(spark))
+    return Market(bars, execs, Rules(cost_rel=0.0005, max_lev=5.0), shared=written)
 
 
 def _rounded(d: DataFrame) -> DataFrame:
@@ -287,8 +311,8 @@ SPANS = [*((f"y{y}", f"{y}-01-01", f"{y + 1}-01-01") for y in range(FOLDS[0] - B
 GATES = {"n": 10, "profit_factor": 1.0, "mean_r": 0.0, "mean_r_x2": -0.05}
 
 
-def _spans(spark) -> DataFrame:
-    return spark.createDataFrame(SPANS, "window string, first string, last string").select("window", F.to_date("first").alias("first"), F.to_date("last").alias("last"))
+def _spans(spark, spans=SPANS) -> DataFrame:
+    return spark.createDataFrame(list(spans), "window string, first string, last string").select("window", F.to_date("first").alias("first"), F.to_date("last").alias("last"))
 
 
 def walk_forward(trades: DataFrame, m: DataFrame, k: int = TOP) -> DataFrame:
@@ -324,28 +348,57 @@ def walk_forward_trades(spark, sf_dir: str) -> DataFrame:
 
 DAILY = 300
 #: The funnel's stages in order: name, and its condition on a strategy's metrics by window, cost and delay.
-STAGES = ("generated", "basic", "stability", "cost_stress", "execution_stress", "walk_forward", "final")
-
-
-def funnel(m: DataFrame, delayed: DataFrame, generated: DataFrame) -> DataFrame:
-    """(symbol, stage number, stage, n): how many strategies are left after each stage. Every stage is a flag of one pass
-    over the metrics, so a stage costs no further job: enough trades and a profit in training; profits in two of its blocks;
-    still a profit at double costs; and with a bar's delay; profits in two of the three years that follow; and in the last
-    two years."""
+STAGES = ("generated", "basic", "stability", "cost_stress", "execution_stress", "walk_forward", "deflated_sharpe", "final")
+#: Windows besides the folds': the years that follow training pooled, and all that selection has seen.
+POOLS = (("forward", "1995-01-01", "1998-01-01"), ("seen", "1992-01-01", "1998-01-01"))
+#: Gates of the pooled years, and the least deflated Sharpe ratio.
+FORWARD, LEAST_DSR = {"n": 9, "profit_factor": 1.0, "mean_r": 0.0}, 0.05
+
+
+def passes(gates: dict[str, float]):
+    """Whether a row of metrics passes: n and profit factor at least (no losses: passed), mean_r above, drawdown at most."""
+    out = F.lit(True)
+    for k, v in gates.items():
+        c = F.col(k)
+        out = out & (c > v if k == "mean_r" else c <= v if k == "max_dd" else (c.isNull() | (c >= v)) if k == "profit_factor" else c >= v)
+    return F.coalesce(out, F.lit(False))
+
+
+def deflated(trades: DataFrame, m: DataFrame, windows: DataFrame, window: str = "seen") -> DataFrame:
+    """symbol, strategy, dsr: the probability that the Sharpe ratio of daily returns exceeds what the best of as many independent
+    trials would show without skill. Trials are all strategies with trades, counted by their mean correlation; the
+    variance is that of the Sharpe ratios of those with enough trades."""
+    from .stats import effective_trials, expected_largest, probabilistic
+
+    span = windows.filter(F.col("window") == window)
+    daily = written(daily_accounts(trades.filter(F.col("window") == window)))
+    mom = daily_moments(daily, span)
+    n = effective_trials(daily, span.select("symbol", "n_days"), ["symbol"])
+    active = m.filter((F.col("window") == window) & (F.col("cost") == 1.0) & (F.col("n") >= LEAST_N)).groupBy("symbol").agg(F.var_pop(F.col("sharpe") / 260**0.5).alias("var_sr"))
+    d = mom.join(n.select("symbol", "n_eff"), "symbol").join(active, "symbol")
+    d = d.withColumn("best", expected_largest(F.col("var_sr"), F.col("n_eff")))
+    return d.select("symbol", "strategy", probabilistic(F.col("best")).alias("dsr"))
+
+
+def funnel(m: DataFrame, generated: DataFrame, dsr: DataFrame) -> DataFrame:
+    """(symbol, stage number, stage, n): how many strategies are left after each stage. m: metrics by window, cost and delay.
+    Every stage is a flag of one pass over the metrics, so a stage costs no further job: gates in training; profits in two of
+    its blocks; still a profit at double costs; and with a bar's delay; profits in two of the three years that follow, and
+    gates on these years pooled; a deflated Sharpe ratio over all that selection has seen; and a profit in the last two
+    years."""
     at = lambda window, cost=1.0: (F.col("window") == window) & (F.col("cost") == cost) & (F.col("delay") == 0)
     won = F.col("mean_r") > 0
     held = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     first, later = [f"y{y}" for y in range(1992, 1995)], [f"y{y}" for y in range(1995, 1998)]
-    both = m.withColumn("delay", F.lit(0)).unionByName(delayed.withColumn("delay", F.lit(1)))
-    flags = both.groupBy("symbol", "strategy").agg(
-        held(at("train1995") & (F.col("n") >= GATES["n"]) & won).alias("basic"),
+    flags = m.groupBy("symbol", "strategy").agg(
+        held(at("train1995") & passes({k: GATES[k] for k in ("n", "profit_factor", "mean_r")})).alias("basic"),
         (F.count_if(F.col("window").isin(first) & (F.col("cost") == 1.0) & (F.col("delay") == 0) & won) >= 2).alias("stability"),
-        held(at("train1995", 2.0) & (F.col("mean_r") > 0)).alias("cost_stress"),
+        held(at("train1995", 2.0) & won).alias("cost_stress"),
         held((F.col("window") == "train1995") & (F.col("delay") == 1) & (F.col("cost") == 1.0) & won).alias("execution_stress"),
-        (F.count_if(F.col("window").isin(later) & (F.col("cost") == 1.0) & (F.col("delay") == 0) & won) >= 2).alias("walk_forward"),
+        ((F.count_if(F.col("window").isin(later) & (F.col("cost") == 1.0) & (F.col("delay") == 0) & won) >= 2) & held(at("forward") & passes(FORWARD))).alias("walk_forward"),
         held(at("late") & won).alias("final"),
     )
-    flags = generated.join(flags, ["symbol", "strategy"], "left")
+    flags = generated.join(flags, ["symbol", "strategy"], "left").join(dsr.select("symbol", "strategy", (F.col("dsr") >= LEAST_DSR).alias("deflated_sharpe")), ["symbol", "strategy"], "left")
     left, sums = F.lit(True), []
     for i, stage in enumerate(STAGES):
         left = left if stage == "generated" else left & F.coalesce(F.col(stage), F.lit(False))
@@ -353,16 +406,34 @@ def funnel(m: DataFrame, delayed: DataFrame, generated: DataFrame) -> DataFrame:
     return flags.groupBy("symbol").agg(F.array(*sums).alias("s")).select("symbol", F.inline("s"))
 
 
-def funnel_counts(spark, sf_dir: str) -> DataFrame:
+def _funnel_parts(spark, sf_dir: str):
+    """Market, windows, trades and metrics (with delay) of the funnel, each written once."""
     market = daily_market(spark, sf_dir)
-    strategies, windows = strategy_table(spark, population(DAILY), _names(DAILY)), windows_of(market.bars, _spans(spark))
-    m = market.evaluated(strategies, windows, costs=(1.0, 2.0))
-    delayed = market.evaluated(strategies, windows.filter("window = 'train1995'"), delay=1)
-    every = market.bars.select("symbol").distinct().join(strategies.select("strategy", F.lit(True).alias("any")), F.col("any"))
-    return funnel(m, delayed, every.select("symbol", "strategy"))
+    strategies = strategy_table(spark, population(DAILY), _names(DAILY))
+    windows = written(windows_of(market.bars, _spans(spark, (*SPANS, *POOLS))))
+    trades = written(market.trades(strategies, windows, costs=(1.0, 2.0)))
+    late = market.evaluated(strategies, windows.filter("window = 'train1995'"), delay=1).withColumn("delay", F.lit(1))
+    return market, strategies, windows, trades, written(population_metrics(trades, windows, (1.0, 2.0)).withColumn("delay", F.lit(0)).unionByName(late))
+
+
+def funnel_counts(spark, sf_dir: str) -> DataFrame:
+    market, strategies, windows, trades, m = _funnel_parts(spark, sf_dir)
+    every = market.bars.select("symbol").distinct().crossJoin(F.broadcast(strategies.select("strategy")))  # the population is a parameter
+    return funnel(m, every, deflated(trades, m, windows))
+
+
+def funnel_trials(spark, sf_dir: str) -> DataFrame:
+    """Per symbol: strategies with trades, their mean pairwise correlation, effective number, and the largest deflated Sharpe ratio."""
+    from .stats import effective_trials
+
+    _, _, windows, trades, m = _funnel_parts(spark, sf_dir)
+    seen = trades.filter("window = 'seen'")
+    n = effective_trials(daily_accounts(seen), windows.filter("window = 'seen'").select("symbol", "n_days"), ["symbol"])
+    best = deflated(trades, m, windows).groupBy("symbol").agg(F.max("dsr").alias("dsr"))
+    return n.join(best, "symbol").select("symbol", "series", *[F.round(c, 5).alias(c) for c in ("rho", "n_eff", "dsr")])
 
 
-QUERIES = {"strategies_light": strategies_light, "walk_forward_trades": walk_forward_trades, "funnel_counts": funnel_counts}
+QUERIES = {"strategies_light": strategies_light, "walk_forward_trades": walk_forward_trades, "funnel_counts": funnel_counts, "funnel_trials": funnel_trials}
 
 
 # the same in SQL ------------------------------------------------------------------------------------------------------
@@ -399,8 +470,9 @@ def _evaluated_sql(name: str, daily: bool, rules: Rules, delay: int, costs: tupl
     r = ", ".join(f"(dir * (px - entry) - {m} * ({rules.cost} + {rules.cost_rel} * entry) + fund) / risk AS r_{i}" for i, m in enumerate(costs))
     each = " UNION ALL ".join(f"SELECT symbol, strategy, wname, {m}::DOUBLE AS cost, t, e, x, day_id, frac, r_{i} AS r FROM {name}_k" for i, m in enumerate(costs))
     key = "symbol, strategy, wname, cost"
-    return f"""{name}_c AS (SELECT sp.*, a.symbol, a.bar_idx AS t, a.atr, a.bar_idx + {1 + delay} AS e, wn.wname, wn.t1, b2.exec_start AS k0, b2.open AS entry, sp.stop * a.atr AS risk, b2.open - dir * (sp.stop * a.atr) AS stop_px, b2.open + dir * (sp.target * a.atr) AS goal,
- 1 AS one FROM a JOIN tr ON tr.symbol = a.symbol AND tr.bar_idx = a.bar_idx JOIN sp ON len(list_filter(sp.preds, lambda i: NOT tr.truth[i + 1])) = 0 JOIN wn ON wn.symbol = a.symbol AND a.bar_idx >= wn.t0 AND a.bar_idx + {1 + delay} < wn.t1 AND {only}
+    return f"""{name}_hit AS MATERIALIZED (SELECT tr.symbol, tr.bar_idx, sp.* FROM tr JOIN sp ON len(list_filter(sp.preds, lambda i: NOT tr.truth[i + 1])) = 0),
+{name}_c AS (SELECT h.* EXCLUDE (symbol, bar_idx), a.symbol, a.bar_idx AS t, a.atr, a.bar_idx + {1 + delay} AS e, wn.wname, wn.t1, b2.exec_start AS k0, b2.open AS entry, h.stop * a.atr AS risk, b2.open - dir * (h.stop * a.atr) AS stop_px, b2.open + dir * (h.target * a.atr) AS goal,
+ 1 AS one FROM {name}_hit h JOIN a ON a.symbol = h.symbol AND a.bar_idx = h.bar_idx JOIN wn ON wn.symbol = h.symbol AND h.bar_idx >= wn.t0 AND h.bar_idx + {1 + delay} < wn.t1 AND {only}
  JOIN a b2 ON b2.symbol = a.symbol AND b2.bar_idx = a.bar_idx + {1 + delay} WHERE a.atr > 0),
 {name}_l AS (SELECT c.*, least(e + hold - 1, t1 - 1) AS last_bar, e + hold - 1 <= t1 - 1 AS timed FROM {name}_c c),
 {name}_e AS (SELECT l.*, a.exec_end - 1 AS k_last FROM {name}_l l JOIN a ON a.symbol = l.symbol AND a.bar_idx = l.last_bar),
@@ -408,7 +480,7 @@ def _evaluated_sql(name: str, daily: bool, rules: Rules, delay: int, costs: tupl
 {name}_g AS (SELECT symbol, t, e, dir, stop_px, goal, max(k_last) AS k_far FROM {name}_e GROUP BY ALL),
 {name}_f AS (SELECT p.symbol, p.t, p.dir, p.stop_px, p.goal, min(ex.exec_idx) FILTER (WHERE CASE WHEN p.dir > 0 THEN ex.low <= p.stop_px ELSE ex.high >= p.stop_px END) AS k_stop,
  min(ex.exec_idx) FILTER (WHERE CASE WHEN p.dir > 0 THEN ex.high >= p.goal ELSE ex.low <= p.goal END) AS k_goal
- FROM {name}_p p JOIN {name}_g g USING (symbol, t, e, dir, stop_px, goal) JOIN ex ON ex.symbol = p.symbol AND ex.exec_idx BETWEEN p.k0 AND g.k_far GROUP BY ALL),
+ FROM (SELECT p.*, unnest(range(p.k0, g.k_far + 1)) AS k FROM {name}_p p JOIN {name}_g g USING (symbol, t, e, dir, stop_px, goal)) p JOIN ex ON ex.symbol = p.symbol AND ex.exec_idx = p.k GROUP BY ALL),
 {name}_x AS (SELECT e.*, k_stop, k_goal, least(coalesce(k_stop, k_last), coalesce(k_goal, k_last), k_last) AS xk FROM {name}_e e JOIN {name}_f USING (symbol, t, dir, stop_px, goal)),
 {name}_y AS (SELECT x.*, ex.bar_idx AS x, ex.open, ex.close, ex.day_id, CASE WHEN dir > 0 THEN ex.pl - s.pl ELSE ex.ps - s.ps END AS fund,
  CASE WHEN xk = k_stop AND dir * (ex.open - stop_px) <= 0 THEN 2 WHEN xk = k_goal AND dir * (goal - ex.open) <= 0 THEN 4 WHEN xk = k_stop THEN 1 WHEN xk = k_goal THEN 3 WHEN timed THEN 5 ELSE 6 END AS why
@@ -419,10 +491,10 @@ def _evaluated_sql(name: str, daily: bool, rules: Rules, delay: int, costs: tupl
 {name}_h AS (SELECT symbol, strategy, wname, min(t) AS t FROM {name}_o GROUP BY 1, 2, 3 UNION ALL SELECT n.symbol, n.strategy, n.wname, n.following FROM {name}_h h JOIN {name}_n n USING (symbol, strategy, wname, t) WHERE n.following IS NOT NULL),
 {name}_k AS MATERIALIZED (SELECT o.* FROM {name}_o o JOIN {name}_h USING (symbol, strategy, wname, t)),
 {name}_u AS ({each}),
-{name}_v AS (SELECT *, exp(sum(ln(1 + frac * r)) OVER w) AS equity, sum(CASE WHEN r < 0 THEN 0 ELSE 1 END) OVER w AS run FROM {name}_u WINDOW w AS (PARTITION BY {key} ORDER BY t)),
+{name}_v AS (SELECT *, CASE WHEN max((frac * r <= -1)::INT) OVER w = 1 THEN 0 ELSE exp(coalesce(sum(CASE WHEN frac * r > -1 THEN ln(1 + frac * r) END) OVER w, 0)) END AS equity, sum(CASE WHEN r < 0 THEN 0 ELSE 1 END) OVER w AS run FROM {name}_u WINDOW w AS (PARTITION BY {key} ORDER BY t)),
 {name}_w AS (SELECT *, 1 - equity / greatest(1, max(equity) OVER (PARTITION BY {key} ORDER BY t)) AS drawdown, sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, run ORDER BY t) AS losses FROM {name}_v),
 {name}_d AS (SELECT {key}, day_id, last(equity ORDER BY t) AS eq FROM {name}_w GROUP BY ALL),
-{name}_r AS (SELECT {key}, eq / coalesce(lag(eq) OVER (PARTITION BY {key} ORDER BY day_id), 1) - 1 AS ret FROM {name}_d),
+{name}_r AS MATERIALIZED (SELECT {key}, day_id, coalesce(eq / nullif(coalesce(lag(eq) OVER (PARTITION BY {key} ORDER BY day_id), 1), 0) - 1, 0) AS ret FROM {name}_d),
 {name}_s AS (SELECT {key}, sum(ret) AS s1, sum(ret * ret) AS s2 FROM {name}_r GROUP BY ALL),
 {name}_a AS (SELECT {key}, count(*) AS n, count(*) FILTER (WHERE r > 0) AS wins, sum(r) AS sum_r, sum(r * r) AS sum_r2, sum(greatest(r, 0)) AS gross_win, sum(greatest(-r, 0)) AS gross_loss, last(equity ORDER BY t) AS equity, max(drawdown) AS max_dd,
  sum(x - e + 1)::BIGINT AS bars_held, max(losses)::BIGINT AS max_losses FROM {name}_w GROUP BY ALL),
@@ -459,16 +531,31 @@ SELECT fold, symbol, count(DISTINCT (fold, symbol, strategy)) AS selected, count
  round(CASE WHEN var_pop(r_0) > {LEAST_VAR} THEN avg(r_0) / stddev_pop(r_0) * sqrt(count(r_0)) END, 5) AS t_stat FROM j GROUP BY GROUPING SETS ((fold, symbol), (fold), ())"""
     q = lambda cond, agg="bool_or": f"coalesce({agg}({cond}), false)"
     flags = {
-        "basic": q(f"wname = 'train1995' AND cost = 1 AND delay = 0 AND n >= {GATES['n']} AND mean_r > 0"), "stability": "count(*) FILTER (WHERE wname IN ('y1992', 'y1993', 'y1994') AND cost = 1 AND delay = 0 AND mean_r > 0) >= 2",
+        "basic": q(f"wname = 'train1995' AND cost = 1 AND delay = 0 AND n >= {GATES['n']} AND mean_r > 0 AND coalesce(profit_factor, 9) >= {GATES['profit_factor']}"), "stability": "count(*) FILTER (WHERE wname IN ('y1992', 'y1993', 'y1994') AND cost = 1 AND delay = 0 AND mean_r > 0) >= 2",
         "cost_stress": q("wname = 'train1995' AND cost = 2 AND delay = 0 AND mean_r > 0"), "execution_stress": q("wname = 'train1995' AND cost = 1 AND delay = 1 AND mean_r > 0"),
-        "walk_forward": "count(*) FILTER (WHERE wname IN ('y1995', 'y1996', 'y1997') AND cost = 1 AND delay = 0 AND mean_r > 0) >= 2", "final": q("wname = 'late' AND cost = 1 AND delay = 0 AND mean_r > 0"),
+        "walk_forward": "count(*) FILTER (WHERE wname IN ('y1995', 'y1996', 'y1997') AND cost = 1 AND delay = 0 AND mean_r > 0) >= 2 AND " + q(f"wname = 'forward' AND cost = 1 AND delay = 0 AND n >= {FORWARD['n']} AND mean_r > {FORWARD['mean_r']} AND coalesce(profit_factor, 9) >= {FORWARD['profit_factor']}"), "final": q("wname = 'late' AND cost = 1 AND delay = 0 AND mean_r > 0"),
     }
     sums = " UNION ALL ".join(f"SELECT symbol, {i} AS number, '{st}' AS stage, count(*) FILTER (WHERE {' AND '.join(f'coalesce({x}, false)' for x in STAGES[1 : i + 1]) or 'true'}) AS n FROM fl GROUP BY symbol" for i, st in enumerate(STAGES))
-    stages = f"""{years}, {_evaluated_sql("q", True, rules, 0, (1.0, 2.0))}, {_evaluated_sql("z", True, rules, 1, (1.0,), "wn.wname = 'train1995'")},
-mm AS (SELECT symbol, strategy, wname, cost, n, mean_r, 0 AS delay FROM q_m UNION ALL SELECT symbol, strategy, wname, cost, n, mean_r, 1 FROM z_m),
+    pools = years.replace("VALUES " + spans, "VALUES " + ", ".join(f"('{w}', DATE '{a}', DATE '{b}')" for w, a, b in (*SPANS, *POOLS)))
+    trials = f"""{pools}, {_evaluated_sql("q", True, rules, 0, (1.0, 2.0))},
+sn AS (SELECT symbol, strategy, day_id, ret, n_days FROM q_r JOIN wn USING (symbol, wname) WHERE wname = 'seen' AND cost = 1),
+sw AS MATERIALIZED (SELECT *, sum(ret) OVER v / n_days AS a, sum(ret ** 2) OVER v / n_days AS b, sum(ret ** 3) OVER v / n_days AS c, sum(ret ** 4) OVER v / n_days AS d FROM sn WINDOW v AS (PARTITION BY symbol, strategy)),
+sm AS (SELECT symbol, strategy, n_days, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d FROM sw GROUP BY 1, 2, 3),
+sz AS MATERIALIZED (SELECT *, b - a * a AS m2, sqrt(greatest(0, b - a * a)) AS sd FROM sm), bz AS MATERIALIZED (SELECT symbol, n_days, count(*) AS series, sum(a / sd) AS still FROM sz WHERE sd > 1e-9 GROUP BY 1, 2),
+dz AS MATERIALIZED (SELECT symbol, day_id, sum(ret / sqrt(b - a * a)) AS z FROM sw WHERE sqrt(greatest(0, b - a * a)) > 1e-9 GROUP BY 1, 2),
+ne AS MATERIALIZED (SELECT symbol, series, rho, coalesce(rho + (1 - rho) * series, series) AS n_eff FROM (SELECT symbol, series, CASE WHEN series > 1 THEN ((sum((z - still) ** 2) + (n_days - count(*)) * still ** 2) / n_days - series) / (series * (series - 1)) END AS rho FROM dz JOIN bz USING (symbol) GROUP BY symbol, series, n_days, still)),
+vs AS (SELECT symbol, var_pop(sharpe / sqrt(260)) AS v FROM q_m WHERE wname = 'seen' AND cost = 1 AND n >= {LEAST_N} GROUP BY 1),
+e0 AS MATERIALIZED (SELECT symbol, v, n_eff, 1 - 1 / n_eff AS p1, 1 - 1 / (n_eff * exp(1)) AS p2 FROM ne JOIN vs USING (symbol)),
+ee AS MATERIALIZED (SELECT symbol, CASE WHEN n_eff > 1 AND v > 0 THEN sqrt(v) * ({1 - EULER} * ({normal_quantile_sql('p1')}) + {EULER} * ({normal_quantile_sql('p2')})) ELSE 0 END AS ref FROM e0),
+sk AS (SELECT symbol, strategy, n_days AS n, CASE WHEN m2 > {LEAST_VAR} THEN a / sd ELSE 0 END AS sr, CASE WHEN m2 > {LEAST_VAR} THEN (c - 3 * a * b + 2 * a ** 3) / (m2 * sd) ELSE 0 END AS skew, CASE WHEN m2 > {LEAST_VAR} THEN (d - 4 * a * c + 6 * a * a * b - 3 * a ** 4) / (m2 * m2) ELSE 3 END AS kurt FROM sz),
+sx AS MATERIALIZED (SELECT symbol, strategy, CASE WHEN n >= 2 AND 1 - skew * sr + (kurt - 1) / 4 * sr * sr > 0 THEN (sr - ref) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) END AS x FROM sk JOIN ee USING (symbol)),
+ds AS MATERIALIZED (SELECT symbol, strategy, coalesce({normal_cdf_sql('x')}, 0) AS dsr FROM sx)"""
+    stages = f"""{trials}, {_evaluated_sql("z", True, rules, 1, (1.0,), "wn.wname = 'train1995'")},
+mm AS (SELECT symbol, strategy, wname, cost, n, mean_r, profit_factor, 0 AS delay FROM q_m UNION ALL SELECT symbol, strategy, wname, cost, n, mean_r, profit_factor, 1 FROM z_m),
 f0 AS (SELECT symbol, strategy, {", ".join(f"{v} AS {k}" for k, v in flags.items())} FROM mm GROUP BY 1, 2),
-fl AS (SELECT * FROM (SELECT DISTINCT symbol FROM a) CROSS JOIN (SELECT strategy FROM sp) LEFT JOIN f0 USING (symbol, strategy)) {sums}"""
-    return {"strategies_light": light, "walk_forward_trades": forward, "funnel_counts": stages}
+fl AS (SELECT * FROM (SELECT DISTINCT symbol FROM a) CROSS JOIN (SELECT strategy FROM sp) LEFT JOIN f0 USING (symbol, strategy) LEFT JOIN (SELECT symbol, strategy, dsr >= {LEAST_DSR} AS deflated_sharpe FROM ds) USING (symbol, strategy)) {sums}"""
+    best = f"{trials} SELECT symbol, series, round(rho, 5) AS rho, round(n_eff, 5) AS n_eff, round(max(dsr), 5) AS dsr FROM ne JOIN ds USING (symbol) GROUP BY symbol, series, rho, n_eff"
+    return {"strategies_light": light, "walk_forward_trades": forward, "funnel_counts": stages, "funnel_trials": best}
 
 
 ORACLE = _oracles()

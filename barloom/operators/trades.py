@@ -119,7 +119,7 @@ def chained(found: DataFrame) -> DataFrame:
         for i, (t, x, r, f) in enumerate(zip(pdf["t"], pdf["x"], pdf["r"], pdf["frac"])):
             if t >= free:
                 free, before = x, eq
-                eq *= 1 + f * r
+                eq *= max(0.0, 1 + f * r)  # an account that loses all stays at 0
                 peak = max(peak, eq)
                 run = run + 1 if r < 0 else 0
                 keep.append(i)
@@ -169,14 +169,6 @@ def with_ratios(m: DataFrame) -> DataFrame:
     return m.withColumns({"mean_r": mean, "t_stat": F.when(var > 0, mean / F.sqrt(var) * F.sqrt("n")), "win_rate": F.col("wins") / F.col("n"), "profit_factor": F.try_divide("gross_win", "gross_loss")})
 
 
-def gated(m: DataFrame, least: dict[str, float]) -> DataFrame:
-    """Rows that pass a stage: n, profit_factor at least, mean_r above, drawdown at most; absent keys don't count."""
-    for k, v in least.items():
-        c = F.col(k)
-        m = m.filter(c > v if k == "mean_r" else c <= v if k == "max_dd" else (c.isNull() | (c >= v)) if k == "profit_factor" else c >= v)
-    return m
-
-
 SPECS = [("long_breakout", 1, 1.5, 2.0, 24, 0.0, 0), ("short_breakdown", -1, 1.0, 3.0, 12, 1.5, 1), ("long_follow", 1, 2.0, 4.0, 48, 2.0, 2)]
 RULES = Rules(cost=0.05, cost_rel=0.001, funding_mult=1.5, risk_frac=0.005, max_lev=5.0)
 
