@@ -57,48 +57,93 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 # trades by hand -------------------------------------------------------------------------------------------------------
-def run(spark, changes, signals, n=12, exit_sig=(), rates=None, rules=trades.Rules(), **spec):
-    """Flat price 1.0 and ATR 0.01, own bars; changes: bar -> dict of prices."""
-    rows = []
-    for i in range(n):
-        p = {"open": 1.0, "high": 1.0, "low": 1.0, "close": 1.0} | changes.get(i, {})
-        p["high"], p["low"] = max(p.values()), min(p.values())
-        rows.append(("s", i, p["open"], p["high"], p["low"], p["close"], 0.01, i, i + 1, i in exit_sig, (rates or {}).get(i, 0.0), i // 4))
+def world_of(spark, prices, exit_sig=(), rates=None):
+    """Bars of one symbol with an ATR of 4, executed on themselves."""
+    rows = [("s", i, *map(float, p), 4.0, i, i + 1, i in exit_sig, (rates or {}).get(i, 0.0), i // 3) for i, p in enumerate(prices)]
     b = spark.createDataFrame(rows, "symbol string, bar_idx long, open double, high double, low double, close double, atr double, exec_start long, exec_end long, exit_sig boolean, rate double, day_id long")
-    ex = b.select("symbol", F.col("bar_idx").alias("exec_idx"), "bar_idx", F.lit(True).alias("is_last"), "rate", "open", "high", "low", "close", "day_id")
-    full = {"dir": 1, "stop": 1.0, "target": 2.0, "hold": 6, "trail": 0.0, "delay": 0} | spec
+    return b, b.select("symbol", F.col("bar_idx").alias("exec_idx"), "bar_idx", F.lit(True).alias("is_last"), "rate", "open", "high", "low", "close", "day_id")
+
+
+def run(spark, prices, signals, rules=trades.Rules(), exit_sig=(), rates=None, **spec):
+    """Trades of one strategy. prices: (open, high, low, close) by bar."""
+    b, ex = world_of(spark, prices, exit_sig, rates)
+    full = {"dir": 1, "stop": 1.5, "target": 2.5, "hold": 5, "trail": 0.0, "delay": 0} | spec
     s = spark.createDataFrame([("s", "a", t, *full.values()) for t in signals], "symbol string, strategy string, t long, dir int, stop double, target double, hold int, trail double, delay int")
     p = trades.paths(b, ex, s, rules)
     t = trades.chained(trades.outcomes(p))
-    return [(r.e, r.x, trades.REASONS[r.why], round(r.px, 9), round(r.r, 9)) for r in t.orderBy("t").collect()], t, p, b
-
-
-def test_stop_wins_a_tie(spark):
-    got, *_ = run(spark, {2: {"high": 1.05, "low": 0.95}}, [1])
-    assert got == [(2, 2, "STOP", 0.99, -1.0)]
-
-
-def test_gap_delay_time_end_and_reentry(spark):
-    assert run(spark, {3: {"open": 0.97}}, [1])[0] == [(2, 3, "STOP_GAP", 0.97, -3.0)]
-    assert run(spark, {2: dict.fromkeys(("open", "close"), 0.9), 3: dict.fromkeys(("open", "close"), 0.9)}, [1], delay=2)[0] == [(4, 9, "TIME", 1.0, 0.0)]
-    assert [x[:3] for x in run(spark, {}, [0, 6], n=10, hold=4)[0]] == [(1, 4, "TIME"), (7, 9, "END")]
-    assert [x[:3] for x in run(spark, {2: {"low": 0.95}}, [1, 2], hold=2)[0]] == [(2, 2, "STOP"), (3, 4, "TIME")]
-
-
-def test_short_target_cost_trail_signal_and_funding(spark):
-    assert run(spark, {5: {"low": 0.97}}, [3], dir=-1)[0] == [(4, 5, "TARGET", 0.98, 2.0)]
-    assert run(spark, {3: {"high": 1.03}}, [1], rules=trades.Rules(cost=0.0002))[0] == [(2, 3, "TARGET", 1.02, 1.98)]
-    assert run(spark, {3: {"high": 1.015, "close": 1.012}, 4: {"open": 1.012, "low": 1.004, "close": 1.004}}, [1], trail=1.0)[0] == [(2, 4, "TRAIL", 1.005, 0.5)]
-    assert run(spark, {5: {"open": 1.003, "close": 1.003}}, [1], exit_sig=[4])[0] == [(2, 5, "SIGNAL", 1.003, 0.3)]
-    assert run(spark, {}, [1], hold=3, rates={3: 0.001}, rules=trades.Rules(funding_mult=2.0))[0] == [(2, 4, "TIME", 1.0, -0.2)]
-
-
-def test_drawdown_and_streak(spark):
-    _, t, p, b = run(spark, {i: {"low": 0.95} for i in range(1, 11)}, list(range(10)))
+    return [(r.e, r.x, trades.REASONS[r.why], round(r.px, 6), round(r.r, 6)) for r in t.orderBy("t").collect()], t, p, b
+
+
+def followed_by_hand(prices, signals, rules, exit_sig, rates, dir, stop, target, hold, trail, delay):
+    """One position at a time, bar after bar."""
+    out, free = [], -1
+    for t in signals:
+        e = t + 1 + delay
+        if t < free or e >= len(prices):
+            continue
+        entry, last = prices[e][0], min(e + hold - 1, len(prices) - 1)
+        first, goal, best, paid, level, why = entry - dir * stop * 4, entry + dir * target * 4, entry, 0.0, None, None
+        for k in range(e, last + 1):
+            o, h, l, c = prices[k]
+            if k > e:
+                flow = -dir * rates.get(k, 0.0) * o
+                paid += flow * (rules.funding_mult if flow < 0 else 1)
+            level = first if not trail or k == e else (max(first, best - trail * 4) if dir > 0 else min(first, best + trail * 4))
+            if k > e and k - 1 in exit_sig:
+                why, px = "SIGNAL", o
+            elif dir * (o - level) <= 0:
+                why, px = "STOP_GAP", o
+            elif dir * (goal - o) <= 0:
+                why, px = "TARGET_GAP", o
+            elif dir * ((l if dir > 0 else h) - level) <= 0:
+                why, px = "STOP" if level == first else "TRAIL", level
+            elif dir * (goal - (h if dir > 0 else l)) <= 0:
+                why, px = "TARGET", goal
+            elif k == last:
+                why, px = "TIME" if e + hold - 1 <= len(prices) - 1 else "END", c
+            if why:
+                break
+            best = max(best, h) if dir > 0 else min(best, l)
+        free = k
+        out.append((e, k, why, round(px, 6), round((dir * (px - entry) - rules.cost - rules.cost_rel * entry + paid) / (stop * 4), 6)))
+    return out
+
+
+def test_trades_equal_a_walk_by_hand(spark):
+    r = np.random.default_rng(21)
+    seen = set()
+    for k in range(6):
+        close = 80 + np.cumsum(r.normal(0, 2.5, 90))
+        o = np.r_[80.0, close[:-1]] + r.normal(0, 4.0, 90)
+        prices = np.round(np.column_stack([o, np.maximum(o, close) + abs(r.normal(0, 1.5, 90)), np.minimum(o, close) - abs(r.normal(0, 1.5, 90)), close]), 3).tolist()
+        spec = {"dir": 1 if k % 2 else -1, "stop": 1.25, "target": 1.75, "hold": 7, "trail": 1.5 if k > 2 else 0.0, "delay": k % 3}
+        sig, leave, rates = sorted(r.choice(88, 40, replace=False).tolist()), set(r.choice(90, 8).tolist()), {int(i): float(x) for i, x in zip(r.choice(90, 20), r.normal(0, 0.002, 20))}
+        rules = trades.Rules(cost=0.07, cost_rel=0.0004, funding_mult=1.8)
+        got, *_ = run(spark, prices, sig, rules, leave, rates, **spec)
+        assert got == followed_by_hand(prices, sig, rules, leave, rates, **spec), k
+        seen |= {x[2] for x in got}
+    assert {"STOP", "STOP_GAP", "TARGET", "TARGET_GAP", "TIME", "TRAIL", "SIGNAL"} <= seen
+
+
+def test_ties_ends_and_reentry(spark):
+    flat = [(80.0, 80.0, 80.0, 80.0)] * 9
+    wide = flat[:3] + [(80.0, 93.0, 71.0, 80.0)] + flat[4:]
+    assert run(spark, wide, [2])[0] == [(3, 3, "STOP", 74.0, -1.0)]  # the stop wins a bar that touches both
+    assert [x[:3] for x in run(spark, wide, [2, 3], hold=2)[0]] == [(3, 3, "STOP"), (4, 5, "TIME")]  # the exit bar may signal again
+    assert run(spark, flat, [6])[0] == [(7, 8, "END", 80.0, 0.0)]
+
+
+def test_drawdowns_and_an_account_that_loses_all(spark):
+    sunk = [(80.0, 80.0, 72.0, 80.0)] * 7
+    _, t, p, b = run(spark, sunk, list(range(6)), trades.Rules(risk_frac=0.02))
     m = trades.metrics(t, b.groupBy("symbol").agg(F.count_distinct("day_id").alias("n_days"))).first()
-    assert m.n == 10 and m.max_losses == 10 and abs(m.max_dd - (1 - 0.995**10)) < 1e-12
-    _, t, p, _ = run(spark, {3: {"low": 0.991}, 4: {"high": 1.03}}, [1])
-    assert abs(trades.marked_drawdown(t, p).first().mtm_drawdown - 0.0045) < 1e-9
+    assert m.n == 6 and m.max_losses == 6 and abs(m.max_dd - (1 - 0.98**6)) < 1e-12
+    dipped = [(80.0, 80.0, 80.0, 80.0)] * 3 + [(80.0, 80.0, 75.5, 80.0), (80.0, 91.0, 80.0, 90.0), (90.0, 90.0, 90.0, 90.0)]
+    _, t, p, _ = run(spark, dipped, [1], trades.Rules(risk_frac=0.01))
+    assert abs(trades.marked_drawdown(t, p).first().mtm_drawdown - 0.0075) < 1e-9  # three quarters of R
+    fell = [(80.0, 80.0, 80.0, 80.0)] * 3 + [(20.0, 20.0, 20.0, 20.0)] * 3
+    _, t, *_ = run(spark, fell, [1, 3], trades.Rules(risk_frac=0.4, max_lev=9.0))
+    assert [r.equity for r in t.orderBy("t").collect()] == [0.0, 0.0]
 
 
 # features and states --------------------------------------------------------------------------------------------------
