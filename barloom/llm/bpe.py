@@ -3,8 +3,11 @@
 Whole documents: a text above ``leaf_chars`` is cut into leaves, one row each, that tasks encode in parallel. Neighbours
 are then joined pairwise up a binary tree: a window around each join grows until it holds a safe position on both
 sides (white space followed by an ASCII letter or digit: no normaliser rule, word or special token reaches across it);
-the window is encoded anew and must agree exactly with the end of the left ids and the start of the right ids, else it
-keeps growing, up to both texts whole.
+the window is encoded anew and must agree exactly with the end of the left ids and the start of the right ids. Where no such
+position is near (long unsplit text), the texts are split anew from the last words of the left one until a word
+starts where one of the right text's own words does; a long word that lies across the join is made of both sides' ids by
+windows of tokens, as below, so little of it is encoded twice. Only texts of other characters, or with special
+tokens, grow their window up to both texts whole.
 
 Single long words (text that the pre-tokeniser doesn't split) are halved the same way on the level of tokens: halves are
 encoded apart, then k tokens on each side of the join are re-encoded, k growing, until the first new token equals the
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 LEAF_CHARS, WORD_LEAF, MEMO, CHUNK = 32_768, 256, 150_000, 400_000
+#: Characters on each side of a join within which a safe position is looked for first.
+NEAR = 1024
 _LATIN = "À-ÖØ-öø-ÿ"
 #: Texts of these characters only are split with the patterns below, which equal the tokenizers' own on this set.
 PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LATIN}¡«»¿]*")
@@ -67,6 +72,10 @@ class Encoder:
         self.letters = byte_letters()
         self.ids: dict[str, bytes] = {}
         self.said: dict[str, str] = {}
+        self.coded = 0  # letters encoded at joins
+        self.lengths = np.zeros(self.final.get_vocab_size(), "int64")
+        for token, i in self.final.get_vocab().items():
+            self.lengths[i] = len(token.removesuffix(self.suffix) if self.suffix else token)
 
     # single words ---------------------------------------------------------------------------------------------------
     def _leaf(self, letters: str, last: bool) -> list[int]:
@@ -80,11 +89,17 @@ class Encoder:
         if len(letters) <= leaf:
             return self._leaf(letters, last)
         half = len(letters) // 2
-        left, right = self._word(letters[:half], False, leaf), self._word(letters[half:], last, leaf)
+        return self.joined(self._word(letters[:half], False, leaf), self._word(letters[half:], last, leaf), last)
+
+    def joined(self, left: list[int], right: list[int], last: bool) -> list[int]:
+        """Ids of one pre-token from those of its two parts; ``last``: it ends with the right one. The left part may have been
+        encoded as a word of its own: what marks its end lies inside the first window."""
         k = 2
         while True:
             a, b = left[-k:], right[:k]
-            new = self._leaf(self._letters_of(a) + self._letters_of(b), last and k >= len(right))
+            letters = self._letters_of(a) + self._letters_of(b)
+            self.coded += len(letters)
+            new = self._leaf(letters, last and k >= len(right))
             if (k >= len(left) or new[0] == a[0]) and (k >= len(right) or new[-1] == b[-1]):
                 return left[:-k] + new + right[k:]
             k *= 2
@@ -178,10 +193,59 @@ def chunks(texts, most: int = CHUNK):
         yield run
 
 
+def join_words(enc: Encoder, left: tuple[str, bytes], right: tuple[str, bytes]) -> bytes | None:
+    """Ids of two neighbouring leaves by the words around their join, or None where other characters or special tokens
+    forbid to split them here. Patterns look ahead of a word's end by one character, and back never: all words of the left
+    text but the last three (an apostrophe and what follows it is one word) are the whole's, and once a word starts
+    where one of the right text's does, all further ones are."""
+    (a, ids_a), (b, ids_b) = left, right
+    if not (PLAIN.fullmatch(a) and PLAIN.fullmatch(b)) or any(s in a + b for s in enc.specials):
+        return None
+    if enc.lower:
+        a, b = a.lower(), b.lower()
+    last = [(m.start(), m.group()) for m in enc.split.finditer(a)][-3:]
+    first = last[0][0] if last else len(a)
+    mine, theirs = enc.split.finditer(a[first:] + b), enc.split.finditer(b)
+    x, y, words, from_b = next(mine, None), next(theirs, None), [], []
+    while x is not None and (y is None or first + x.start() != len(a) + y.start()):
+        if y is None or first + x.start() < len(a) + y.start():
+            words.append((first + x.start(), x.group()))
+            x = next(mine, None)
+        else:
+            from_b.append(y.group())
+            y = next(theirs, None)
+    if x is None:
+        from_b += [] if y is None else [y.group(), *(m.group() for m in theirs)]
+    size = lambda word: len(word.encode())
+    ids_a, ids_b = np.frombuffer(ids_a, "<u4"), np.frombuffer(ids_b, "<u4")
+    upto_a, upto_b = (np.r_[0, np.cumsum(enc.lengths[i])] for i in (ids_a, ids_b))
+    # ids of the left text's last words, by their bytes from its end
+    own, stop = {}, int(upto_a[-1])
+    for start, word in reversed(last):
+        lo = stop - size(word)
+        own[start] = word, ids_a[np.searchsorted(upto_a, lo) : np.searchsorted(upto_a, stop)]
+        stop = lo
+    out = [ids_a[: np.searchsorted(upto_a, stop)]]
+    for start, word in words:
+        known, ids = own.get(start, ("", None))
+        if known == word:
+            out.append(ids)
+        elif len(word) > WORD_LEAF and known and from_b and word == known + from_b[0]:
+            # the left text's last word and the right one's first are one word
+            out.append(enc.joined(ids.tolist(), ids_b[: np.searchsorted(upto_b, size(from_b[0]))].tolist(), True))
+        else:
+            enc.coded += len(word)
+            out.append(enc.word(word))
+    out.append(ids_b[np.searchsorted(upto_b, sum(map(size, from_b))) :])
+    return np.concatenate([np.asarray(i, "<u4") for i in out]).astype("<u4").tobytes()
+
+
 def join_texts(enc: Encoder, left: tuple[str, bytes], right: tuple[str, bytes], width: int = 64) -> tuple[str, bytes]:
     """Text and ids of two neighbouring leaves together."""
     (a, ids_a), (b, ids_b) = left, right
     while True:
+        if width > NEAR and (found := join_words(enc, left, right)) is not None:
+            return a + b, found
         whole = width >= max(len(a), len(b))
         cut = next((m.end() for m in SAFE.finditer(a, max(0, len(a) - width), len(a))), None)
         stops = list(SAFE.finditer(b, 0, width))

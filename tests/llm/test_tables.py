@@ -234,3 +234,29 @@ def test_fit_tracks_sizes_and_hits_the_budget():
     huge = sizes * 10_000_000  # beyond the sums of the table: in units of many words
     took = mixing.fit(huge, counts, round(0.4 * total) * 10_000_000)
     assert abs(int((took * huge).sum()) / (0.4 * total * 10_000_000) - 1) < 1e-4
+
+
+# 2, joins of leaves ---------------------------------------------------------------------------------------------------
+def test_unsplit_text_is_joined_by_windows_of_tokens():
+    from barloom.llm import bpe
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(4)
+    lib, enc = Tokenizer.from_file(path), bpe.Encoder(path, "word")
+
+    def joined(text, leaf):
+        leaves = [text[i : i + leaf] for i in range(0, len(text), leaf)]
+        return bpe.join_all(enc, list(zip(leaves, [x[0] for x in enc.encode(leaves)])))
+
+    def whole(text):
+        return np.asarray(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(262_144))
+    enc.coded = 0
+    assert joined(text, bpe.LEAF_CHARS) == whole(text) and enc.coded < 0.1 * len(text)
+    for alphabet in ("!?.,;:#$%&*()-_=+", "ab'srevmdl019.,!é ", "ab'srevmdlt01.,\n", "a'sd", "éÀøz", "0123456789abcdef", "日本aé🙂 "):
+        for _ in range(12):
+            text = "".join(r.choice(alphabet) for _ in range(r.randint(3000, 9000)))
+            assert joined(text, 1500) == whole(text), alphabet
+    for _ in range(10):
+        text = " ".join("".join(r.choice("abcde'srt.") for _ in range(int(r.paretovariate(0.5)) % 5000 + 1)) for _ in range(60))
+        assert joined(text, 2500) == whole(text)
