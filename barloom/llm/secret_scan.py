@@ -53,8 +53,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = [(m.start(), 3, m.end()) for m in WEAK_ID.finditer(text)]
     if "@" in text:
-        named = [m.span() for m in WEAK_ID.finditer(text)]
-        out += [(m.start(), 3, m.end()) for m in ADDRESS.finditer(text) if not any(a <= m.start() < b for a, b in named)]
+        named, k = [(a, b) for a, _, b in out], 0  # both in the order of the text
+        for m in ADDRESS.finditer(text):
+            while k < len(named) and named[k][1] <= m.start():
+                k += 1
+            if k == len(named) or m.start() < named[k][0]:
+                out.append((m.start(), 3, m.end()))
     out += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
     ends, k = [*base, *[(s, 5, e) for s, kind, e in out if kind == 5]], 0
     ends.sort()
@@ -129,8 +133,8 @@ def secret_scan(docs: DataFrame, reach: int = REACH, keep: tuple[str, ...] = ("d
 def masked_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with every span of its texts replaced by a mark; overlapping spans share one. Null text stays null."""
     own = docs.select(F.struct("*").alias("all"), "text")
-    out = secret_scan(own, reach, ("all",)).select("all.*", F.col("spans").alias("__spans"))
-    return out.withColumn("text", F.pandas_udf(_masked, "string")("text", "__spans")).drop("__spans")
+    text = F.pandas_udf(_masked, "string")("all.text", "spans")
+    return secret_scan(own, reach, ("all",)).select(*[text.alias(c) if c == "text" else F.col("all")[c].alias(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

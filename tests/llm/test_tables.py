@@ -260,3 +260,13 @@ def test_unsplit_text_is_joined_by_windows_of_tokens():
     for _ in range(10):
         text = " ".join("".join(r.choice("abcde'srt.") for _ in range(int(r.paretovariate(0.5)) % 5000 + 1)) for _ in range(60))
         assert joined(text, 2500) == whole(text)
+
+
+# 1, columns of any name -----------------------------------------------------------------------------------------------
+def test_masking_keeps_columns_of_any_name(spark):
+    from barloom.llm import secret_scan
+
+    d = spark.createDataFrame([(1, "k", "token = Abcdef123456789 and more", 5, "s"), (None, None, None, 6, None)], "doc_id long, __spans string, text string, all int, spans string")
+    got = secret_scan.masked_secrets(d)
+    assert got.columns == d.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "k", f"{secret_scan.MASK} and more", 5, "s"), (None, None, None, 6, None)], key=str)
