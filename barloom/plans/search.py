@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.predicates import HOLDS, MOST, STOPS, TARGETS, Strategy, catalogue
 from ..operators.stats import RET, daily_returns
 
-PER = ["symbol", "strategy"]
 
 
 #: Every direction with every exit of the grid.
@@ -46,6 +45,10 @@ def mutated(rng: np.random.Generator, s: Strategy) -> Strategy:
     return replace(s, predicates=tuple(ps))
 
 
+#: Generations in a row without a new strategy after which a search ends with its budget unspent.
+STALE = 20
+
+
 def crossed(rng: np.random.Generator, a: Strategy, b: Strategy) -> Strategy:
     """A uniform cross: what both parents have stays, every other predicate comes along by a coin; a coin each tells
     which parent gives direction, stop, target and holding time."""
@@ -53,8 +56,9 @@ def crossed(rng: np.random.Generator, a: Strategy, b: Strategy) -> Strategy:
     others = sorted(set(a.predicates) ^ set(b.predicates))
     taken = [p for p, heads in zip(others, rng.random(len(others)) < 0.5) if heads]
     pool = [*sorted(shared), *taken] or [others[rng.integers(len(others))]]
+    pool = [pool[i] for i in rng.permutation(len(pool))[:MOST]]  # too many: each has the same chance to stay
     parent = [(a, b)[k] for k in rng.integers(2, size=4)]
-    return Strategy(a.symbol, parent[0].direction, tuple(pool[:MOST]), parent[1].stop, parent[2].target, parent[3].hold)
+    return Strategy(a.symbol, parent[0].direction, tuple(pool), parent[1].stop, parent[2].target, parent[3].hold)
 
 
 def evolve(fitness, symbol: str, population: int, budget: int, seed: int, elites: float = 0.1, immigrants: float = 0.1) -> dict[str, tuple[Strategy, float]]:
@@ -63,12 +67,17 @@ def evolve(fitness, symbol: str, population: int, budget: int, seed: int, elites
     rng = np.random.default_rng(seed)
     archive: dict[str, tuple[Strategy, float]] = {}
     living: list[Strategy] = [random_strategy(rng, symbol) for _ in range(population)]
+    stale = 0
     while True:
         fresh = list({s.hash(): s for s in living if s.hash() not in archive}.values())[: budget - len(archive)]
         for s, f in zip(fresh, fitness(fresh) if fresh else []):
             archive[s.hash()] = s, f
-        if len(archive) >= budget or not fresh:
+        stale = 0 if fresh else stale + 1
+        if len(archive) >= budget or stale > STALE:
             return archive
+        if stale:  # nothing new: strangers come in until there is
+            living = [*living[: population // 2], *(random_strategy(rng, symbol) for _ in range(population - population // 2))]
+            continue
         ranked = sorted((s for s in living if s.hash() in archive), key=lambda s: (-archive[s.hash()][1], s.hash()))
         keep = ranked[: max(1, int(elites * population))]
         contest = lambda: ranked[min(int(rng.integers(len(ranked))) for _ in range(3))]
@@ -78,11 +87,6 @@ def evolve(fitness, symbol: str, population: int, budget: int, seed: int, elites
             living.append(mutated(rng, child) if rng.random() < 0.7 else child)
 
 
-def block_fitness(m: DataFrame, least_n: int) -> DataFrame:
-    """Per strategy the lowest t statistic of its blocks (symbol, strategy, block, n, t_stat); null where a block is too thin."""
-    return m.groupBy(*PER).agg(F.when(F.min("n") >= least_n, F.min("t_stat")).alias("fitness"))
-
-
 def top_k(m: DataFrame, by: list[str], score: str, k: int, ordinal: str) -> DataFrame:
     """Stable best k of each group."""
     w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(score), ordinal)

@@ -193,3 +193,53 @@ def test_effective_trials_and_clusters(spark):
     pairs = spark.createDataFrame([("s", f"t{i:02d}", f"t{j:02d}", float(corr[i, j])) for i in range(14) for j in range(14) if i != j], "symbol string, a string, b string, rho double")
     got = [stats.clusters(pairs, ["symbol"], t).first().clusters for t in (0.0, 0.5, 2.0)]
     assert got == [14, 4, 1]
+
+
+# sources --------------------------------------------------------------------------------------------------------------
+def test_hybrid_tape_is_pushed_down_and_repaired(spark, tmp_path):
+    from barloom.sources import hybrid, tapes
+
+    t0 = dt.datetime(2024, 3, 1)
+    at = lambda i: t0 + dt.timedelta(minutes=15 * i)
+    schema = "symbol string, ts_utc timestamp_ntz, open double, high double, low double, close double, volume double"
+    spark.createDataFrame([(s, at(i), 10.0, 12.0, 4.0, 11.0, 1.0) for s in "abz" for i in range(20)], schema).write.parquet(f"{tmp_path}/spot")
+    spark.createDataFrame([(s, at(i), 20.0, 22.0, 19.0, 21.0, 2.0) for s in "abz" for i in range(30)], schema).write.parquet(f"{tmp_path}/perp")
+    spot, perp = spark.read.parquet(f"{tmp_path}/spot"), spark.read.parquet(f"{tmp_path}/perp")
+    d = hybrid.hybrid(spot, perp, {"a": at(5), "b": at(18), "none": at(1)})
+    plan = d._jdf.queryExecution().toString()
+    scans = [x for x in plan.splitlines() if "PushedFilters" in x]
+    assert len(scans) == 2 and all("ts_utc" in x.split("PushedFilters")[1] for x in scans)
+    got = {(r.symbol, r.ts_utc): (r.source, r.open) for r in d.collect()}
+    assert len(got) == 40 and got["a", at(4)] == ("spot", 10.0) and got["a", at(5)] == ("perpetual", 20.0) and got["b", at(17)] == ("spot", 10.0) and got["b", at(19)] == ("perpetual", 20.0)
+    patches = spark.createDataFrame([("a", at(2)), ("b", at(3)), ("a", at(99))], "symbol string, ts_utc timestamp_ntz")
+    twice = d.unionByName(d.filter(F.col("symbol") == "b"))
+    fixed = {(r.symbol, r.ts_utc): (r.low, r.repaired) for r in hybrid.repaired(twice, patches).collect()}
+    assert fixed["a", at(2)] == (10.0, True) and fixed["b", at(3)] == (4.0, False) and sum(v[1] for v in fixed.values()) == 1
+    bars = hybrid.repaired(d, patches).withColumns({"seq": F.col("ts_utc"), "ts": F.col("ts_utc")})
+    assert tapes.validate(bars).count() == 40
+
+
+def test_a_stopped_run_goes_on(spark, tmp_path):
+    from barloom.sources import shards
+
+    todo = spark.createDataFrame([(s, f, f * 10.0) for s in "abcd" for f in range(3)], "symbol string, fold int, x double")
+    path, asked = f"{tmp_path}/out", []
+
+    def compute(part):
+        asked.extend((r.symbol, r.fold) for r in part.collect())
+        if len(asked) > 5 and not compute.again:
+            raise RuntimeError("stopped")
+        return part.select("symbol", "fold", (F.col("x") + 1).alias("y"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+
+    compute.again = False
+    with pytest.raises(RuntimeError):
+        shards.resumed(spark, todo, compute, path, ["symbol", "fold"], 4)
+    done = {(r.symbol, r.fold) for r in spark.read.parquet(path).collect()}
+    assert 0 < len(done) < 12
+    compute.again, before = True, len(asked)
+    shards.resumed(spark, todo, compute, path, ["symbol", "fold"], 4)
+    assert not done & set(asked[before:]) and len(set(asked[before:])) == 12 - len(done)
+    assert spark.read.parquet(path).count() == 24 and shards.remaining(todo, path, ["symbol", "fold"]).count() == 0
+    assert shards.resumed(spark, todo, compute, path, ["symbol", "fold"], 4) == 0
+    shards.write_shards(spark.createDataFrame([("a", 0, 5.0, 1)], "symbol string, fold int, y double, k int"), path, ["symbol", "fold"])
+    assert spark.read.parquet(path).count() == 23
