@@ -6,7 +6,7 @@ their own table that the simulation joins by strategy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import ATR_SQL, BASE, ema_sql, ordered, recurrence_sql, with_atr, with_recurrences
@@ -14,13 +14,17 @@ from ..plans.storage import written
 from ..sources.tapes import funding
 from .bars import FRAMES, aligned, frame_bars, frame_sql, m15_of
 from .states import NARROW, SLOPE, WIDE, descriptors, level_sql
-from .stats import forward_net
-from .trades import EXECS_SQL, PER, RULES, chained, execution_bars, followed_sql, outcomes, paths
+from .stats import forward_net, holm
+from .trades import EXECS_SQL, RULES, chained, execution_bars, followed_sql, outcomes, paths
+from .worlds import SEED as STARTS
+from .worlds import block_picks
 
 #: The averages, the strength of trend and its level that the calibration rule asks for.
 FAST, SLOW, STRONG = 50, 200, 25
 #: The queries' tapes last a month, so their ribbons are shorter than the states' own, and a bar counts as complete with a quarter of its parts.
 SHORT, SHARE = {"window": 8, "ribbon": (2, 3, 5, 8), "order": (3.0, 1.0), "slope_ema": 5, "slope_lag": 2}, 4
+#: Resamples, their blocks, nets that a test needs, and what a state must reach.
+RESAMPLES, BLOCK, LEAST_N, ACCEPT = 40, 24, 10, {"p_holm": 0.2, "mean": 0.0, "periods": 2, "replicas": 2}
 STOP, HOLD, TRAIL, HORIZONS, COST = 2.0, 48, 3.0, (1, 4, 12), 0.1
 
 
@@ -102,6 +106,27 @@ def state_nets(bars: DataFrame, states: DataFrame, horizons=HORIZONS, cost: floa
     return out
 
 
+def predictive(nets: DataFrame, primary: str, resamples: int = RESAMPLES, block: int = BLOCK, least_n: int = LEAST_N, accept: dict = ACCEPT) -> DataFrame:
+    """Which states say where prices go. nets: symbol, bar_idx, period, state, horizon, net. Per state and horizon of the primary
+    symbol, where it has ``least_n`` nets: n, mean, p_raw (share of block resamples of the symbol's bars, among those that hold
+    the state, with a mean of 0 or less), p_holm over all tests, periods with a positive mean, other symbols with one, and the
+    first condition that fails ('none' if all hold)."""
+    d = nets.filter("state is not null and net is not null")
+    own = d.filter(F.col("symbol") == primary)
+    rows = written(own.withColumn("i", (F.row_number().over(Window.partitionBy("horizon").orderBy("bar_idx")) - 1).cast("long")))
+    n = rows.groupBy("horizon").agg(F.count("*").alias("n"))
+    means = block_picks(n, ["horizon"], resamples, block).join(rows, ["horizon", "i"]).groupBy("horizon", "r", "state").agg(F.avg("net").alias("m"))
+    p = means.groupBy("horizon", "state").agg((F.count_if(F.col("m") <= 0) / F.count("*")).alias("p_raw"))
+    tests = rows.groupBy("horizon", "state").agg(F.count("*").alias("n"), F.avg("net").alias("mean")).filter(F.col("n") >= least_n)
+    stable = rows.groupBy("horizon", "state", "period").agg(F.avg("net").alias("m")).groupBy("horizon", "state").agg(F.count_if(F.col("m") > 0).alias("periods"))
+    others = d.filter(F.col("symbol") != primary).groupBy("horizon", "state", "symbol").agg(F.avg("net").alias("m")).groupBy("horizon", "state").agg(F.count_if(F.col("m") > 0).alias("replicas"))
+    key = ["horizon", "state"]
+    t = tests.join(p, key, "left").join(stable, key).join(others, key, "left").withColumns({"p_raw": F.coalesce("p_raw", F.lit(1.0)), "replicas": F.coalesce("replicas", F.lit(0)), "of": F.lit(0), "test": F.col("horizon") * 1000 + F.col("state")})
+    t = holm(t, ["of"], "p_raw", "test")  # one row a test
+    fails = F.when(F.col("p_holm") > accept["p_holm"], "holm").when(F.col("mean") < accept["mean"], "mean").when(F.col("periods") < accept["periods"], "stability").when(F.col("replicas") < accept["replicas"], "replica").otherwise("none")
+    return t.select(*key, "n", "mean", "p_raw", "p_holm", "periods", "replicas", fails.alias("fails"))
+
+
 def _tape(spark, sf_dir: str):
     """15-minute bars, hourly bars with ATR and their execution bars, each written once."""
     m15 = written(m15_of(spark, sf_dir))
@@ -135,7 +160,14 @@ def rules_state_nets(spark, sf_dir: str) -> DataFrame:
     return d.agg(F.count("net").alias("n"), F.round(F.avg("net"), 6).alias("mean_net"))
 
 
-QUERIES = {f.__name__: f for f in (states_computed, rules_signals, rules_trades, rules_state_nets)}
+def rules_predictive(spark, sf_dir: str) -> DataFrame:
+    m15, bars, _ = _tape(spark, sf_dir)
+    weeks = bars.select("symbol", "bar_idx", F.date_trunc("week", "bucket").alias("period"))
+    d = predictive(written(state_nets(bars, computed_states(m15, SHARE, **SHORT)).join(weeks, ["symbol", "bar_idx"])), "click")
+    return d.select("horizon", "state", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p_raw", "p_holm")], "periods", "replicas", "fails")
+
+
+QUERIES = {f.__name__: f for f in (states_computed, rules_signals, rules_trades, rules_state_nets, rules_predictive)}
 
 
 # the same in SQL ------------------------------------------------------------------------------------------------------
@@ -176,12 +208,21 @@ TRADES_SQL = f"""{_SIGNALS}, {EXECS_SQL}, xs AS (SELECT symbol, rule || CASE WHE
 c0 AS (SELECT a.symbol, rule || CASE WHEN dir > 0 THEN '+' ELSE '-' END AS strategy, a.bar_idx AS t, dir, {STOP}::DOUBLE AS stop, 'inf'::DOUBLE AS target, {HOLD} AS hold, {TRAIL}::DOUBLE AS trail, atr, t1, a.bar_idx + 1 AS e
  FROM a JOIN rs USING (symbol, bar_idx) JOIN (SELECT symbol, max(bar_idx) + 1 AS t1 FROM a GROUP BY symbol) USING (symbol) WHERE entry AND atr > 0),
 {followed_sql(RULES, leaving="xs.bar_idx IS NOT NULL", joined="LEFT JOIN xs ON xs.symbol = ex.symbol AND xs.strategy = c.strategy AND xs.bar_idx = ex.bar_idx")}"""
+_NETS = f"""{_STATES}, dn AS (SELECT a.symbol, a.bar_idx, date_trunc('week', a.bucket) AS period, state, CASE WHEN regime <> 0 THEN regime ELSE h4_slope END AS dir, close, open FROM a JOIN st USING (symbol, bar_idx)),
+f AS MATERIALIZED ({' UNION ALL '.join(f"SELECT symbol, bar_idx, period, state, {h} AS horizon, CASE WHEN dir <> 0 THEN dir * (lead(close, {h}) OVER w - lead(open) OVER w) - {COST} END AS net FROM dn WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)" for h in HORIZONS)})"""
 ORACLE = {
     "states_computed": f"{_STATES} SELECT symbol, bar_idx, regime, h4_slope, h4_order, h4_width, h1_order, state FROM st",
     "rules_signals": f"{_SIGNALS} SELECT * FROM rs",
     "rules_trades": f"""{TRADES_SQL} SELECT strategy, count(*) AS n, count(*) FILTER (WHERE r > 0) AS wins, round(avg(r), 6) AS mean_r, round(avg(r - cst / risk), 6) AS mean_r_x2, round(CASE WHEN var_pop(r) > 0 THEN avg(r) / stddev_pop(r) * sqrt(count(r)) END, 6) AS t_stat,
  count(*) FILTER (WHERE why = 8) AS by_signal, count(*) FILTER (WHERE why = 7) AS by_trail FROM ch GROUP BY strategy""",
-    "rules_state_nets": f"""{_STATES}, dn AS (SELECT a.symbol, a.bar_idx, state, CASE WHEN regime <> 0 THEN regime ELSE h4_slope END AS dir, close, open FROM a JOIN st USING (symbol, bar_idx)),
-f AS ({' UNION ALL '.join(f"SELECT state, {h} AS horizon, CASE WHEN dir <> 0 THEN dir * (lead(close, {h}) OVER w - lead(open) OVER w) - {COST} END AS net FROM dn WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)" for h in HORIZONS)})
-SELECT state, horizon, count(net) AS n, round(avg(net), 6) AS mean_net FROM f WHERE state IS NOT NULL GROUP BY 1, 2""",
+    "rules_state_nets": f"{_NETS} SELECT state, horizon, count(net) AS n, round(avg(net), 6) AS mean_net FROM f WHERE state IS NOT NULL GROUP BY 1, 2",
+    "rules_predictive": f"""{_NETS}, ok AS (SELECT * FROM f WHERE state IS NOT NULL AND net IS NOT NULL), x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY bar_idx) - 1 AS i, count(*) OVER (PARTITION BY horizon) AS len FROM ok WHERE symbol = 'click'),
+g AS (SELECT horizon, len, rr AS r, y // {BLOCK} AS b, y % {BLOCK} AS kk FROM (SELECT DISTINCT horizon, len FROM x), range({RESAMPLES}) q(rr), LATERAL (SELECT unnest(range(len)) AS y)),
+pk AS MATERIALIZED (SELECT horizon, r, (('0x' || substr(md5('{STARTS}|' || r || '|' || b), 1, 7))::BIGINT % len + kk) % len AS i FROM g), mm AS (SELECT horizon, r, state, avg(net) AS m FROM pk JOIN x USING (horizon, i) GROUP BY 1, 2, 3),
+pr AS (SELECT horizon, state, count(*) FILTER (WHERE m <= 0) / count(*) AS p_raw FROM mm GROUP BY 1, 2), te AS (SELECT horizon, state, count(*) AS n, avg(net) AS mean FROM x GROUP BY 1, 2 HAVING count(*) >= {LEAST_N}),
+pe AS (SELECT horizon, state, count(*) FILTER (WHERE m > 0) AS periods FROM (SELECT horizon, state, period, avg(net) AS m FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2),
+re AS (SELECT horizon, state, count(*) FILTER (WHERE m > 0) AS replicas FROM (SELECT horizon, state, symbol, avg(net) AS m FROM ok WHERE symbol <> 'click' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+al AS (SELECT horizon, state, n, mean, coalesce(p_raw, 1) AS p_raw, periods, coalesce(replicas, 0) AS replicas FROM te LEFT JOIN pr USING (horizon, state) JOIN pe USING (horizon, state) LEFT JOIN re USING (horizon, state)),
+sp AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p_raw, horizon * 1000 + state) + 1) * p_raw) AS step FROM al), ho AS (SELECT *, max(step) OVER (ORDER BY p_raw, horizon * 1000 + state ROWS UNBOUNDED PRECEDING) AS p_holm FROM sp)
+SELECT horizon, state, n, round(mean, 6) AS mean, round(p_raw, 6) AS p_raw, round(p_holm, 6) AS p_holm, periods, replicas, CASE WHEN p_holm > {ACCEPT['p_holm']} THEN 'holm' WHEN mean < {ACCEPT['mean']} THEN 'mean' WHEN periods < {ACCEPT['periods']} THEN 'stability' WHEN replicas < {ACCEPT['replicas']} THEN 'replica' ELSE 'none' END AS fails FROM ho""",
 }

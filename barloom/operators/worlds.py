@@ -86,10 +86,16 @@ def block_bootstrap(d: DataFrame, by: str = "symbol", order: str = "day", x: str
     resample costs its own length and nothing is gathered."""
     rows = d.select(by, F.col(x).alias("x"), (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).alias("i"))
     n = rows.groupBy(by).agg(F.count("*").alias("n"))
+    return block_picks(n, [by], resamples, block).join(rows, [by, "i"]).groupBy(by, "r").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+
+
+def block_picks(n: DataFrame, by: list[str], resamples: int, block: int) -> DataFrame:
+    """by, r, i: places of each resample by circular blocks, from the lengths n of series. Starts come from the seed, the resample and
+    the block alone, so series of one length share them."""
     starts = n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("b", F.explode(F.expr(f"sequence(0, cast((n - 1) div {block} as int))")))
     at = F.conv(F.substring(shuffled(F.col("r").cast("string"), F.col("b").cast("string")), 1, 7), 16, 10).cast("long") % F.col("n")
-    picks = starts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).filter(F.col("b") * block + F.col("k") < F.col("n")).withColumn("i", (at + F.col("k")) % F.col("n"))
-    return picks.join(rows, [by, "i"]).groupBy(by, "r").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    picks = starts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).filter(F.col("b") * block + F.col("k") < F.col("n"))
+    return picks.select(*by, "r", ((at + F.col("k")) % F.col("n")).alias("i"))
 
 
 def world_permuted(spark, sf_dir: str) -> DataFrame:
