@@ -270,3 +270,34 @@ def test_masking_keeps_columns_of_any_name(spark):
     got = secret_scan.masked_secrets(d)
     assert got.columns == d.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "k", f"{secret_scan.MASK} and more", 5, "s"), (None, None, None, 6, None)], key=str)
+
+
+# 7, 9 and 10: null ids, ties and columns of any name ------------------------------------------------------------------
+def test_vectors_with_null_ids(spark):
+    from barloom.llm import embedding_dedup
+
+    rows = [(None, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (6, [0.999, 0.001], 1), (None, [0.0, 1.0], 1), (None, None, 1), (7, [1.0, 0.0], None), (8, [-1.0, 0.0], 2)]
+    d = spark.createDataFrame([(*r, 0, "k", "b") for r in rows], "vec_id long, embedding array<float>, label int, m int, key string, block string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(d).collect()), key=str)
+    assert got == sorted([(None, 2, 5, False), (5, 2, 5, True), (6, 2, 5, False), (None, 0, None, True), (None, 0, None, True), (7, 0, 7, True), (8, 0, 8, True)], key=str)
+
+
+def test_rules_ignore_columns_of_any_name(spark):
+    from barloom.llm import quality_rules
+
+    text = "one two three four five six\nseven eight nine"
+    d = spark.createDataFrame([(i, text, "h", 5, "x", 2, "y") for i in range(8)], "doc_id long, text string, source string, n_words int, host string, row int, line string")
+    plain = quality_rules.quality_rules(d.select("doc_id", "text", "source")).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, quality_rules.quality_rules(d).collect())) and len(plain) == 8
+
+
+def test_list_entries_with_nulls_and_ties(spark):
+    import datetime as dt
+
+    from barloom.llm import url_filters
+
+    day = lambda n: dt.date(2024, 1, n)
+    caps = spark.createDataFrame([(1, "http://a.example.org/x", day(5), "s"), (2, None, day(5), "s"), (3, "http://b.example.org/y", day(9), "s"), (4, "http://b.example.org/y", None, "s")], "id long, url string, fetched_on date, entry string")
+    entries = [("abuse", "host", "a.example.org", day(5), "add")] * 3 + [("abuse", "host", None, day(1), "add"), (None, None, None, None, None), ("abuse", "host", "b.example.org", day(1), "add"), ("abuse", "host", "b.example.org", day(9), "remove")]
+    got = {r.id: (r.n_block, r.kept) for r in url_filters.temporal_url_filter(caps, spark.createDataFrame(entries, "list_name string, scope string, entry string, dated date, action string")).collect()}
+    assert got == {1: (1, False), 2: (0, True), 3: (0, True), 4: (0, True)}
