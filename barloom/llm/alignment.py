@@ -37,7 +37,7 @@ from .arrays import runs, utf8
 from .bpe import MOST_WORD, byte_letters
 from .common import table, written
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_products")
 CHUNKS = f"chunk long, doc_id array<long>, {', '.join(f'{n} array<long>' for n in FIGURES)}, groups_sha256 array<string>, groups array<string>, codes array<long>, times array<long>, links array<int>"
 
@@ -52,7 +52,6 @@ class Pair:
         import public_tokenizers
         import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path_a, encoding="utf-8") as f:
@@ -64,8 +63,7 @@ class Pair:
         for t, i in vocab.items():
             self.bytes_a[i] = bytes(byte[c] for c in t)
         self.quick = tiktoken.Encoding(path_a, pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in vocab.values()}, special_tokens={})
-        self.whole = Tokenizer.from_file(path_a)
-        self.whole.encode_special_tokens = True
+        self.path_a, self._whole = path_a, None
         self.b = SentencePieceProcessor(model_file=path_b)
         self.size_b = self.b.get_piece_size()
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.size_b)]
@@ -74,6 +72,16 @@ class Pair:
         # the strings of group texts: an id with the mark that follows it, by 2 * id + (last of its side)
         self.said = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"] + [f"{i}{mark}" for i in range(self.size_b) for mark in ",;"]
 
+    @property
+    def whole(self):
+        """The library's encoder, for long unsplit runs; loaded where one occurs."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path_a)
+            self._whole.encode_special_tokens = True
+        return self._whole
+
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both, or none where either doesn't give back the bytes of space + text. A's tokens are runs of the text's own bytes,
         so for them the number of bytes tells."""
