@@ -99,11 +99,16 @@ def audit_reaggregation(spark, sf_dir: str) -> DataFrame:
     return both.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(~F.col("direct").eqNullSafe(F.col("stepped"))).alias("differ"))
 
 
+def yearly_deviation(returns: DataFrame, symbols: dict[str, str]) -> DataFrame:
+    """Deviation of the returns per year, a column per symbol. symbols: value to column; naming them spares a pass for the pivot's values."""
+    r = returns.groupBy(F.year("day").alias("year")).pivot("symbol", list(symbols)).agg(F.round(F.stddev_pop("ret"), 6))
+    return r.toDF("year", *symbols.values())
+
+
 def audit_yearly(spark, sf_dir: str) -> DataFrame:
-    """Volatility per year, a column per symbol."""
-    r = daily_returns(spark, sf_dir).groupBy(F.year("day").alias("year")).pivot("symbol", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
-    d = r.agg(F.round(F.stddev_pop("ret"), 6))
-    return d.toDF("year", "urgent", "high", "medium", "unspecified", "low")
+    """Volatility per year, a column per priority of the orders' tape."""
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+    return yearly_deviation(daily_returns(spark, sf_dir), names)
 
 
 def audit_correlation(spark, sf_dir: str) -> DataFrame:
