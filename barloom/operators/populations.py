@@ -11,6 +11,8 @@ leaves at the last close. Costs don't move exits, so several cost multiples shar
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -228,10 +230,13 @@ class Market:
         every = feature_table(bars)
         usable = F.col("atr") > 0 if tradable is None else (F.col("atr") > 0) & tradable
         self.rules, self.shared = rules, shared
-        self.bars = shared(every)
-        self.execs = shared(paid(execs, rules.funding_mult))
-        self.bitmaps = shared(catalogue_bitmaps(self.bars, F.coalesce(usable, F.lit(False))))
-        self._levels: dict[int, DataFrame] = {}
+        # two independent tables at a time: neither waits for the other's last task
+        with ThreadPoolExecutor(2) as pool:
+            first, second = pool.submit(shared, every), pool.submit(shared, paid(execs, rules.funding_mult))
+            self.bars, self.execs = first.result(), second.result()
+            first = pool.submit(shared, catalogue_bitmaps(self.bars, F.coalesce(usable, F.lit(False))))
+            second = pool.submit(shared, levels(self.bars, self.execs))
+            self.bitmaps, self._levels = first.result(), {0: second.result()}
 
     def levels(self, delay: int) -> DataFrame:
         if delay not in self._levels:
