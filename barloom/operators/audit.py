@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import BASE, ordered
+from ..functions.features import BASE, ordered, quotient
 from ..sources.tapes import ticks
 from .bars import bucket, frame_bars, frame_sql, h1_of, m15_of
 from .stats import RET, daily_returns
@@ -76,11 +76,12 @@ def audit_spikes(spark, sf_dir: str) -> DataFrame:
 
 
 def audit_wicks(spark, sf_dir: str) -> DataFrame:
-    """Isolated highs and lows: far beyond the bar's own body and both neighbours' extremes; missing neighbours don't count."""
+    """Isolated highs and lows: far beyond the bar's own body and both neighbours' extremes; missing neighbours don't count.
+    A zero price is divided by as SQL does: more than nothing is infinitely far from it, zero by zero is NaN, which is above all."""
     lag, lead = (lambda c: F.lag(c).over(ordered())), (lambda c: F.lead(c).over(ordered()))
     d = h1_of(spark, sf_dir).withColumns({"above": F.greatest(lag("high"), lead("high")), "below": F.least(lag("low"), lead("low"))})
-    up = (F.col("high") / F.greatest("open", "close") - 1 > 0.5) & (F.col("high") / F.col("above") - 1 > 0.2)
-    down = (1 - F.col("low") / F.least("open", "close") > 0.5) & (1 - F.col("low") / F.col("below") > 0.2)
+    up = (quotient(F.col("high"), F.greatest("open", "close")) - 1 > 0.5) & (quotient(F.col("high"), F.col("above")) - 1 > 0.2)
+    down = (1 - quotient(F.col("low"), F.least("open", "close")) > 0.5) & (1 - quotient(F.col("low"), F.col("below")) > 0.2)
     side = lambda c, name, px: F.when(c, F.struct(F.lit(name).alias("side"), F.round(px, 6).alias("price")))
     d = d.select("symbol", "bar_idx", F.explode(F.array(side(up, "high", "high"), side(down, "low", "low"))).alias("w"))
     return d.filter("w is not null").select("symbol", "bar_idx", "w.side", "w.price")

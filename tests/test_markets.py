@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom import catalog
 from barloom.operators import controls, hypotheses, portfolio, rules, stats, trades, venues, worlds
 from barloom.plans.storage import tables, delete, written
 
@@ -27,6 +28,32 @@ def test_tables_of_a_scope_go(spark):
     assert not exists(b) and exists(c)
 
 
+# zero prices ----------------------------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def zero_prices(tmp_path_factory):
+    """A folder with events of which some cost nothing: lows of 0 between others, and (symbol z) whole hours of 0."""
+    duckdb = pytest.importorskip("duckdb")
+    to = tmp_path_factory.mktemp("zeros")
+    prices = {"a": [[3, 1, 2], [4, 0, 5], [6, 2, 9, 6], [1], [2, 0.5, 2]], "z": [[5, 1, 2], [0, 0], [3], [2, 7, 0], [0, 4, 3], [8, 1, 8], [0]]}
+    rows = [f"({s!r}, timestamp '2024-01-01 00:00:00' + interval {h * 60 + k} minute, {p}::double)" for s, hours in prices.items() for h, ps in enumerate(hours) for k, p in enumerate(ps)]
+    duckdb.sql(f"copy (select row_number() over () as event_id, ts, 1::bigint as user_id, s as event_type, p as value, '{{}}' as props from (values {', '.join(rows)}) v(s, ts, p)) to '{to}/events.parquet'")
+    return str(to)
+
+
+def same_as_sql(spark, sf_dir, name):
+    import duckdb
+
+    with duckdb.connect() as con:
+        con.execute(f"create view events as select * from '{sf_dir}/events.parquet'")
+        expected = con.execute(catalog.oracle_sql()[name]).fetchall()
+    key = lambda r: [str(abs(x) if x != x else x) for x in r]  # noqa: E731  NaN has no sign
+    return sorted(map(key, catalog.queries()[name](spark, sf_dir).collect())) == sorted(map(key, expected))
+
+
+def test_wicks_of_zero_prices(spark, zero_prices):
+    assert same_as_sql(spark, zero_prices, "audit_wicks")
+
+
 # states to signals ----------------------------------------------------------------------------------------------------
 def test_rule_signals_by_hand(spark):
     #        regime, h4_slope, h4_order, h4_width, h1_order
