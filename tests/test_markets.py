@@ -270,3 +270,8 @@ def test_a_stopped_run_goes_on(spark, tmp_path):
     assert shards.resumed(spark, todo, compute, path, ["symbol", "fold"], 4) == 0
     shards.write_shards(spark.createDataFrame([("a", 0, 5.0, 1)], "symbol string, fold int, y double, k int"), path, ["symbol", "fold"])
     assert spark.read.parquet(path).count() == 23
+
+
+@pytest.mark.parametrize("name", ["world_permuted", "world_planted", "world_edged"])
+def test_worlds_of_zero_prices(spark, zero_prices, name):
+    assert same_as_sql(spark, zero_prices, name)
