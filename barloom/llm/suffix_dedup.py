@@ -12,13 +12,15 @@ needn't be sorted for that, only the neighbourhoods of places that occur in two
    context once, with the smallest id that has it, to a shard by anchor hash. Equal windows meet there. An anchor with more
    than ``HOT`` contexts (a header that a third of all rows share, followed by texts that differ) would fill a shard; its
    windows go one by one to as many shards as it needs, by the hash of the whole window.
-4. Shards: the distinct contexts of a shard are one string, whose suffixes are sorted by induction (classified, leftmost-
+4. Shards: a window that two contexts share reaches, beside the anchor, over half of its other bytes to the left or to the
+   right; contexts without such a half in common with another one are done. The others are one string, whose suffixes are sorted by induction (classified, leftmost-
    smaller substrings named and sorted, the rest induced); runs of ranks with permuted common prefixes of ``LENGTH`` or more are
    equal windows, and each gets the smallest id of its run. The shard returns that id per window.
 5. Cover: each batch marks windows whose smallest id is smaller than the document's own, and cuts the covered bytes.
 
 Batches are rebuilt from the one shuffle of the texts (Spark reuses that exchange), in the order of the text hash, so that
-answers need no keys. What one passage costs a shard is one context per batch, however many documents hold it.
+answers need no keys. What one passage costs a shard is one context per batch, however many documents hold it. A batch sends a
+row to each shard, so rows grow with the square of the input: they are cut from and joined to whole arrays, never one by one.
 
 The string of leftmost-smaller substrings' names is sorted by doubling their span, not by a further recursion: in numpy a
 scan costs some steps for each symbol, and that string has hundreds of thousands (figures in the README).
@@ -34,7 +36,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ from .suffixes import eight, permuted_repeats, suffix_array
 
 LENGTH, GRAM = 50, 16
 BATCH, SHARD, CONTEXTS, HOT = 4 << 20, 8 << 20, 2 << 20, 20_000
+#: Bytes that are hashed, or windows that are answered, at a time: arrays of 8 bytes for each then stay in a core's cache.
+RUN = 1 << 16
 NONE = np.iinfo("int64").max
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -89,22 +92,36 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np
 
 
 # blobs --------------------------------------------------------------------------------------------------------------
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+def _blobs(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of x as a row for each two neighbours of ``bounds``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * x.itemsize).astype("int64")), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
-def _unpacked(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+def _joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a column of blobs, and the bounds of the rows."""
+    column = column.cast(pa.large_binary()).combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks else pa.array([], pa.large_binary())
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, "int64")
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, "<i8")[column.offset : column.offset + len(column) + 1]
+    x = np.frombuffer(data, "uint8")[off[0] : off[-1]].copy().view(kind) if data is not None else np.zeros(0, kind)
+    return x, (off - off[0]) // x.itemsize
 
 
 def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((mixed(h.copy()) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype("int64")
 
 
-def _cuts(shard: np.ndarray) -> list[tuple[int, int, int]]:
-    """(shard, first, end) of each run of a sorted array."""
-    at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, "int64")
-    return list(zip(shard[at].tolist(), at.tolist(), [*at[1:].tolist(), len(shard)]))
+def _cuts(shard: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of a sorted array."""
+    return np.r_[np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each row, one row after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 # steps --------------------------------------------------------------------------------------------------------------
@@ -154,7 +171,7 @@ class _Texts:
     def anchors(self, length: int):
         """Anchors of all texts: text number, hash, first and last window."""
         parts = []
-        for a, b in runs(self.off, 1 << 20):
+        for a, b in runs(self.off, RUN):
             off = self.off[a : b + 1]
             h, first, last = anchors(self.data[off[0] : off[-1]], off - off[0], length)
             parts.append((np.searchsorted(off, first + off[0], "right") - 1 + a, h, first + off[0], last + off[0]))
@@ -165,7 +182,7 @@ class _Texts:
     def sent(self, length: int, shards: int):
         """Distinct anchor hashes ordered by shard, how many texts hold them, and the place of each anchor's hash."""
         doc, h, first, last = self.anchors(length)
-        order = np.lexsort((doc, h))
+        order = np.argsort(h, kind="stable")  # texts stay in order
         new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.zeros(0, bool)
         place = np.empty(len(h), "int64")
         place[order] = np.cumsum(new) - 1
@@ -190,17 +207,21 @@ OWN = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 CUT = "key binary, d long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def _table(schema: str, rows: list) -> pa.Table:
+def _table(schema: str, columns: list) -> pa.Table:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
     fields = [x.split() for x in schema.split(", ")]
-    cols = list(zip(*rows)) if rows else [[]] * len(fields)
-    return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[f for f, _ in fields])
+    return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f for f, _ in fields])
+
+
+def _all(value: int, n: int) -> np.ndarray:
+    return np.full(n, value, "int64")
 
 
 def _ask(length: int, shards: int):
     def ask(key, t):
         *_, u, held, shard = _Texts(t).sent(length, shards)
-        return _table(ASKED, [(s, key[0].as_py(), u[a:b].tobytes(), _packed(held[a:b])) for s, a, b in _cuts(shard)])
+        cuts = _cuts(shard)
+        return _table(ASKED, [shard[cuts[:-1]], _all(key[0].as_py(), len(cuts) - 1), _blobs(u, cuts), _blobs(held, cuts)])
 
     return ask
 
@@ -208,9 +229,8 @@ def _ask(length: int, shards: int):
 def _answer(hot: int):
     def answer(key, t):
         """For each hash that a batch sent: 0 if one text has it, else the number of parts of its contexts."""
-        sent = [np.frombuffer(x, "<u8") for x in t.column("hashes").to_pylist()]
-        held = np.concatenate([_unpacked(x, "<u4") for x in t.column("held").to_pylist()])
-        h = np.concatenate(sent)
+        h, bounds = _joined(t.column("hashes"), "<u8")
+        held, _ = _joined(t.column("held"), "<u4")
         order = np.argsort(h, kind="stable")
         s = h[order]
         group = np.cumsum(np.r_[True, s[1:] != s[:-1]]) - 1
@@ -218,20 +238,24 @@ def _answer(hot: int):
         parts = np.where(total > 1, -(-total // hot), 0).astype("uint32")
         said = np.empty(len(h), "uint32")
         said[order] = parts[group]
-        cut = np.split(said, np.cumsum([len(x) for x in sent])[:-1])
-        return _table(ANSWER, [(b, 0, key[0].as_py(), _packed(x)) for b, x in zip(t.column("batch").to_pylist(), cut)])
+        return _table(ANSWER, [t.column("batch"), _all(0, len(t)).astype("int32"), _all(key[0].as_py(), len(t)), _blobs(said, bounds)])
 
     return answer
 
 
+def _said(answers: pa.Table, kind: int) -> np.ndarray:
+    """What the shards said in one of the steps, in the shards' order."""
+    rows = np.flatnonzero(answers.column("kind").to_numpy() == kind)
+    rows = rows[np.argsort(answers.column("shard").to_numpy()[rows], kind="stable")]
+    return _joined(answers.column("blob").take(pa.array(rows)), "<i8" if kind else "<u4")[0]
+
+
 class _Contexts:
     """The distinct contexts of a batch, ordered by shard, and the anchors that have them."""
 
     def __init__(self, texts: _Texts, answers: pa.Table, length: int, shards: int, far: int):
         doc, first, last, place, u, _, shard = texts.sent(length, shards)
-        said = {s: x for k, s, x in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "blob"))) if k == 0}
-        parts = [_unpacked(said[s], "<u4") for s, _, _ in _cuts(shard)]
-        parts = (np.concatenate(parts)[place] if parts else np.zeros(0, "uint32")).astype("int64")
+        parts = _said(answers, 0)[place].astype("int64")
         on = parts > 0
         self.doc, self.first, self.size, h, parts = doc[on], first[on], last[on] - first[on] + length, u[place[on]], parts[on]
         # of hot anchors, every window is a context of its own
@@ -249,7 +273,7 @@ class _Contexts:
             q[0] = 1
             np.multiply.accumulate(q, out=q)
             total = np.zeros(len(p), "uint64")
-            np.cumsum((mixed(texts.data.astype("uint64") + np.uint64(seed))) * p[:-1], out=total[1:])
+            np.cumsum(mixed(np.arange(256, dtype="uint64") + np.uint64(seed))[texts.data] * p[:-1], out=total[1:])
             both.append(mixed((total[self.first + self.size] - total[self.first]) * q[self.first] + self.size.astype("uint64")))
             del p, q, total
         # parts of a hot anchor lie by the hash of the window
@@ -269,24 +293,45 @@ def _send(length: int, shards: int, far: int):
     def send(key, left, right):
         texts = _Texts(left)
         c = _Contexts(texts, right, length, shards, far)
-        rows = []
-        for s, a, b in _cuts(c.shard):
-            one = c.one[a:b]
-            size = c.size[one]
-            take = np.repeat(c.first[one] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            rows.append((s, key[0].as_py(), _packed(size.astype("uint32")), _packed(texts.d[c.doc[one]]), _packed(texts.data[take])))
-        return _table(SENT, rows)
+        first, size = c.first[c.one], c.size[c.one]
+        end = np.r_[0, np.cumsum(size)]
+        data = np.empty(end[-1], "uint8")
+        for a, b in runs(end, 1 << 20):
+            data[end[a] : end[b]] = texts.data[_ranges(first[a:b], size[a:b])]
+        cuts = _cuts(c.shard)
+        return _table(SENT, [c.shard[cuts[:-1]], _all(key[0].as_py(), len(cuts) - 1), _blobs(size.astype("uint32"), cuts), _blobs(texts.d[c.doc[c.one]], cuts), _blobs(data, end[cuts])])
 
     return send
 
 
+def _halves(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, group: np.ndarray, hashes: np.ndarray, length: int) -> np.ndarray:
+    """Of each context, whether it has an anchor and half of a window's other bytes beside it in common with another one of its
+    group. The anchor may stand in a context again and again: each place counts."""
+    side = -(-(length - GRAM) // 2)
+    if side < 8:
+        return np.ones(len(begin), bool)
+    of = np.repeat(np.arange(len(begin)), stop - begin)
+    at = np.flatnonzero(gram_hashes(data) == hashes[of])
+    own = of[at]
+    at, own = at[at + GRAM <= stop[own]], own[at + GRAM <= stop[own]]
+    words, out = eight(data), np.zeros(len(begin), bool)
+    for room, step in ((at - begin[own] >= side, -side), (stop[own] - at >= GRAM + side, GRAM)):
+        p, o = at[room], own[room]
+        k = group[o].astype("uint64")
+        for i in (*range(0, side - 8, 8), side - 8):
+            k = mixed(k * np.uint64(0x9E3779B97F4A7C15) + words[p + step + i])
+        _, same, count = np.unique(k, return_inverse=True, return_counts=True)
+        out[o[count[same] > 1]] = True
+    return out
+
+
 def _rank(length: int):
     def rank(key, t):
         """The smallest id of each window of the contexts that each batch sent, as runs (value, length)."""
-        size = [_unpacked(x, "<u4").astype("int64") for x in t.column("size").to_pylist()]
-        least = [_unpacked(x, "<i8") for x in t.column("least").to_pylist()]
-        data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in t.column("bytes").to_pylist())
-        all_size, all_least = np.concatenate(size), np.concatenate(least)
+        all_size, bounds = _joined(t.column("size"), "<u4")
+        all_size = all_size.astype("int64")
+        all_least, _ = _joined(t.column("least"), "<i8")
+        data = _joined(t.column("bytes"), "uint8")[0].tobytes()
         end = np.cumsum(all_size)
         begin = end - all_size
         # distinct contexts of the shard, the smallest id of each
@@ -297,11 +342,18 @@ def _rank(length: int):
         own = np.fromiter(map(len, number), "int64", len(number))
         data, stop = np.frombuffer(b"".join(number), "uint8"), np.cumsum(own)
         found = np.repeat(best, own)
-        # all windows of a context have its anchor, so contexts alone with theirs share no window
+        # all windows of a context have its anchor, so contexts alone with theirs share no window; nor do windows that came one by one
         edge = np.stack([stop - own, stop - own + length - GRAM + 1], 1).ravel()
         anchor = np.minimum.reduceat(gram_hashes(data), edge)[::2]
-        _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        byte = np.flatnonzero(np.repeat(count[group] > 1, own))
+        hashes, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        some = np.flatnonzero((count > 1)[group] & (np.bincount(group, own > length) > 0)[group])
+        if len(some):
+            part = data[_ranges(stop[some] - own[some], own[some])]
+            to = np.cumsum(own[some])
+            some = some[_halves(part, to - own[some], to, group[some], hashes[group[some]], length)]
+        sorts = np.zeros(len(own), bool)
+        sorts[some] = True
+        byte = np.flatnonzero(np.repeat(sorts, own))
         if len(byte):
             text = data[byte]
             sa = suffix_array(text, length)
@@ -313,16 +365,20 @@ def _rank(length: int):
             smallest = np.minimum.reduceat(value, runs_at)
             found[byte[sa]] = np.repeat(smallest, np.diff(np.r_[runs_at, len(sa)]))
         # per batch: the windows of its contexts in order
-        start, rows, at = stop - own, [], 0
-        for b, s in zip(t.column("batch").to_pylist(), size):
-            o = of[at : at + len(s)]
-            at += len(s)
-            count = s - length + 1
-            take = np.repeat(start[o] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            x = found[take]
-            cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-            rows.append((b, 1, key[0].as_py(), _packed(np.r_[x[cut], np.diff(np.r_[cut, len(x)])])))
-        return _table(ANSWER, rows)
+        start, windows = stop - own, all_size - length + 1
+        before = np.r_[0, np.cumsum(windows)]
+        at = before[bounds]
+        pairs, ends = [], []
+        for a, b in runs(at, RUN):
+            i, j = bounds[a], bounds[b]
+            x = found[_ranges(start[of[i:j]], windows[i:j])]
+            new = np.diff(x, prepend=0) != 0
+            new[at[a:b] - at[a]] = True  # nothing runs on from one batch to the next
+            cut = np.flatnonzero(new)
+            pairs.append(np.stack([x[cut], np.diff(np.r_[cut, len(x)])], 1))
+            ends.append(np.add.reduceat(new, at[a:b] - at[a], dtype="int64"))
+        pairs, ends = np.concatenate(pairs), np.r_[0, np.cumsum(np.concatenate(ends))]
+        return _table(ANSWER, [t.column("batch"), _all(1, len(t)).astype("int32"), _all(key[0].as_py(), len(t)), _blobs(pairs, ends * 2)])
 
     return rank
 
@@ -331,15 +387,11 @@ def _cut(length: int, shards: int, far: int, with_text: bool):
     def cut(key, left, right):
         texts = _Texts(left)
         c = _Contexts(texts, right, length, shards, far)
-        said = {s: x for k, s, x in zip(*(right.column(n).to_pylist() for n in ("kind", "shard", "blob"))) if k == 1}
         n = len(texts.data)
         step = np.zeros(n + 1, "int64")
         if len(c.one):
-            values = []
-            for s, _, _ in _cuts(c.shard):
-                value, repeat = np.split(_unpacked(said[s], "<i8"), 2)
-                values.append(np.repeat(value, repeat))
-            least = np.concatenate(values)
+            pairs = _said(right, 1).reshape(-1, 2)
+            least = np.repeat(pairs[:, 0], pairs[:, 1])
             count = c.size[c.one] - length + 1
             start = np.cumsum(count) - count
             # every anchor's windows: their place in the answers and in the text
@@ -355,7 +407,7 @@ def _cut(length: int, shards: int, far: int, with_text: bool):
             kept = texts.data[a:b][~g].tobytes()
             spans = int((g[1:] & ~g[:-1]).sum()) + int(len(g) > 0 and g[0])
             rows.append((texts.keys[i], int(texts.d[i]), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
-        return _table(CUT, rows)
+        return _table(CUT, list(zip(*rows)) or [[]] * 6)
 
     return cut
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
@@ -462,6 +463,38 @@ def test_repeated_passages(spark, docs):
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
 
+def test_repeated_passages_of_periodic_and_alike_texts(spark):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice(["ab", "abc", "the river of ", "house "]) for _ in range(60)) + r.choice(["", "xyz" * 30, "x" * 80, prose(20, 12)])) for i in range(60)]
+    rows += [(100 + i, prose(i, 8) + prose(20, 12)[: 45 + i] + prose(50 + i, 8)) for i in range(12)]
+    want = removed_by_hand([(i, t.encode()) for i, t in rows])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (suffix_dedup.HOT, 7):
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated_passages(d, hot=hot).collect()} == want
+
+
+def test_only_contexts_with_half_a_window_in_common_are_sorted(monkeypatch):
+    """A frequent string between bytes of its own in each text; two of the texts share a whole window."""
+    r = random.Random(1)
+    own = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(34))
+    gram = "\x00the same anchor"
+    g = suffix_dedup.gram_hashes
+    anchor = int(g(np.frombuffer(gram.encode(), "uint8"))[0])
+    monkeypatch.setattr(suffix_dedup, "gram_hashes", lambda x: np.where(g(x) == np.uint64(anchor), np.uint64(1), g(x)))
+    texts = [own() + gram + own() for _ in range(200)]
+    texts.append("A" * 17 + texts[0][17:67] + "B" * 17)
+    size, data = np.full(1, 84, "<u4").tobytes(), [t.encode() for t in texts]
+    kept = []
+    sort = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda x, n: kept.append(len(x)) or sort(x, n))
+    blobs = {"size": [size] * 201, "least": [np.full(1, i, "<i8").tobytes() for i in range(201)], "bytes": data}
+    t = pa.table({"shard": [0] * 201, "batch": list(range(201)), **blobs})
+    said = suffix_dedup._rank(50)([pa.scalar(0)], t).column("blob").to_pylist()
+    pairs = [np.frombuffer(x, "<i8").reshape(-1, 2).tolist() for x in said]
+    assert pairs[:200] == [[[i, 35]] for i in range(200)] and pairs[200] == [[200, 17], [0, 1], [200, 17]]
+    assert kept == [2 * 84]
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
