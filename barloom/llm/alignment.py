@@ -4,7 +4,8 @@
    are two lists of byte ends; their union cuts the bytes into elementary intervals, and a search of each interval's end in
    both lists names its owners. Two tokens overlap in one interval at most, so every interval is one link; ends that both
    lists share close groups. A chunk is written as one row: figures per document, its distinct id pairs with
-   their number, and its links as places in that list.
+   their number, and its links as places in that list, in two bytes each where they fit: one block of bytes passes through the
+   JVM as it is, an array of numbers as several copies of several megabytes.
 2. Pairs are counted over the corpus from the chunks' own counts, so a frequent pair costs a row a chunk. The highest
    count of each B id is broadcast: it has one row an id of B's vocabulary at most.
 3. Counts go back to the chunks by a join on the pair and meet the chunk's links there; sums per document need no shuffle
@@ -29,17 +30,18 @@ import os
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import runs, utf8
+from .arrays import runs
 from .bpe import MOST_WORD, byte_letters
 from .common import table, written
 
 CHUNK = 1_000_000
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_products")
-CHUNKS = f"chunk long, doc_id array<long>, {', '.join(f'{n} array<long>' for n in FIGURES)}, groups_sha256 array<string>, groups array<string>, codes array<long>, times array<long>, links array<int>"
+CHUNKS = f"chunk long, doc_id array<long>, {', '.join(f'{n} array<long>' for n in FIGURES)}, groups_sha256 array<string>, groups array<string>, codes array<long>, times array<long>, links binary"
 
 
 _NONE = np.zeros(0, "int64")
@@ -138,7 +140,7 @@ def chunk_row(pair: Pair, texts: list[str], keep_groups: bool = False) -> dict:
         first += n
     return {
         "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "n_products": products[upto] - products[upto - n_groups], "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups],
-        "groups": groups if keep_groups else [], "codes": codes, "times": times, "links": links.astype("int32"),
+        "groups": groups if keep_groups else [], "codes": codes, "times": times, "links": links.astype("<u2" if len(codes) <= 1 << 16 else "<u4").tobytes(),
     }
 
 
@@ -158,7 +160,7 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = False,
             _pairs[path_a, path_b] = Pair(path_a, path_b)
         number, arrow = TaskContext.get().partitionId() << 33, PT.to_arrow_schema(schema)
         for batch in batches:
-            _, off = utf8(batch.column("text"))
+            off = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype="int64")]
             for first, end in runs(off, most):
                 part = batch.slice(first, end - first)
                 row = chunk_row(_pairs[path_a, path_b], [t or "" for t in part.column("text").to_pylist()], keep_groups)
@@ -190,7 +192,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, keep_groups: bool = False
         row, found = rows.iloc[0], found.sort_values("code")  # in the order of the chunk's own list
         n = len(row["doc_id"])
         out = pd.DataFrame({c: row[c] if len(row[c]) == n else [None] * n for c in columns})
-        stop, links = np.cumsum(row["n_links"]), np.asarray(row["links"], "int64")
+        stop = np.cumsum(row["n_links"])
+        links = np.frombuffer(row["links"], "<u2" if len(found) <= 1 << 16 else "<u4")
         sums = np.r_[0, np.cumsum(found["n"].to_numpy("int64")[links])]
         tops = np.r_[0, np.cumsum(found["best"].to_numpy("int64")[links])]
         start = stop - row["n_links"]

@@ -151,6 +151,15 @@ def test_alignment_equals_all_pairs(spark):
     assert [(r.n_a, r.n_b, r.n_links, r.groups_sha256) for r in nothing] == [(0, 0, 0, "")] * 3
 
 
+def test_links_pass_the_jvm_as_bytes(spark):
+    """Two bytes a link, one block a chunk; an array of numbers takes eight and more, in several copies."""
+    docs = spark.createDataFrame([(1, "two words of a text " * 50), (2, None), (3, "")], "doc_id long, text string").coalesce(1)
+    rows = alignment.chunks(docs, A, B).collect()
+    assert rows and all(isinstance(r.links, (bytes, bytearray)) and len(r.links) == 2 * sum(r.n_links) for r in rows) and sum(len(r.links) for r in rows) > 400
+    got = np.frombuffer(rows[0].links, "<u2")
+    assert np.bincount(got, minlength=len(rows[0].codes)).tolist() == rows[0].times
+
+
 def test_alignment_of_given_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("n_chars").limit(60).select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
