@@ -6,7 +6,8 @@ needn't be sorted for that, only the neighbourhoods of places that occur in two
 1. Deal: each distinct text goes, once per task that read it, to a batch by its hash (map-side combining, so that a
    third of all rows may be copies of one text). Batches hold about ``BATCH`` bytes.
 2. Anchors: of each ``LENGTH``-byte window, the ``GRAM``-byte string with the smallest hash is its anchor, a choice that
-   depends on the window's content only. Neighbouring windows mostly share it. A batch sends each distinct anchor hash once to the shard of that hash, which
+   depends on the window's content only. Neighbouring windows mostly share it. A batch sends each distinct anchor hash once to the shard of that hash (32 of its
+   bits: of two hashes that agree in them, both count as repeated, and their contexts then meet no equal ones), which
    answers with a number per hash: 0 where it occurs in one document only, else in how many parts its contexts are dealt.
 3. Contexts: around each repeated anchor, the bytes of the windows that have this anchor. A batch sends each distinct
    context once, with the smallest id that has it, to a shard by anchor hash. Equal windows meet there. An anchor with more
@@ -221,7 +222,7 @@ def _ask(length: int, shards: int):
     def ask(key, t):
         *_, u, held, shard = _Texts(t).sent(length, shards)
         cuts = _cuts(shard)
-        return _table(ASKED, [shard[cuts[:-1]], _all(key[0].as_py(), len(cuts) - 1), _blobs(u, cuts), _blobs(held, cuts)])
+        return _table(ASKED, [shard[cuts[:-1]], _all(key[0].as_py(), len(cuts) - 1), _blobs(u.astype("uint32"), cuts), _blobs(held, cuts)])
 
     return ask
 
@@ -229,7 +230,7 @@ def _ask(length: int, shards: int):
 def _answer(hot: int):
     def answer(key, t):
         """For each hash that a batch sent: 0 if one text has it, else the number of parts of its contexts."""
-        h, bounds = _joined(t.column("hashes"), "<u8")
+        h, bounds = _joined(t.column("hashes"), "<u4")
         held, _ = _joined(t.column("held"), "<u4")
         order = np.argsort(h, kind="stable")
         s = h[order]
